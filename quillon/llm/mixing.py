@@ -178,3 +178,18 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     opened = first.where("is_open").alias("f").join(done.alias("r"), F.expr("f.source <=> r.source AND f.bucket = r.bucket")).select("f.*", "r.up")
     copies = F.col("whole") + F.col("up").cast("long")
     return settled.unionByName(opened).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **more: object) -> DataFrame:
+    """The mix itself: every row of docs as often as mix() takes it. Rows of equal key and text share what they are taken."""
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    sized = docs.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("row"), text, source)
+    # the row's key and mark travel as one hash, which also sets its bucket
+    name = F.xxhash64("row.id", "row.mark")
+    taken = mix(sized.select(name.alias("name"), text, source), text, source, "name", **more).groupBy(F.col("doc_id").alias("__name")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    taken = written(taken, "copies")
+    rows = docs.withColumn("__name", F.xxhash64(F.col(key), mark))
+    if (taken.agg(F.max("__rows")).first()[0] or 0) > 1:
+        rows = rows.dropDuplicates(["__name"])
+    joined = rows.join(taken.where("__copies > 0"), "__name").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return joined.select(*docs.columns)

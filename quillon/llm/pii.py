@@ -164,7 +164,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets; overlapping spans are one, named by the first."""
+    """docs with every span replaced by its kind in angle brackets; overlapping spans are one, named by the first. A column n_chars follows the text."""
     stage = _stage(docs, text, [key])
     extra = _extra(stage)
     found = stage.where(F.size("base") > 0).select("uid", "base").join(extra, "uid", "full").groupBy("uid").agg(F.first("base").alias("base"), F.first("extra").alias("extra"))
@@ -186,4 +186,5 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     place = lambda c, i: F.concat(F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"]).cast("int") + 1, (c["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"])).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
     tail = F.substring(t, F.element_at(cuts, -1)["b"].cast("int") + 1, F.lit(2147483647))
     masked = F.when(F.size(cuts) > 0, F.concat(F.array_join(F.transform(cuts, place), ""), tail)).otherwise(t)
-    return joined.select(*(masked.alias(c) if c == text else F.col(c) for c in docs.columns))
+    out = joined.withColumn(text, masked)
+    return out.select(*(F.when(F.size("__cuts") > 0, F.length(text)).otherwise(F.col(c)).cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, itq, langid, mixing, pii, token_files, topk, url_filter
+from quillon.llm import bagminhash, bpe, itq, langid, mixing, pii, suffix, token_files, topk, url_filter
 from quillon.llm.common import table
 
 
@@ -40,13 +40,21 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: op<N>_<name> over the whole tables."""
-    return {f.__name__: f for f in (op1_topk, op2_token_files, op3_url_filter, op4_language, op5_pii, op6_embedding_dedup, op7_source_mix, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_topk, op2_token_files, op3_url_filter, op4_language, op5_pii, op6_embedding_dedup, op7_source_mix, op8_near_dedup, op9_repeated_strings, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
