@@ -78,20 +78,23 @@ def _context(before: Column) -> Column:
     return F.when(found != "", F.regexp_replace(F.regexp_replace(found, "[0-9]+", "0"), r"\s+", " "))
 
 
-def scanned(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with base (spans of the fixed kinds, by start, then kind) and seen (context, instance, kind or null, start, end of seeds and other tokens)."""
+def scanned(df: DataFrame, text: str = "text", contexts: bool = True) -> DataFrame:
+    """df with base (spans of the fixed kinds, by start, then kind) and, if asked for, seen (context, instance, kind or null, start, end of seeds and other tokens)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__t", whole)
     t = F.col("__t")
     may = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"), "phone": t.contains("+")}
     none = F.array().cast("array<string>")
-    df = df.withColumns({f"__h_{k}": F.when(may[k], F.regexp_extract_all(t, F.lit(PATTERNS[k]), 0)).otherwise(none) for k in KINDS} | {"__h_token": F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(TOKEN), 0)).otherwise(none)})
-    df = df.withColumns({f"__p_{k}": _placed(t, PATTERNS.get(k, TOKEN), F.col(f"__h_{k}")) for k in (*KINDS, "token")})
+    kinds = (*KINDS, *(["token"] if contexts else []))
+    df = df.withColumns({f"__h_{k}": F.when(may[k], F.regexp_extract_all(t, F.lit(PATTERNS[k]), 0)).otherwise(none) for k in KINDS} | ({"__h_token": F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(TOKEN), 0)).otherwise(none)} if contexts else {}))
+    df = df.withColumns({f"__p_{k}": _placed(t, PATTERNS.get(k, TOKEN), F.col(f"__h_{k}")) for k in kinds})
     spans = []
     for no, kind in enumerate(KINDS):
         good = F.filter(F.col(f"__p_{kind}"), lambda s: _accepted(kind, s["value"]))  # noqa: B023 - called at once
         spans.append(F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value")).cast(_SPAN)))  # noqa: B023
     df = df.withColumn("base", F.array_sort(F.concat(*spans)))
+    if not contexts:
+        return df.drop("__t", *(f"__{a}_{k}" for a in "hp" for k in kinds))
 
     def trimmed(s: Column) -> Column:
         core = F.regexp_replace(s["value"], OPENING, "")
@@ -104,7 +107,7 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     before = lambda s: F.substring(t, F.greatest(s["start"] - BEFORE, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(BEFORE)).cast("int"))
     seen = F.transform(F.concat(F.col("base"), F.col("__other")), lambda s: F.struct(_context(before(s)).alias("context"), F.xxhash64(F.lower(s["value"])).alias("instance"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     df = df.withColumn("seen", F.filter(seen, lambda s: s["context"].isNotNull()))
-    return df.drop("__t", "__other", *(f"__{a}_{k}" for a in "hp" for k in (*KINDS, "token")))
+    return df.drop("__t", "__other", *(f"__{a}_{k}" for a in "hp" for k in kinds))
 
 
 def learn(seen: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
@@ -165,9 +168,9 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans are one, named by the first. A column n_chars follows the text."""
-    stage = _stage(docs, text, [key])
-    extra = _extra(stage)
-    found = stage.where(F.size("base") > 0).select("uid", "base").join(extra, "uid", "full").groupBy("uid").agg(F.first("base").alias("base"), F.first("extra").alias("extra"))
+    extra = written(_extra(_stage(docs, text, [key])), "pii-extra")  # small, so that joining it needs no shuffle of the texts
+    uid = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    joined = scanned(docs.withColumn("uid", uid), text, False).join(extra, "uid", "left")
     none = F.array().cast(f"array<{_SPAN}>")
     every = F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("extra", none)))
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint,kind:string>>").alias("out"))
@@ -179,9 +182,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         added = F.concat(state["out"], F.array(F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind"))))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, grown).otherwise(added).alias("out"))
 
-    found = found.select("uid", F.aggregate(every, empty, step, lambda s: s["out"]).alias("__cuts"))
-    uid = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumn("uid", uid).join(found, "uid", "left")
+    joined = joined.withColumn("__cuts", F.aggregate(every, empty, step, lambda s: s["out"]))
     cuts, t = F.col("__cuts"), F.col(text)
     place = lambda c, i: F.concat(F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"]).cast("int") + 1, (c["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"])).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
     tail = F.substring(t, F.element_at(cuts, -1)["b"].cast("int") + 1, F.lit(2147483647))
