@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, weak: int =
 def _dense(rows: pa.Array, width: int) -> np.ndarray:
     """A row for each list, filled up with zeros."""
     out = np.zeros((len(rows), width))
-    lengths = np.asarray(pa.compute.list_value_length(rows)) if len(rows) else np.zeros(0, int)
+    lengths = np.asarray(pc.list_value_length(rows)) if len(rows) else np.zeros(0, int)
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out[np.repeat(np.arange(len(rows)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
