@@ -204,7 +204,8 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["anchor", "digest", "doc", "mark", "lo", "hi"])
 
     every = written(keyed.where(F.length("text") >= length).select("doc", "mark", "text").mapInArrow(anchors, "anchor long, digest long, doc long, mark int, lo int, hi int"), "anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1").select("anchor", (F.col("x") < F.col("y")).alias("mixed"))
+    # a table of its own, so that the join below can split the partition of a very common anchor
+    again = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1").select("anchor", (F.col("x") < F.col("y")).alias("mixed")), "repeated-anchors")
     repeated = written(every.join(again, "anchor"), "repeated")
     drop_written(every)
     covered = repeated.where("NOT mixed").select("doc", "mark", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
