@@ -8,9 +8,11 @@ time, so two signatures agree in a register with a probability equal to the weig
 order of time, so a block is left as soon as its next time is later than the latest register.
 
 Signatures are banded. In a bucket every document is compared with the smallest one (its lead), so a group of g
-documents gives g - 1 candidates. What a lead cannot show is compared afterwards: in buckets whose documents are still
-in several components, documents of different components whose signatures agree nearly enough are compared too, block
-by block. All candidates are verified by the overlap of the multisets. Documents with the same words are one entry.
+documents gives g - 1 candidates; in buckets whose documents are then still in several components, also with the one
+that has most links. What leads cannot show is compared afterwards, where components are left: documents of different components whose signatures agree nearly enough, in the first band that
+they share. A small bucket emits such pairs; a large one is cut into blocks that verify them at once, best first, and
+emit only links that join components, so no group emits all its pairs. All candidates are verified by the overlap of
+the multisets. Documents with the same words are one entry.
 
 Cases: a null or empty text, or one of white space only, is alone in its class; a text of fewer than five words has one
 shingle of all its words; repeated rows share a class, named by the smallest doc_id; an empty table gives no rows; extra
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import drop_written, small_batches, text_bytes, written
+from quillon.llm.common import drop_written, pieces, small_batches, text_bytes, with_possible, written
 from quillon.llm.components import components
 
 WORDS, REGISTERS, BANDS = 5, 128, 32
 #: Signatures agree in so many registers fewer than the threshold says when a pair is still verified (about 5 deviations).
-SLACK, BLOCK = 0.18, 2048
+SLACK = 0.18
+#: A bucket of more documents than DENSE is verified inside its blocks of BLOCK documents on either side.
+DENSE, BLOCK = 64, 1024
 _G = 0x9E3779B97F4A7C15
 
 
@@ -68,7 +72,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = _mix(h + (ends - starts).astype(np.uint64) * np.uint64(_G))
     out = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        out += _mix(h[k : k + len(out)] + np.uint64(k + 1) * np.uint64(_G))
+        out += _mix(h[k : k + len(out)] + np.uint64((k + 1) * _G % (1 << 64)))
     whole = owner[: len(out)] == owner[WORDS - 1 :]
     short = np.flatnonzero((n > 0) & (n < WORDS))
     first = np.searchsorted(owner, short)
@@ -122,12 +126,12 @@ def band_keys(register: np.ndarray) -> np.ndarray:
     return key
 
 
-def overlap(a: bytes, b: bytes, memory: dict) -> float:
+def overlap(a: bytes, b: bytes, memory: dict, most: int = 256) -> float:
     """Weighted Jaccard similarity of two texts' multisets of shingles."""
 
     def of(t: bytes) -> tuple[np.ndarray, np.ndarray]:
         if t not in memory:
-            if len(memory) > 256:
+            if len(memory) > most:
                 memory.clear()
             h, o, _ = shingles([t])
             memory[t] = multisets(h, o)[::2]
@@ -145,7 +149,7 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [v.as_py() for v in batch.column(1)]
             hashes, owner, n = shingles(texts)
             register = signatures(*multisets(hashes, owner), len(texts))
@@ -171,77 +175,161 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(least: float) -> object:
-    """The task that finds, in each block, pairs of different components whose sketches agree nearly enough."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one bucket and block at a time; the partition is sorted by them."""
+    held: list[dict] = []
+    key = None
+    for batch in batches:
+        t = {n: (np.array([*c.to_pylist(), None], object)[:-1] if pa.types.is_binary(c.type) else c.to_numpy()) for n, c in zip(batch.schema.names, batch.columns)}
+        cuts = [0, *(np.flatnonzero((t["bucket"][1:] != t["bucket"][:-1]) | (t["block"][1:] != t["block"][:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and (t["bucket"][a], t["block"][a]) != key:
+                    yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+                    held = []
+                key = t["bucket"][a], t["block"][a]
+                held.append({n: c[a:b] for n, c in t.items()})
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
 
-    def flush(parts: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        t = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
-        sketch = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(t["side"] == 0), np.flatnonzero(t["side"] == 1)
-        for lo in range(0, len(left), 64):
-            l = left[lo : lo + 64]
-            agree = (sketch[l][:, None, :] == sketch[right][None, :, :]).mean(2)
-            i, j = np.nonzero((agree >= least - SLACK) & (t["component"][l][:, None] != t["component"][right][None, :]) & (t["id"][l][:, None] < t["id"][right][None, :]))
-            yield t["id"][l[i]], t["id"][right[j]]
+def _plausible(t: dict[str, np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (side 0, side 1) of different components, in the first band that they share, whose sketches agree nearly enough."""
+    sketch = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, BANDS, REGISTERS // BANDS)
+    left, right, band = np.flatnonzero(t["side"] != 1), np.flatnonzero(t["side"] != 0), int(t["band"][0])
+    once = (lambda a, b: a < b) if t["side"][0] == 2 else (lambda a, b: a != b)  # noqa: E731 - a block against itself, or against another
+    for lo in range(0, len(left), 32):
+        l = left[lo : lo + 32]
+        same = sketch[l][:, None] == sketch[right][None]
+        agree = same.mean((2, 3))
+        i, j = np.nonzero((agree >= least - SLACK) & (same.all(3).argmax(2) == band) & (t["component"][l][:, None] != t["component"][right][None, :]) & once(t["id"][l][:, None], t["id"][right][None, :]))
+        yield l[i], right[j], agree[i, j]
+
+
+def _sparse(least: float) -> object:
+    """The task that emits the plausible pairs of small buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = None
-        for batch in batches:
-            t = {n: (np.array(c.to_pylist(), object) if n == "sketch" else c.to_numpy()) for n, c in zip(batch.schema.names, batch.columns)}
-            cuts = [0, *(np.flatnonzero((t["bucket"][1:] != t["bucket"][:-1]) | (t["block"][1:] != t["block"][:-1])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                now = (t["bucket"][a], t["block"][a])
-                if held and now != key:
-                    for x, y in flush(held):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-                    held = []
-                key = now
-                held.append({n: c[a:b] for n, c in t.items()})
-        if held:
-            for x, y in flush(held):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        for t in _groups(batches):
+            for i, j, _ in _plausible(t, least):
+                a, b = t["id"][i], t["id"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
+def _dense(least: float) -> object:
+    """The task that verifies the plausible pairs of a block of a large bucket at once, best first; only links that join components leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := root.get(x, x)) != x:  # noqa: B023 - used in this turn only
+                    root[x] = root.get(y, y)  # noqa: B023
+                    x = y
+                return x
+
+            memory: dict = {}
+            out: tuple[list, list] = ([], [])
+            for i, j, agree in _plausible(t, least):
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    a, b = find(int(t["component"][i[k]])), find(int(t["component"][j[k]]))
+                    if a != b and overlap(t["text"][i[k]], t["text"][j[k]], memory, 4096) >= least:
+                        root[max(a, b)] = min(a, b)
+                        out[0].append(int(t["id"][i[k]])), out[1].append(int(t["id"][j[k]]))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return run
+
+
+def _agreeing(pairs: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b whose sketches agree nearly enough to be verified."""
+    sketch = entries.select("id", "sketch")
+    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, REGISTERS) for n in ("sa", "sb"))
+            good = pa.array((x == y).mean(1) >= least - SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(good) for n in ("a", "b")], names=["a", "b"])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """id and text of the documents in ids; the texts of others are not shuffled, but for a few."""
+    few = with_possible(docs.select(F.col("doc_id").alias("id"), text_bytes(docs, text).alias("text")), "id", ids).where("possible").drop("possible")
+    return written(few.join(ids, "id").groupBy("id").agg(F.first("text").alias("text")), "texts", "zstd")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size and kept (whether it is the one that stays) of every row."""
     sketches = written(signed(docs, text), "signatures")
     entries = sketches.where("content IS NOT NULL AND doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     entries = written(entries, "entries")
-    banded = entries.select("id", F.explode("bands").alias("bucket"))
-    leads = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    pairs = written(banded.join(leads, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    source = docs.select(F.col("doc_id").alias("id"), text_bytes(docs, text).alias("text")).join(wanted, "id").groupBy("id").agg(F.first("text").alias("text"))
-    texts = written(source, "texts")
-    first = written(_verified(pairs, texts, least), "links")
-    label = components(first)
-    # what the leads cannot show
-    members = banded.join(wanted, "id", "left_semi").join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    members = written(members, "members")
-    open_buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket", F.ceil(F.col("n") / BLOCK).alias("s"))
-    placed = members.join(open_buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("s")))
-    sides = placed.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-    block = F.when(F.col("side") == 0, F.col("own") * 65536 + F.col("other")).otherwise(F.col("other") * 65536 + F.col("own"))
-    blocks = sides.select("bucket", block.alias("block"), "side", "id", "component").join(entries.select("id", "sketch"), "id")
-    more = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_across(least), "a long, b long").distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(_verified(more.join(done, ["a", "b"], "left_anti"), texts, least), "links")
+    banded = entries.select("id", F.posexplode("bands").alias("band", "bucket"))
+    leads = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    members = written(banded.join(leads, "bucket"), "members")
+    done, links = None, None
+    for turn in range(2):  # leads are the smallest documents; then, where components are left, those with most links
+        if turn:
+            ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+            ranked = members.join(open_buckets, "bucket", "left_semi").join(ends, "id", "left")
+            leads = written(ranked.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), F.struct(F.coalesce("links", F.lit(0)), -F.col("id"))).alias("l")).select("bucket", "l.*"), "leads")
+            found = members.join(leads.select("bucket", F.col("id").alias("b"), F.col("component").alias("c")), "bucket").where("component <> c")
+        else:
+            found = members.where("id <> b")
+        found = found.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        pairs = written(_agreeing(found if done is None else found.join(done, ["a", "b"], "left_anti"), entries, least), "candidates")
+        texts = _texts(docs, text, written(_ends(pairs), "ends"))
+        new = written(_verified(pairs, texts, least), "links")
+        drop_written(texts)
+        done, links = (pairs, new) if done is None else (done.unionByName(pairs), links.unionByName(new))
+        # the buckets whose documents are still in several components
+        label = components(links)
+        placed = written(members.drop("b", "component").join(label, "id", "left").select("bucket", "band", "n", "id", F.coalesce("component", "id").alias("component")), "members")
+        drop_written(members)
+        members = placed
+        open_buckets = written(members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "open-buckets")
+    still = members.join(open_buckets, "bucket", "left_semi").withColumn("s", F.when(F.col("n") > DENSE, F.ceil(F.col("n") / BLOCK)).otherwise(1))
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("s"))
+    # every two blocks meet once; a block meets itself as side 2
+    sides = still.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
+    block = F.least("own", "other") * 65536 + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    sides = sides.select("bucket", block.alias("block"), "band", side.alias("side"), "id", "component", "n")
+    sparse = sides.where(f"n <= {DENSE}").drop("n").join(entries.select("id", "sketch"), "id")
+    more = sparse.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_sparse(least), "a long, b long").distinct()
+    more = written(more.select(F.col("b").alias("a"), F.col("a").alias("b")).join(done, ["a", "b"], "left_anti"), "candidates")
+    crowd = written(still.where(f"n > {DENSE}").select("id").distinct(), "crowd")
+    texts = _texts(docs, text, written(_ends(more).unionByName(crowd).distinct(), "ends"))
+    second = written(_verified(more, texts, least), "links")
+    dense = sides.where(f"n > {DENSE}").drop("n").join(entries.select("id", "sketch"), "id").join(texts, "id")
+    third = written(dense.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_dense(least), "a long, b long"), "links")
     drop_written(texts)
     drop_written(members)
-    every = components(first.unionByName(second))
+    every = components(links.unionByName(second).unionByName(third))
     own = entries.select("content", "id").join(every, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
-    out = sketches.select("doc_id", "content").join(own, "content", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("content").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("alone"))
-    sizes = out.where("alone = 0").groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("alone") == 1, F.lit(1)).otherwise(F.coalesce("class_size", F.lit(1))).cast("long").alias("class_size"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    out = written(sketches.select("doc_id", "content").join(own, "content", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("content").isNull().alias("alone")), "classes")
+    sizes = written(out.where("NOT alone").groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
+    size = F.when(F.col("alone"), 1).otherwise(F.coalesce("class_size", F.lit(1))).cast("long")
+    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", size.alias("class_size"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each class: the row whose doc_id names the class; of repeated rows of that doc_id, one."""
-    kept = classes(docs, text).where("kept").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """docs with one document of each class: the row whose doc_id names the class; of repeated rows of that doc_id, one.
+
+    Only the rows that may have to go are looked up; the texts of the others are not shuffled.
+    """
+    found = written(classes(docs, text), "classes")
+    doubtful = written(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("doc_id IS NOT NULL AND (n > 1 OR NOT kept)").select("doc_id", "kept"), "doubtful")
+    flagged = with_possible(docs, "doc_id", doubtful.select("doc_id"))
+    looked_up = flagged.where("possible AND doc_id IS NOT NULL").join(doubtful, "doc_id", "left").where("coalesce(kept, true)").dropDuplicates(["doc_id"])
+    return flagged.where("NOT possible OR doc_id IS NULL").select(*docs.columns).unionByName(looked_up.select(*docs.columns))

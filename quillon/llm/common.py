@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder, read again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -65,6 +67,36 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def pieces(batches: Iterable[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece has about most bytes, or one row: what a task holds follows the texts' size, not their number."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > 2 * most:
+                n = -(-n // 2)
+            yield batch.slice(at, n)
+            at += n
+
+
+#: Words of 64 bits in a filter of ids; it has this many rows at most, whatever the number of ids.
+FILTER_WORDS = 1 << 18
+
+
+def with_possible(df: DataFrame, key: str, ids: DataFrame, name: str = "possible") -> DataFrame:
+    """df with a flag that is true for every row whose key is in ids (one column), and false for almost all others.
+
+    The ids are hashed to bits of a table of at most FILTER_WORDS rows, which is what is broadcast. With more ids than
+    bits the flag says less, but rows that it clears are never in ids.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {FILTER_WORDS * 64}) % 64 as int))")
+    words = ids.select(F.col(ids.columns[0]).alias(key)).select(F.floor(place / 64).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    joined = df.withColumn("__word", F.floor(place / 64)).join(F.broadcast(words), "__word", "left")
+    return joined.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> "F.Column":
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(df[text], F.lit("")).cast("binary")
