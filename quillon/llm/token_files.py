@@ -25,15 +25,16 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import drop_written, new_path, small_batches, text_bytes, written
+from quillon.llm.common import drop_written, new_path, pieces, small_batches, written
 
 MAGIC = int.from_bytes(b"QTOK0001", "little")
 HEADER = "<6Q"
 #: Ids in a file and in a partition (both at most one document more); chunks that a worker remembers.
-FILE_IDS, PARTITION_IDS, REMEMBERED = 1 << 21, 1 << 24, 700_000
+FILE_IDS, PARTITION_IDS, REMEMBERED = 1 << 21, 1 << 24, 2_000_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -65,12 +66,27 @@ def unpack(raw: bytes | memoryview, n: int) -> tuple[np.ndarray, int]:
     return word & _MASKS[lengths], len(control) + size
 
 
+#: A space after another white space character, or at an end: no place to cut.
+_ODD = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |^ | $"
+
+
+def _places(values: list, what: object) -> list[int]:
+    """Where a value stands in a list."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(what, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of chunks between spaces.
 
     A space after a character that is not white space always begins a new match of the byte-level pattern, and nothing
-    before it matters to what follows; so chunks that end in other characters can be encoded apart. Texts for which
-    that does not hold (double spaces, other tokenizers) are encoded whole.
+    before it matters to what follows; so the chunks between such spaces can be encoded apart. Texts of other
+    tokenizers are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -93,52 +109,63 @@ class Encoder:
                 lengths[i] = len(token)  # byte-level tokens have one character for each byte
             self.lengths = lengths
             self.tokenizer.model._resize_cache(0)
-        self.memory: dict[str, bytes | None] = {"": None}
+        self.memory: dict[str, bytes] = {}
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.memory) + len(chunks) > REMEMBERED:
-            self.memory = {"": None}
-        good = []
-        for c in chunks:
-            if c[-1].isspace():
-                self.memory[c] = None
-            else:
-                good.append(c)
+        """Remember the ids of chunks, each with the space before it."""
+        good = [c for c in chunks if not c[-1].isspace()]
+        if len(good) < len(chunks):  # what ends in white space is only ever at a text's end
+            last = [c for c in chunks if c[-1].isspace()]
+            self.memory.update(zip(last, self._whole([" " + c for c in last])))
         groups = [good[i : i + 200] for i in range(0, len(good), 200)]
+        step = np.dtype(self.width).itemsize
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(c.encode()) + 1 for c in group]))
+            ids = np.array(e.ids, self.width)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([(len(c) if c.isascii() else len(c.encode())) + 1 for c in group]))
             raw, lo = ids.tobytes(), 0
-            for c, hi in zip(group, cuts.tolist()):
-                self.memory[c] = raw[lo : 4 * hi + 4]
-                lo = 4 * hi + 4
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        if not self.chunked:
-            return [x.tobytes() for x in self._whole(texts)]
-        parts = [t.split(" ") for t in texts]
-        new = set().union(*parts).difference(self.memory) if parts else set()
-        if new:
+            for c, hi in zip(group, (step * (cuts + 1)).tolist()):
+                self.memory[c] = raw[lo:hi]
+                lo = hi
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (an Arrow array of strings), each text's followed by the end id, and the texts' numbers of ids."""
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if self.chunked else np.ones(len(texts), bool)
+        cut = pc.split_pattern(texts, " ")
+        first = np.asarray(cut.offsets)[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        found = list(map(self.memory.get, chunks))
+        missing = _places(found, None)
+        if missing:
+            new = [chunks[i] for i in missing if chunks[i]]
             if len(self.memory) + len(new) > REMEMBERED:
-                self.memory = {"": None}
-                new = set().union(*parts) - {""}
-            self._learn(list(new))
-        heads = self._whole([p[0] for p in parts])
-        out: list[bytes | None] = []
-        for p, head in zip(parts, heads):
-            try:
-                out.append(head.tobytes() + b"".join(map(self.memory.__getitem__, p[1:])) if p[0] and not p[0][-1].isspace() else None)
-            except TypeError:
-                out.append(None)
-        left = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(left, self._whole([texts[i] for i in left])):
-            out[i] = ids.tobytes()
-        return out
+                self.memory = {}
+            self._learn(new)
+            for i in missing:
+                found[i] = self.memory.get(chunks[i], b"")
+        # a text's first chunk has no space before it; an odd text is encoded whole, as if it were its first chunk
+        heads = pc.if_else(pa.array(odd), texts, cut.flatten().take(pa.array(first))).to_pylist()
+        parts = found + self._whole(heads)
+        table = np.frombuffer(b"".join(parts), self.width)
+        step = np.dtype(self.width).itemsize
+        lengths = np.array([len(x) // step for x in parts], np.int64)
+        offsets = np.cumsum(lengths) - lengths
+        which = np.asarray(coded.indices).astype(np.int64)
+        which[first] = len(found) + np.arange(len(heads))
+        n = lengths[which]
+        if odd.any():
+            owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(which))))
+            rest = odd[owner]
+            rest[first] = False
+            n[rest] = 0
+        ends = np.cumsum(n)
+        ids = table[np.repeat(offsets[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        per_text = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+        return np.insert(ids, np.cumsum(per_text), np.array(end_id, self.width)), per_text + 1
 
 
 @lru_cache(2)
@@ -152,17 +179,19 @@ def _encoder(path: str) -> Encoder:
 def encoded(df: DataFrame, text: str = "text", path: str | None = None, end_id: int = 2) -> DataFrame:
     """doc_id, n_tokens and ids (packed unsigned 16- or 32-bit, by the vocabulary) of every text, the end id last."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    small_batches(df.sparkSession, 500)
+    small_batches(df.sparkSession, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
-            texts = [v.as_py().decode("utf-8", "replace") for v in batch.column(1)]
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder.encode(texts)]
-            width = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for batch in pieces(batches, 6 << 20):
+            if not batch.num_rows:
+                continue
+            flat, n = encoder.encode(batch.column(1).cast(pa.string()), end_id)
+            ends = np.append(0, np.cumsum(n)).astype(np.int32) * np.int32(flat.itemsize)
+            ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
-    return df.select("doc_id", text_bytes(df, text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return df.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -175,8 +204,8 @@ def ranking(tokens: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.bincount(_ids(raw, n), minlength=len(total))
+            if batch.num_rows:
+                counts = np.bincount(np.concatenate([_ids(raw, n) for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]), minlength=len(total))
                 counts[: len(total)] += total
                 total = counts
         ids = np.flatnonzero(total)
@@ -293,7 +322,7 @@ def read_files(index: DataFrame, at: str, ids: bool = False) -> DataFrame:
 def token_files(df: DataFrame, text: str = "text", path: str | None = None, end_id: int = 2, to: str | None = None) -> DataFrame:
     """Encode, write the files and read them back."""
     to = to or new_path(df.sparkSession, "tokens")
-    tokens = written(encoded(df, text, path, end_id), "token-stage")
+    tokens = written(encoded(df, text, path, end_id), "token-stage", "zstd")
     index = write_files(tokens, to)
     drop_written(tokens)
     return read_files(index, to)
