@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL}
+    return {"op1_topk": topk.SQL, "op6_embedding_dedup": itq.SQL}

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words of hosts for the default labelled table.
-BAD = ("cheap-pills", "free-bets", "spam-farm", "casino-bonus", "adult-cams", "porn-tube", "payday-loans", "lottery-win", "warez-crack", "malware-drop", "click-bait", "fake-meds", "xxx-videos", "poker-slots", "free-spam", "cheap-bets")
+BAD = ("cheap-pills", "free-bets", "spam-farm", "casino-bonus", "adult-cams", "porn-tube", "payday-loans", "lottery-win", "warez-crack", "malware-drop", "click-bait", "fake-meds", "xxx-videos", "poker-slots", "free-spam", "cheap-bets", "ads-network", "track-pixel", "ads-tracker")
 GOOD = ("city-library", "weather", "school", "museum", "recipes", "garden", "science-news", "travel", "music", "wiki", "docs", "health", "thther", "tionsh", "ththan", "therin", "tiontion", "thering", "ththble", "therly", "ththre", "theren")
 MOST_LABELLED, BITS, SIZES = 10_000, 18, (3, 4, 5)
 
