@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.plans.fixtures import TABLES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [f"quillon.{name}" for name in ("operators.dedup", "operators.filters", "operators.aggregates", "operators.risk", "operators.sla", "operators.triage", "operators.governance", "operators.joins", "operators.audit", "operators.exports", "operators.detectors", "operators.policy", "sources.readers", "sources.tools", "functions.scalars", "streaming.queries")]
+MODULES = [f"quillon.{name}" for name in ("operators.dedup", "operators.filters", "operators.aggregates", "operators.risk", "operators.sla", "operators.triage", "operators.governance", "operators.joins", "operators.audit", "operators.exports", "operators.detectors", "operators.policy", "operators.context", "sources.readers", "sources.tools", "functions.scalars", "streaming.queries")]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

@@ -93,3 +93,50 @@ def limiter_stream(events: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["event_id", "identity", "allowed"])
 
     return events.groupBy("identity").applyInPandasWithState(run, "event_id long, identity long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Fixed values of the delivery breaker: successes that close it again; seconds before each further attempt; attempts.
+CLOSING, DELAYS, ATTEMPTS = 3, (1, 5, 30), 3
+Delivery = tuple[str, int, int, float]
+READY: Delivery = ("closed", 0, 0, 0.0)
+
+
+def delivery_allowed(state: Delivery, now: float, recovery: float = RECOVERY, closing: int = CLOSING) -> tuple[Delivery, bool]:
+    """Whether an endpoint may be called; an open breaker is half open once its time has passed."""
+    name, failed, ok, last = state
+    if name == "open":
+        return (("half_open", 0, 0, last), True) if now - last >= recovery else (state, False)
+    return state, name == "closed" or ok < closing
+
+
+def delivery_result(state: Delivery, now: float, success: bool, failures: int = FAILURES, closing: int = CLOSING) -> Delivery:
+    """The breaker after a call: a failure while half open opens it, enough successes close it."""
+    name, failed, ok, last = state
+    if success:
+        ok += 1
+        if name == "half_open" and ok >= closing:
+            return "closed", 0, 0, last
+        return ("half_open", 0, 1, last) if name == "open" else (name, 0, ok, last)
+    failed += 1
+    if name == "half_open":
+        return "open", failed, 0, now
+    return ("open" if name == "closed" and failed >= failures else name), failed, ok, now
+
+
+def delivered(state: Delivery, now: float, outcomes: Iterable[bool], attempts: int = ATTEMPTS, delays: tuple[int, ...] = DELAYS) -> tuple[Delivery, str, int, float]:
+    """One event's delivery with retries: the breaker, the logged status, the number of the last attempt and the time after it.
+
+    Only the last attempt is logged: DELIVERED, EXHAUSTED, or FAILED with attempt 0 where the breaker is open.
+    """
+    state, allowed = delivery_allowed(state, now)
+    if not allowed:
+        return state, "FAILED", 0, now
+    results = iter(outcomes)
+    for attempt in range(1, attempts + 1):
+        if attempt > 1:
+            now += delays[min(attempt - 2, len(delays) - 1)]
+        success = next(results, False)
+        state = delivery_result(state, now, success)
+        if success:
+            return state, "DELIVERED", attempt, now
+    return state, "EXHAUSTED", attempts, now

@@ -215,3 +215,31 @@ def test_breaker_stream_equals_replay(spark, sf_dir):
         calls = [(e, ts.replace(tzinfo=dt.timezone.utc).timestamp(), ok) for a, ts, e, ok in rows if a == agent]
         for event, name, allowed in state.replay(calls):
             assert got[event] == (name, allowed)
+
+
+def test_delivery_breaker_and_retries():
+    s = state.READY
+    for t in range(5):
+        s = state.delivery_result(s, float(t), False)
+    assert s[0] == "open" and state.delivery_allowed(s, 10.0)[1] is False
+    s, ok = state.delivery_allowed(s, 70.0)
+    assert (s[0], ok) == ("half_open", True)
+    for _ in range(3):
+        s = state.delivery_result(s, 71.0, True)
+    assert s[0] == "closed" and state.delivery_result(("half_open", 0, 1, 0.0), 5.0, False)[0] == "open"
+    assert state.delivered(state.READY, 0.0, [False, True])[1:] == ("DELIVERED", 2, 1.0)
+    assert state.delivered(state.READY, 0.0, [])[1:] == ("EXHAUSTED", 3, 6.0)
+    assert state.delivered(("open", 5, 0, 0.0), 1.0, [True])[1:] == ("FAILED", 0, 1.0)
+
+
+def test_context(spark):
+    from quillon.operators import context
+
+    v = lambda c: values(spark, c)
+    assert [v(context.production(F.lit(p), F.lit(t))) for p, t in (("src/prod/a", ""), ("src/demo/a", ""), ("a", "DEBUG = True"), ("a", "prod"), ("a", ""))] == [0.8, 0.3, 0.4, 0.9, 0.6]
+    assert v(context.sensitivity(F.lit("Stripe payment by e-mail address"))) == pytest.approx(0.9)
+    assert v(context.regulations(F.lit("gdpr"), F.lit("src/billing.py"))) == ["GDPR", "PCI DSS"] and v(context.regulations(F.lit(""), F.lit("health"))) == []
+    text = F.lit("\n".join(["@login_required"] + ["x"] * 30 + ["y = input()"]))
+    assert v(context.requires_authentication(text, F.lit(10))) and not v(context.requires_authentication(text, F.lit(25))) and v(context.input_reaches(text, F.lit(28)))
+    a = v(context.advisory(F.lit(json.dumps({"id": "G", "severity": [{"type": "CVSS_V3", "score": "4.0"}, {"type": "CVSS_V4", "score": "9.1"}], "aliases": ["CVE-1", "x"], "affected": [{"ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.2"}]}]}]}))))
+    assert (a.score, a.severity, a.cve_ids, a.fixed_versions) == (9.1, "CRITICAL", ["CVE-1"], ["1.2"])
