@@ -127,10 +127,10 @@ def flt13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(bus_messages(spark, sf_dir).where("agent_id = 3").select("event_id", "ts", "agent_id"), F.desc("ts"), F.desc("event_id"), limit=50, offset=5)
 
 
-@query("flt15_scope_glob", "SELECT repo, file_path, count(*) AS n FROM findings WHERE repo = 'project-1' AND (file_path LIKE 'src/a%' OR file_path LIKE '%b_.py') GROUP BY 1, 2")
+@query("flt15_scope_glob", "SELECT repo, file_path, count(*) AS n FROM findings WHERE repo = 'project-1' AND (file_path LIKE 'src/b%' OR file_path LIKE '%bol_.py') GROUP BY 1, 2")
 def flt15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope match: repository by equality, path by any of several globs."""
-    globs = F.array(F.lit("src/a*"), F.lit("*b?.py"))
+    globs = F.array(F.lit("src/b*"), F.lit("*bol?.py"))
     hit = F.exists(globs, lambda g: F.regexp("file_path", glob_regex(g)))
     return findings(spark, sf_dir).where((F.col("repo") == "project-1") & hit).groupBy("repo", "file_path").agg(F.count("*").alias("n"))
 

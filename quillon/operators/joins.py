@@ -125,10 +125,10 @@ def jon15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(ranges, ["file_path", "bin"]).where("line_number BETWEEN start AND stop").select("file_path", "line_number", "start", "stop")
 
 
-@query("jon16_anti", "SELECT DISTINCT file_path FROM findings f WHERE severity = 'INFO' AND NOT EXISTS (SELECT 1 FROM findings g WHERE g.file_path = f.file_path AND g.severity = 'CRITICAL' AND g.confidence = 'HIGH' AND g.tool_source = 'bandit')")
+@query("jon16_anti", "SELECT DISTINCT file_path FROM findings f WHERE severity = 'INFO' AND NOT EXISTS (SELECT 1 FROM findings g WHERE g.file_path = f.file_path AND g.severity = 'CRITICAL' AND g.confidence = 'HIGH' AND g.tool_source = 'bandit' AND g.category = 'CORS' AND g.line_number = 7)")
 def jon16(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings(spark, sf_dir)
-    seen = found.where("severity = 'CRITICAL' AND confidence = 'HIGH' AND tool_source = 'bandit'").select("file_path").distinct()
+    seen = found.where("severity = 'CRITICAL' AND confidence = 'HIGH' AND tool_source = 'bandit' AND category = 'CORS' AND line_number = 7").select("file_path").distinct()
     return found.where("severity = 'INFO'").select("file_path").distinct().join(seen, "file_path", "left_anti")
 
 
