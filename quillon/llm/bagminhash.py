@@ -60,14 +60,14 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.bincount(owner, minlength=len(texts))
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), n
-    # a word's hash: its bytes by powers of a multiplier, 256 bytes at a time
+    # a word's hash: its bytes by powers of a multiplier, which begin anew every 256 bytes; it depends on the word alone
     word = np.cumsum(space[:-1] & ~space[1:])  # number of words begun before each byte but the first
     inside = ~space[1:]
     w = word[inside] - 1
     place = np.flatnonzero(inside) + 1 - starts[w]
     value = (flat[1:][inside].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 255]
-    if len(place) and place.max() > 255:
-        value = _mix(value + (place >> 8).astype(np.uint64) * np.uint64(_G))
+    far = np.flatnonzero(place > 255)
+    value[far] = _mix(value[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(_G))
     h = np.add.reduceat(value, np.flatnonzero(place == 0))
     h = _mix(h + (ends - starts).astype(np.uint64) * np.uint64(_G))
     out = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)

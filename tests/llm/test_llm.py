@@ -353,6 +353,14 @@ def test_signatures_estimate_weighted_jaccard():
     assert (sig(x) == sig(y)).mean() == pytest.approx(true, abs=0.16)
 
 
+def test_shingles_do_not_depend_on_their_company():
+    texts = [b"a b c d e f", ("w" * 900 + " b c d e f").encode(), b"x", ("w" * 256 + " y").encode()]
+    together, owner, _ = bagminhash.shingles(texts)
+    for i, t in enumerate(texts):
+        assert sorted(together[owner == i]) == sorted(bagminhash.shingles([t])[0])
+    assert len(set(together.tolist())) == len(together)
+
+
 # -- 9: repeated strings
 
 
