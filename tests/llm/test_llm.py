@@ -358,7 +358,7 @@ def test_shingles_do_not_depend_on_their_company():
     together, owner, _ = bagminhash.shingles(texts)
     for i, t in enumerate(texts):
         assert sorted(together[owner == i]) == sorted(bagminhash.shingles([t])[0])
-    assert len(set(together.tolist())) == len(together)
+    assert len(set(together.tolist())) == len(together) - 1  # "b c d e f" is in two of them
 
 
 # -- 9: repeated strings
