@@ -33,7 +33,7 @@ from quillon.llm.common import small_batches, text_bytes
 #: A part of a document of so many characters is a leaf; a part of a match of so many bytes is one.
 LEAF_CHARS, LEAF_BYTES = 8192, 64
 #: Distinct matches whose ids a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Characters that the pattern may look at from a match's start besides the match itself (`'re` and its kind).
 LOOK = 3
 
