@@ -182,7 +182,8 @@ def txt05_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt06_entropy")
 def txt06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return high_entropy(numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), 3.0).select("doc_id", "line_number", F.bround("entropy", 4).alias("entropy"))
+    texts = sources(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
+    return high_entropy(numbered_lines(texts).drop("text"), 3.0).select("path", "line_number", F.bround("entropy", 4).alias("entropy"))
 
 
 @query("txt10_taint")
