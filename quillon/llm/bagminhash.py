@@ -37,6 +37,8 @@ WORDS, REGISTERS, BANDS = 5, 128, 32
 SLACK = 0.18
 #: A bucket of more documents than DENSE is verified inside its blocks of BLOCK documents on either side.
 DENSE, BLOCK = 64, 1024
+#: Pairs whose bands are compared at a time.
+PAIRS = 4096
 _G = 0x9E3779B97F4A7C15
 
 
@@ -180,7 +182,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
     held: list[dict] = []
     key = None
     for batch in batches:
-        t = {n: (np.array([*c.to_pylist(), None], object)[:-1] if pa.types.is_binary(c.type) else c.to_numpy()) for n, c in zip(batch.schema.names, batch.columns)}
+        t = {n: (np.array([*c.to_pylist(), None], object)[:-1] if pa.types.is_binary(c.type) else c.flatten().to_numpy().reshape(-1, BANDS) if pa.types.is_list(c.type) else c.to_numpy()) for n, c in zip(batch.schema.names, batch.columns)}
         cuts = [0, *(np.flatnonzero((t["bucket"][1:] != t["bucket"][:-1]) | (t["block"][1:] != t["block"][:-1])) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
@@ -194,15 +196,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 
 def _plausible(t: dict[str, np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs (side 0, side 1) of different components, in the first band that they share, whose sketches agree nearly enough."""
-    sketch = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, BANDS, REGISTERS // BANDS)
+    """Index pairs (side 0, side 1) of different components, in the first band that they share, whose sketches agree nearly enough.
+
+    The bands are compared by their keys: sketches may agree by chance in a band whose bucket the two do not share.
+    """
+    sketch = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, REGISTERS)
     left, right, band = np.flatnonzero(t["side"] != 1), np.flatnonzero(t["side"] != 0), int(t["band"][0])
     once = (lambda a, b: a < b) if t["side"][0] == 2 else (lambda a, b: a != b)  # noqa: E731 - a block against itself, or against another
     for lo in range(0, len(left), 32):
         l = left[lo : lo + 32]
-        same = sketch[l][:, None] == sketch[right][None]
-        agree = same.mean((2, 3))
-        i, j = np.nonzero((agree >= least - SLACK) & (same.all(3).argmax(2) == band) & (t["component"][l][:, None] != t["component"][right][None, :]) & once(t["id"][l][:, None], t["id"][right][None, :]))
+        agree = (sketch[l][:, None] == sketch[right][None]).mean(2)
+        i, j = np.nonzero((agree >= least - SLACK) & (t["component"][l][:, None] != t["component"][right][None, :]) & once(t["id"][l][:, None], t["id"][right][None, :]))
+        first = np.concatenate([np.zeros(0, bool), *((t["bands"][l[i[k : k + PAIRS]]] == t["bands"][right[j[k : k + PAIRS]]]).argmax(1) == band for k in range(0, len(i), PAIRS))])
+        i, j = i[first], j[first]
         yield l[i], right[j], agree[i, j]
 
 
@@ -305,13 +311,13 @@ def classes(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFram
     block = F.least("own", "other") * 65536 + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     sides = sides.select("bucket", block.alias("block"), "band", side.alias("side"), "id", "component", "n")
-    sparse = sides.where(f"n <= {DENSE}").drop("n").join(entries.select("id", "sketch"), "id")
+    sparse = sides.where(f"n <= {DENSE}").drop("n").join(entries.select("id", "sketch", "bands"), "id")
     more = sparse.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_sparse(least), "a long, b long").distinct()
     more = written(more.select(F.col("b").alias("a"), F.col("a").alias("b")).join(done, ["a", "b"], "left_anti"), "candidates")
     crowd = written(still.where(f"n > {DENSE}").select("id").distinct(), "crowd")
     texts = _texts(docs, text, written(_ends(more).unionByName(crowd).distinct(), "ends"))
     second = written(_verified(more, texts, least), "links")
-    dense = sides.where(f"n > {DENSE}").drop("n").join(entries.select("id", "sketch"), "id").join(texts, "id")
+    dense = sides.where(f"n > {DENSE}").drop("n").join(entries.select("id", "sketch", "bands"), "id").join(texts, "id")
     third = written(dense.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_dense(least), "a long, b long"), "links")
     drop_written(texts)
     drop_written(members)

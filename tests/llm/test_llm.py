@@ -361,6 +361,28 @@ def test_shingles_do_not_depend_on_their_company():
     assert len(set(together.tolist())) == len(together) - 1  # "b c d e f" is in two of them
 
 
+def test_pairs_meet_in_a_bucket_that_they_share():
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(400)]
+    met = chance = 0
+    for _ in range(1500):
+        base = words(rng, 60, vocabulary).split(" ")
+        copy = list(base)
+        copy[rng.randrange(60)] = "new"
+        register = bagminhash.signatures(*bagminhash.multisets(*bagminhash.shingles([" ".join(t).encode() for t in (base, copy)])[:2]), 2)
+        bands = bagminhash.band_keys(register).view(np.int64)
+        sketch = (bagminhash._mix(register.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+        shared = np.flatnonzero(bands[0] == bands[1])
+        if len(shared):
+            rows = {"sketch": np.array([x.tobytes() for x in sketch], object), "bands": bands, "id": np.array([1, 2]), "component": np.array([1, 2]), "side": np.array([2, 2])}
+            found = [sum(len(i) for i, *_ in bagminhash._plausible(rows | {"band": np.array([k, k])}, 0.8)) for k in shared]
+            agree = (sketch[0] == sketch[1]).mean() >= 0.8 - bagminhash.SLACK
+            assert found == [int(agree)] + [0] * (len(shared) - 1)
+            met += 1
+            chance += (sketch[0] == sketch[1]).reshape(bagminhash.BANDS, -1).all(1).argmax() != shared[0]
+    assert met > 1400 and chance > 0  # some sketches agree by chance in an earlier band
+
+
 # -- 9: repeated strings
 
 
