@@ -2,7 +2,9 @@
 
 A text becomes a normalised TF-IDF vector of hashed letter n-grams (n = 1 to 3; other characters are one space between
 words). Each language has several centroids from spherical k-means; a text gets the language of the centroid of largest
-cosine. A text whose cosine is below the rejection distance is like no learned language: it is marked as rejected.
+cosine. A text whose cosine is below the rejection distance is like no learned language: it is marked as rejected. The
+distance is learnt for each language: half of a low quantile of the cosines of its distinct sampled texts, each against
+centroids without itself. The cosine of a text of fewer than LONG n-grams says little; REJECT is its distance.
 
 The model is fitted on a bounded sample: at most SAMPLE rows in all, shared evenly by the languages and chosen by a hash
 of doc_id, each as a sparse vector of its whole text. Prediction covers every whole text; long texts are counted in
@@ -28,9 +30,11 @@ from pyspark.sql import types as T
 from quillon.llm.common import small_batches, text_bytes
 
 #: Labelled rows that the model is fitted on, centroids of a language, hashed dimensions (as bits), characters at a time.
-SAMPLE, CENTROIDS, BITS, PIECE = 2400, 4, 14, 1 << 20
-#: Cosine below which a text is like no learned language.
+SAMPLE, CENTROIDS, BITS, PIECE = 2400, 4, 16, 1 << 20
+#: Cosine below which a short text is like no learned language; the same for others where fewer than ENOUGH texts are learnt.
 REJECT = 0.06
+#: n-grams from which a text is long, and texts, quantile and share of it that give a language's own rejection distance.
+LONG, ENOUGH, QUANTILE, SHARE = 128, 20, 0.01, 0.5
 UNKNOWN = "und"
 
 
@@ -85,12 +89,31 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, k: int = CENTROIDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language of each centroid, the centroids (one column each), and the inverse document frequencies."""
+def _left_out(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The largest cosine of each row of x with the centroids, its own one made without it."""
+    near = x @ centres.T
+    own = np.argmax(near, 1)
+    for j in range(len(centres)):
+        rows = np.flatnonzero(own == j)
+        if len(rows):
+            whole = x[rows].sum(0)
+            along = x[rows] @ whole
+            rest = np.sqrt(np.maximum(whole @ whole - 2 * along + 1, 0))  # norm of the sum without the row
+            near[rows, j] = np.where(rest > 1e-3, (along - 1) / np.maximum(rest, 1e-3), 0)
+    return near.max(1)
+
+
+def _limit(cosines: np.ndarray) -> float | None:
+    """The rejection distance that cosines of known texts give; None if they are too few."""
+    return max(REJECT, SHARE * float(np.quantile(cosines, QUANTILE))) if len(cosines) >= ENOUGH else None
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, k: int = CENTROIDS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language of each centroid, the centroids (one column each), the inverse document frequencies, and the rejection distance of each centroid."""
     small_batches(df.sparkSession)
     known = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & learnable(F.col(key)) & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r["count"] for r in df.where(F.col(lang).isNotNull() & learnable(F.col(key))).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(sample).collect()}
-    none = [], np.zeros((1 << BITS, 0), np.float32), np.ones(1 << BITS, np.float32)
+    none = [], np.zeros((1 << BITS, 0), np.float32), np.ones(1 << BITS, np.float32), np.zeros(0)
     if not counts:
         return none
     each = max(1, sample // len(counts))
@@ -115,21 +138,29 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     for _, _, at, _ in rows:
         seen[at] += 1
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    names, centres = [], []
+    names, centres, known_by = [], [], {}
     for name in sorted({r[0] for r in rows}):
         own = [r for r in rows if r[0] == name]
-        x = np.zeros((len(own), 1 << BITS), np.float32)
+        used = np.unique(np.concatenate([r[2] for r in own]))  # only columns that the language has are held
+        x = np.zeros((len(own), len(used)), np.float32)
         for i, (_, _, at, n) in enumerate(own):
-            x[i, at] = (1 + np.log(n)) * idf[at]
+            x[i, np.searchsorted(used, at)] = (1 + np.log(n)) * idf[at]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         got = _kmeans(x, k)
-        centres.append(got)
+        once = {(at.tobytes(), n.tobytes()): i for i, (_, _, at, n) in enumerate(own) if n.sum() >= LONG}  # copies count once
+        distinct = sorted(once.values())
+        known_by[name] = _left_out(x[distinct], got) if distinct else np.zeros(0)
+        wide = np.zeros((len(got), 1 << BITS), np.float32)
+        wide[:, used] = got
+        centres.append(wide)
         names += [name] * len(got)
-    return names, np.ascontiguousarray(np.concatenate(centres).T, np.float32), idf.astype(np.float32)
+    together = _limit(np.concatenate(list(known_by.values()))) or REJECT
+    limits = {name: _limit(cosines) or together for name, cosines in known_by.items()}
+    return names, np.ascontiguousarray(np.concatenate(centres).T, np.float32), idf.astype(np.float32), np.array([limits[name] for name in names])
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", reject: float = REJECT) -> DataFrame:
-    """df with lang_pred, score (cosine, 0 to 1) and rejected."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], text: str = "text", reject: float = REJECT) -> DataFrame:
+    """df with lang_pred, score (cosine, 0 to 1) and rejected; reject is the distance of short texts."""
     spark = df.sparkSession
     small_batches(spark)
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
@@ -137,19 +168,20 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text
     shared = spark.sparkContext.broadcast(model)  # CENTROIDS vectors for each language learnt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, centres, idf = shared.value
+        names, centres, idf, limits = shared.value
         for batch in batches:
-            languages, cosines = [], []
+            languages, cosines, bad = [], [], []
             for v in batch.column("__text"):
                 at, n = vector(v.as_py().decode("utf-8", "replace"))
                 if not len(at) or not names:
-                    languages.append(UNKNOWN), cosines.append(0.0)
+                    languages.append(UNKNOWN), cosines.append(0.0), bad.append(True)
                     continue
                 x = (1 + np.log(n)) * idf[at]
                 near = x @ centres[at] / np.linalg.norm(x)
                 best = int(np.argmax(near))
                 languages.append(names[best]), cosines.append(float(min(1.0, max(0.0, near[best]))))
-            columns = [*(batch.column(c) for c in kept), pa.array(languages, pa.string()), pa.array(cosines), pa.array([a == UNKNOWN or s < reject for a, s in zip(languages, cosines)])]
+                bad.append(bool(cosines[-1] < (limits[best] if n.sum() >= LONG else reject)))
+            columns = [*(batch.column(c) for c in kept), pa.array(languages, pa.string()), pa.array(cosines), pa.array(bad, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score", "rejected"])
 
     return df.select(*kept, text_bytes(df, text).alias("__text")).mapInArrow(run, schema)

@@ -136,6 +136,19 @@ def test_language_edges(spark, sf_dir):
     assert {r.lang_pred for r in langid.predict(docs(spark), nothing).collect()} == {"und"}
 
 
+def test_long_foreign_texts_are_rejected(spark, sf_dir):
+    rng = random.Random(11)
+    drawn = lambda letters, n: "".join(rng.choice(letters) if rng.random() < 0.85 else " " for _ in range(n))
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    foreign = [drawn(letters, n) for letters in ("bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрстуфхцчшщыэюя", han) for n in (100, 1000, 10_000, 50_000)]
+    foreign += [n * "kun aurinko nousi metsän ylle, vanha kalastaja työnsi veneensä hiljaa järvelle ja mietti, mitä päivä toisi. " for n in (1, 30)]
+    known = common.table(spark, sf_dir, "documents")
+    model = langid.fit(known)
+    got = langid.predict(docs(spark, [(i, t, None, None, 0) for i, t in enumerate(foreign)]), model).collect()
+    assert [r.doc_id for r in got if not r.rejected] == []
+    assert langid.predict(known.where("text rlike '[a-zA-Z]'"), model).where("rejected").count() == 0
+
+
 # -- 5: personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
