@@ -211,3 +211,8 @@ def entropy(text: Column) -> Column:
 @query("scl21_entropy", "WITH c AS (SELECT item_id, unnest(string_split(substr(text, 1, 200), '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT item_id, sum(k) AS s FROM n GROUP BY 1) SELECT n.item_id, round_even(-sum(k / s * log2(k / s)), 6) AS entropy FROM n JOIN t USING (item_id) GROUP BY 1")
 def scl21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.bround(entropy(F.substring("text", 1, 200)), 6).alias("entropy"))
+
+
+@query("scl21_entropy_whole", "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT item_id, sum(k) AS s FROM n GROUP BY 1) SELECT n.item_id, round_even(-sum(k / s * log2(k / s)), 6) AS entropy FROM n JOIN t USING (item_id) GROUP BY 1")
+def scl21_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.bround(entropy(F.col("text")), 6).alias("entropy"))

@@ -243,3 +243,8 @@ def test_context(spark):
     assert v(context.requires_authentication(text, F.lit(10))) and not v(context.requires_authentication(text, F.lit(25))) and v(context.input_reaches(text, F.lit(28)))
     a = v(context.advisory(F.lit(json.dumps({"id": "G", "severity": [{"type": "CVSS_V3", "score": "4.0"}, {"type": "CVSS_V4", "score": "9.1"}], "aliases": ["CVE-1", "x"], "affected": [{"ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.2"}]}]}]}))))
     assert (a.score, a.severity, a.cve_ids, a.fixed_versions) == (9.1, "CRITICAL", ["CVE-1"], ["1.2"])
+
+
+def test_entropy_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 200 + "b" * 200)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert governance.scl21_whole(spark, str(tmp_path)).first().entropy == pytest.approx(1.0)
