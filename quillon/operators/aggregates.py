@@ -143,15 +143,25 @@ def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.join(counts, "severity", "left").select("severity", n.alias("n"), (n * F.col("weight")).alias("debt"), (n * F.col("effort")).alias("effort_hours"))
 
 
-@query("agg13_debt_rating", f"SELECT name, score, CASE WHEN score = 0 THEN 'A+' " + " ".join(f"WHEN score < {x} THEN '{a}'" for x, a, _ in DEBTS) + " ELSE 'F' END AS rating, CASE WHEN score = 0 THEN 'low' " + " ".join(f"WHEN score < {x} THEN '{b}'" for x, _, b in DEBTS) + f" ELSE 'critical' END AS risk, round_even(hours / 8, 1) AS days FROM (SELECT file_path || ':' || category AS name, cast(sum({sql_pick(WEIGHT, 'severity')}) as bigint) AS score, sum({sql_pick(EFFORT, 'severity')}::double) AS hours FROM findings WHERE line_number = 7 GROUP BY 1)")
-def agg13_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = findings(spark, sf_dir).where("line_number = 7").groupBy(F.concat_ws(":", "file_path", "category").alias("name")).agg(F.sum(severity_weight()).cast("long").alias("score"), F.sum(pick(EFFORT, F.col("severity"), 1.0)).alias("hours"))
+def debt_rating(found: DataFrame) -> DataFrame:
+    """Debt score, rating, risk and days of effort of each file and category."""
+    per = found.groupBy(F.concat_ws(":", "file_path", "category").alias("name")).agg(F.sum(severity_weight()).cast("long").alias("score"), F.sum(pick(EFFORT, F.col("severity"), 1.0)).alias("hours"))
     rating, risk = F.when(F.col("score") == 0, "A+"), F.when(F.col("score") == 0, "low")
     for most, letter, label in DEBTS:
         rating, risk = rating.when(F.col("score") < most, letter), risk.when(F.col("score") < most, label)
     return per.select("name", "score", rating.otherwise("F").alias("rating"), risk.otherwise("critical").alias("risk"), F.bround(F.col("hours") / 8, 1).alias("days"))
 
 
+@query("agg13_debt_rating", f"SELECT name, score, CASE WHEN score = 0 THEN 'A+' " + " ".join(f"WHEN score < {x} THEN '{a}'" for x, a, _ in DEBTS) + " ELSE 'F' END AS rating, CASE WHEN score = 0 THEN 'low' " + " ".join(f"WHEN score < {x} THEN '{b}'" for x, _, b in DEBTS) + f" ELSE 'critical' END AS risk, round_even(hours / 8, 1) AS days FROM (SELECT file_path || ':' || category AS name, cast(sum({sql_pick(WEIGHT, 'severity')}) as bigint) AS score, sum({sql_pick(EFFORT, 'severity')}::double) AS hours FROM findings WHERE line_number = 7 GROUP BY 1)")
+def agg13_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debt_rating(findings(spark, sf_dir).where("line_number = 7"))
+
+
+@query("agg13_debt_rating_all", f"SELECT name, score, CASE WHEN score = 0 THEN 'A+' " + " ".join(f"WHEN score < {x} THEN '{a}'" for x, a, _ in DEBTS) + " ELSE 'F' END AS rating, CASE WHEN score = 0 THEN 'low' " + " ".join(f"WHEN score < {x} THEN '{b}'" for x, _, b in DEBTS) + f" ELSE 'critical' END AS risk, round_even(hours / 8, 1) AS days FROM (SELECT file_path || ':' || category AS name, cast(sum({sql_pick(WEIGHT, 'severity')}) as bigint) AS score, sum({sql_pick(EFFORT, 'severity')}::double) AS hours FROM findings GROUP BY 1)")
+def agg13_rating_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debt_rating(findings(spark, sf_dir))
+
+
 def security_score(found: DataFrame, by: str = "repo") -> DataFrame:
     """Composite score of density, severities, time to remediate and coverage for each value of by."""
     s = scans(found).groupBy(F.col("name").alias(by)).agg(F.count("*").alias("scans"), F.sum("total").alias("total"), F.sum("total_lines").alias("lines"), F.sum("critical").alias("critical"), F.sum("high").alias("high"))

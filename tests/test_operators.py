@@ -248,3 +248,10 @@ def test_context(spark):
 def test_entropy_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 200 + "b" * 200)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert governance.scl21_whole(spark, str(tmp_path)).first().entropy == pytest.approx(1.0)
+
+
+def test_debt_rating_of_all_lines(spark, sf_dir):
+    found = dedup.findings(spark, sf_dir)
+    got = {r.name: r.score for r in aggregates.agg13_rating_all(spark, sf_dir).collect()}
+    assert len(got) == found.select("file_path", "category").distinct().count() > found.where("line_number = 7").select("file_path", "category").distinct().count()
+    assert sum(got.values()) == found.agg(F.sum(aggregates.severity_weight())).first()[0]
