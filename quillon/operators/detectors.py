@@ -175,6 +175,19 @@ def txt05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.where("rule = 'hardcoded-secret'").select("doc_id", "line_number", "rule")
 
 
+def _rule_sql(rule: str, pattern: str, severity: str, cwe: str) -> str:
+    """The hits of a rule as DuckDB text; a lookahead for what must not follow is a test of what stands after the last match."""
+    head, _, tail = pattern.replace("'", "''").partition("(?!.*")
+    hit = f"regexp_matches(line, '{head}')" + (f" AND NOT contains(regexp_extract(line, '.*{head}(.*)', 1), '{tail[:-1]}')" if tail else "")
+    return f"SELECT doc_id, line_number, '{rule}' AS rule, '{severity}' AS severity, '{cwe}' AS cwe_id FROM lines WHERE {hit}" + ("" if cwe == "CWE-798" else f" AND NOT regexp_matches(line, '{COMMENT}')")
+
+
+@query("txt05_line_patterns_all", "WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, cast(generate_subscripts(string_split(text, chr(10)), 1) as int) AS line_number FROM documents) " + " UNION ALL ".join(_rule_sql(*p) for p in PATTERNS))
+def txt05_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = line_hits(numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return hits.select("doc_id", "line_number", "rule", "severity", "cwe_id")
+
+
 @query("txt05_source_scan")
 def txt05_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_hits(numbered_lines(sources(spark, sf_dir)).drop("text")).select("path", "line_number", "rule", "severity", "cwe_id")

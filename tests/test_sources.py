@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import catalog
+from quillon.functions import scalars
 from quillon.operators import detectors, policy
 from quillon.sources import tools
 
@@ -72,3 +75,19 @@ def test_detectors(spark):
     assert detectors.taint_flows("def (") == [] and detectors.parse_python("def f(a):\n  return 1 if a and a else 2\n") == [("function", "f", 1, 2, 3)]
     diff = detectors.unified_diff(spark.createDataFrame([("a\n", "b\n", "f")], "x string, y string, p string"), "x", "y", "p").first().diff
     assert diff.splitlines()[-2:] == ["-a", "+b"]
+
+
+def test_all_rules_and_documents(spark, sf_dir, tmp_path):
+    planted = [(-1, "eval(x)\n# eval(x)\nrequests.get(u, verify=False)", "fr"), (-2, "yaml.load(f)\nyaml.load(f, SafeLoader)\n# token = 'abcdefgh1'", None), (-3, None, "en")]
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for r in df.collect():
+        for number, line in enumerate((r.text or "").split("\n"), 1):
+            want |= {(r.doc_id, number, rule) for rule, p, _, cwe in detectors.PATTERNS if re.search(p, line) and (cwe == "CWE-798" or not re.match(detectors.COMMENT, line))}
+    got = [(r.doc_id, r.line_number, r.rule) for r in detectors.txt05_all(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {"eval-call", "tls-off", "yaml-load", "hardcoded-secret"} <= {r for _, _, r in want}
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[:3] for r in duckdb.execute(catalog.oracle_sql()["txt05_line_patterns_all"]).fetchall()} == want
+    assert scalars.scl38_all(spark, str(tmp_path)).count() == df.count()
