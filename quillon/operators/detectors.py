@@ -45,9 +45,11 @@ def line_hits(lines: DataFrame, patterns: tuple[tuple[str, str, str, str], ...]
 
 
 def high_entropy(lines: DataFrame, least: float = 4.0, line: str = "line") -> DataFrame:
-    """Quoted values of at least 20 characters and high entropy, one a line."""
-    value = F.regexp_extract(line, r"['\"]([A-Za-z0-9+/=_-]{20,})['\"]", 1)
-    return lines.withColumn("value", value).where((F.col("value") != "") & ~F.lower("value").startswith("test")).withColumn("entropy", entropy(F.col("value"))).where(F.col("entropy") >= least)
+    """The first quoted value of a line that has at least 20 characters and high entropy."""
+    quoted = r"['\"]([A-Za-z0-9+/=_-]{20,})(?=['\"])"  # the closing quote may open the next value
+    values = F.filter(F.regexp_extract_all(line, F.lit(quoted), 1), lambda v: ~F.lower(v).startswith("test"))
+    good = F.filter(F.transform(values, lambda v: F.struct(v.alias("value"), entropy(v).alias("entropy"))), lambda h: h["entropy"] >= least)
+    return lines.where(F.col(line).rlike(quoted)).withColumn("h", F.get(good, F.lit(0))).where("h IS NOT NULL").select(*lines.columns, "h.*")
 
 
 def missing_headers(headers: Column) -> Column:

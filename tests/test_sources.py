@@ -91,3 +91,10 @@ def test_all_rules_and_documents(spark, sf_dir, tmp_path):
     duckdb.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert {r[:3] for r in duckdb.execute(catalog.oracle_sql()["txt05_line_patterns_all"]).fetchall()} == want
     assert scalars.scl38_all(spark, str(tmp_path)).count() == df.count()
+
+
+def test_entropy_tries_all_values_of_a_line(spark):
+    secret = "a8F5f167f44f4964E6c998dee827110c"
+    lines = [f"x = '{'ab' * 12}', 'test{secret}', '{secret}', '{secret[::-1]}'", f"'{secret}'", f"'test{secret}'", f"'{'a' * 30}'", "none", None]
+    got = detectors.high_entropy(spark.createDataFrame(list(enumerate(lines)), "line_number int, line string"), 3.0).collect()
+    assert sorted((r.line_number, r.value) for r in got) == [(0, secret), (1, secret)]
