@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +96,63 @@ p AS (SELECT a.item_id AS a, b.item_id AS b, a.n AS x, b.n AS y, list_filter(lis
 q AS (SELECT a, b, 0.6::double * (len(list_intersect(s,u)) / len(list_distinct(list_concat(s,u)))) + 0.4::double * (1 - levenshtein(x,y) / greatest(length(x),length(y))) AS v FROM p)
 SELECT a, b, round_even(v, 6) AS similarity FROM q WHERE v >= 0.15""")
 def dup04_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar texts of a small table, blocked by a shared token so that no pair is made that has none."""
+    """Pairs of similar texts of a small table: those that share a token, and others whose lengths allow the edit similarity that they then need."""
     t = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", normalised(F.col("text")).alias("n"))
     tokens = t.select("item_id", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
     pairs = tokens.alias("a").join(tokens.alias("b"), F.expr("a.w = b.w AND a.item_id < b.item_id")).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
+    s = t.withColumn("s", F.split("n", " "))
+    apart = s.alias("a").join(s.alias("b"), F.expr("a.item_id < b.item_id AND NOT arrays_overlap(a.s, b.s) AND 8 * least(length(a.n), length(b.n)) >= 3 * greatest(length(a.n), length(b.n))"))
+    pairs = pairs.unionByName(apart.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")))
     both = pairs.join(t.select(F.col("item_id").alias("a"), F.col("n").alias("x")), "a").join(t.select(F.col("item_id").alias("b"), F.col("n").alias("y")), "b")
     return both.withColumn("v", semantic_similarity(F.col("x"), F.col("y"))).where("v >= 0.15").select("a", "b", F.bround("v", 6).alias("similarity"))
 
 
+def semantic_groups(found: DataFrame, description: str = "description", order: str = "id", least: float = 0.85) -> DataFrame:
+    """scan_id, id, lead and kept of every finding: greedy groups of similar descriptions within a scan.
+
+    In order, a finding that is in no group leads one and takes every later one that is in none and similar to it; the best
+    of a group is kept, the first of equals. Equal descriptions are one node. At 0.85 two descriptions share at least 3/4 of
+    their tokens and 5/8 of their lengths, so that one of the first tokens of each (by frequency) is shared.
+    """
+    if least < 0.85:
+        raise ValueError("the block of tokens is exact for similarities of at least 0.85 only")
+    rows = found.select("scan_id", "id", F.col(order).alias("o"), best_points().alias("points"), F.coalesce(normalised(F.col(description)), F.lit("")).alias("n"))
+    # texts without tokens are like no other, not even an equal one
+    rows = rows.withColumn("n", F.trim("n")).withColumn("alone", F.when(F.col("n") == "", F.col("id")))
+    nodes = rows.groupBy("scan_id", "n", "alone").agg(F.min(F.struct("o", "id")).alias("first"))
+    words = nodes.where("alone IS NULL").select("scan_id", "n", "first", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    often = words.groupBy("scan_id", "w").agg(F.count("*").alias("often"))
+    ranked = words.join(often, ["scan_id", "w"]).groupBy("scan_id", "n", "first").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("ws"))
+    size = F.size("ws")
+    some = ranked.select("scan_id", "n", "first", F.explode(F.slice("ws", F.lit(1), size - F.ceil(size * 0.75 - 1e-9).cast("int") + 1)).alias("x")).select("scan_id", "n", "first", F.col("x.w").alias("w"))
+    a, b = some.alias("a"), some.alias("b")
+    near = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & (8 * F.least(F.length("a.n"), F.length("b.n")) >= 5 * F.greatest(F.length("a.n"), F.length("b.n")))
+    pairs = a.join(b, near).select("a.scan_id", F.col("a.first").alias("x"), F.col("b.first").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")).distinct()
+    edges = pairs.where(semantic_similarity(F.col("xn"), F.col("yn")) >= least).select("scan_id", F.col("x.o").alias("xo"), F.col("x.id").alias("x"), F.col("y.o").alias("yo"), F.col("y.id").alias("y"))
+    kind = dict(found.dtypes)["id"]
+
+    def resolve(edge: pd.DataFrame) -> pd.DataFrame:
+        lead: dict = {}
+        for x, y in edge.sort_values(["xo", "x", "yo", "y"])[["x", "y"]].itertuples(index=False):
+            if x not in lead:  # leads its own group, and takes what is in none
+                lead.setdefault(y, x)
+        return pd.DataFrame({"scan_id": edge["scan_id"].iloc[0], "first": list(lead), "lead": list(lead.values())})
+
+    taken = edges.groupBy("scan_id").applyInPandas(resolve, f"scan_id {dict(found.dtypes)['scan_id']}, first {kind}, lead {kind}")
+    led = nodes.select("scan_id", "n", "alone", F.col("first.id").alias("first")).join(taken, ["scan_id", "first"], "left").withColumn("lead", F.coalesce("lead", "first"))
+    both = rows.alias("r").join(led.alias("l"), (F.col("r.scan_id") == F.col("l.scan_id")) & (F.col("r.n") == F.col("l.n")) & F.col("r.alone").eqNullSafe(F.col("l.alone"))).select("r.*", "lead")
+    place = F.row_number().over(Window.partitionBy("scan_id", "lead").orderBy(F.desc("points"), "o", "id"))
+    return both.select("scan_id", "id", "lead", (place == 1).alias("kept"))
+
+
+@query("dup04_semantic_groups")
+def dup04_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the small table's scans, one for each place and category, by descriptions made from their place and category."""
+    found = findings(spark, sf_dir)
+    best = first_by(found.withColumn("h", dedup_hash()), ("scan_id", "h"), best_points().desc(), F.col("id"))
+    return semantic_groups(best.withColumn("description", F.concat_ws(" ", F.lit("possible"), "category", F.lit("found by"), "tool_source", F.lit("in"), F.replace(F.col("file_path"), F.lit("_"), F.lit(" ")))))
+
+
 @query("set06_jaccard", """WITH t AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')),' ') AS s FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.s,b.s)) AS common, len(list_distinct(list_concat(a.s,b.s))) AS either FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
 def set06(spark: SparkSession, sf_dir: str) -> DataFrame:

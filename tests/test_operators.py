@@ -255,3 +255,57 @@ def test_debt_rating_of_all_lines(spark, sf_dir):
     got = {r.name: r.score for r in aggregates.agg13_rating_all(spark, sf_dir).collect()}
     assert len(got) == found.select("file_path", "category").distinct().count() > found.where("line_number = 7").select("file_path", "category").distinct().count()
     assert sum(got.values()) == found.agg(F.sum(aggregates.severity_weight())).first()[0]
+
+
+def test_semantic_groups_are_greedy(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = ["", None, "!!", "SQL injection in login"]
+    for _ in range(12):
+        base = [rng.choice(["sql", "query", "user", "input", "path", "file", "token", "login", "the", "unsafe"]) + rng.choice("abc") for _ in range(rng.choice([2, 9, 14]))]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] += rng.choice("xyz")
+            texts.append(" ".join(copy) + rng.choice(["", ".", "  "]))
+    rng.shuffle(texts)
+    rows = [(f"{i:04}", f"s{i % 2}", rng.choice(["HIGH", "LOW"]), rng.choice(["HIGH", "MEDIUM", "INFO"]), t) for i, t in enumerate(texts)]
+
+    def norm(t):
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", (t or "").lower())).strip()
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def like(a, b):
+        a, b = norm(a), norm(b)
+        if not a or not b:
+            return 0.0
+        x, y = set(a.split()), set(b.split())
+        return 0.6 * (len(x & y) / len(x | y)) + 0.4 * (1 - edit(a, b) / max(len(a), len(b)))
+
+    want = {}
+    for scan in ("s0", "s1"):
+        own, gone = [r for r in rows if r[1] == scan], set()
+        for i, r in enumerate(own):
+            if r[0] not in gone:
+                group = [r] + [q for q in own[i + 1 :] if q[0] not in gone and like(r[4], q[4]) >= 0.85]
+                gone |= {q[0] for q in group}
+                best = max(group, key=lambda q: (dedup.CONFIDENCE_POINTS[q[2]] + dedup.SEVERITY_POINTS[q[3]], [-ord(c) for c in q[0]]))
+                want |= {q[0]: (r[0], q is best) for q in group}
+    got = dedup.semantic_groups(spark.createDataFrame(rows, "id string, scan_id string, confidence string, severity string, description string")).collect()
+    assert {r.id: (r.lead, r.kept) for r in got} == want and len(got) == len(rows)
+    assert 20 < len({lead for lead, _ in want.values()}) < len(rows)
+
+
+def test_semantic_pairs_without_a_common_token(spark, tmp_path):
+    spark.createDataFrame([(1, "cat"), (2, "Car."), (3, "a quite other text"), (4, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [(r.a, r.b, r.similarity) for r in dedup.dup04_pairs(spark, str(tmp_path)).collect()] == [(1, 2, pytest.approx(0.266667))]
