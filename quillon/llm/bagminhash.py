@@ -329,13 +329,23 @@ def classes(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFram
     return out.join(sizes, "class_id", "left").select("doc_id", "class_id", size.alias("class_size"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __uid: the doc_id, or a hash of it and the text where an id may have several texts."""
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("x"), F.max("mark").alias("y"))
+    clashing = written(texts.where("x <> y").select("doc_id"), "clashing")
+    if clashing.isEmpty():
+        return docs.withColumn("__uid", F.col("doc_id"))
+    return with_possible(docs, "doc_id", clashing, "__clash").withColumn("__uid", F.when(F.col("__clash") & F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text)).otherwise(F.col("doc_id"))).drop("__clash")
+
+
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each class: the row whose doc_id names the class; of repeated rows of that doc_id, one.
+    """docs with one document of each class: the row whose doc_id names the class; of repeated rows of that doc_id and text, one.
 
     Only the rows that may have to go are looked up; the texts of the others are not shuffled.
     """
-    found = written(classes(docs, text), "classes")
-    doubtful = written(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("doc_id IS NOT NULL AND (n > 1 OR NOT kept)").select("doc_id", "kept"), "doubtful")
-    flagged = with_possible(docs, "doc_id", doubtful.select("doc_id"))
-    looked_up = flagged.where("possible AND doc_id IS NOT NULL").join(doubtful, "doc_id", "left").where("coalesce(kept, true)").dropDuplicates(["doc_id"])
-    return flagged.where("NOT possible OR doc_id IS NULL").select(*docs.columns).unionByName(looked_up.select(*docs.columns))
+    named = _named(docs, text)
+    found = written(classes(named.select(F.col("__uid").alias("doc_id"), text), text), "classes").withColumnRenamed("doc_id", "__uid")
+    doubtful = written(found.groupBy("__uid").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("__uid IS NOT NULL AND (n > 1 OR NOT kept)").select("__uid", "kept"), "doubtful")
+    flagged = with_possible(named, "__uid", doubtful.select("__uid"), "__possible")
+    looked_up = flagged.where("__possible AND __uid IS NOT NULL").join(doubtful.withColumnRenamed("kept", "__kept"), "__uid", "left").where("coalesce(__kept, true)").dropDuplicates(["__uid"])
+    return flagged.where("NOT __possible OR __uid IS NULL").select(*docs.columns).unionByName(looked_up.select(*docs.columns))

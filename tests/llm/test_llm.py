@@ -396,6 +396,16 @@ def test_pairs_meet_in_a_bucket_that_they_share():
     assert met > 1400 and chance > 0  # some sketches agree by chance in an earlier band
 
 
+def test_rows_of_one_id_and_different_texts(spark):
+    near = [f"w{i}" for i in range(60)]
+    a, b, other = " ".join(near), " ".join([*near[:-1], "new"]), "quite another text that nothing else is like"
+    rows = [(2, a), (1, b), (2, other), (2, other), (3, "one more text that stands alone here"), (3, "and yet another of the same number"), (None, "x y")]
+    kept = bagminhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter(r.text for r in kept)
+    assert texts[a] + texts[b] == 1
+    assert all(texts[t] == 1 for t in {t for _, t in rows} - {a, b})
+
+
 # -- 9: repeated strings
 
 
