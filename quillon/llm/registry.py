@@ -45,7 +45,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), kept=True).drop("kept")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,22 @@ What may be equal has to meet in a block. Every string of LENGTH bytes has an an
 leftmost of equals), so equal strings have equal anchors. Consecutive strings with the same anchor are one stretch of
 text. Stretches meet by their anchor's hash; anchors that occur once are dropped; equal stretches (by two 64-bit
 hashes) are one entry with a number of copies. An anchor whose entries are too many for a block (HOT bytes) is split
-further: its strings meet by a 128-bit hash of all their bytes, counted with partial sums, so no group is ever too large.
+further: its strings meet by a 128-bit hash of all their bytes, counted with partial sums, so no group is ever too large;
+their starts are joined to runs RUN starts at a time.
+
+Passages are found in the same run and by the same method, with words (between ASCII white space) for bytes, PASSAGE for
+LENGTH and PASSAGE_K for K: a run of words that strings of PASSAGE words cover which also start elsewhere. They are
+counted beside the removed bytes, as most passages of that many words are shorter than LENGTH bytes.
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; a text of a repeated row is a repeated string;
-matches never cross documents; a byte-wise cut may leave text that is no valid UTF-8, so results are bytes or digests;
-an empty table gives no rows; extra columns are not read.
+matches never cross documents; a byte-wise cut may leave text that is no valid UTF-8, so results are bytes or digests,
+and the column text has a replacement character there; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +36,13 @@ from pyspark.sql import functions as F
 from quillon.llm.common import drop_written, small_batches, text_bytes, written
 
 LENGTH, K = 400, 100
+PASSAGE, PASSAGE_K = 50, 16
 #: Bytes that a block aims at, of an anchor's entries before they are split, of a text that is hashed at once.
 BLOCK, HOT, PIECE = 1 << 20, 4 << 20, 1 << 22
-_B = np.uint64(0x5851F42D4C957F2D)
+#: Starts that are joined to runs at once; blocks for each core at most.
+RUN, WAVES = 4096, 64
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_B, _G = np.uint64(0x5851F42D4C957F2D), 0x9E3779B97F4A7C15
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -42,35 +52,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier, of its inverse, and a 64-bit value for each byte."""
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse."""
     base = (int(_B) + 8 * seed) | 1
     if seed not in _TABLES or len(_TABLES[seed][0]) < n:
         size = max(n, 1 << 17)
         ones = lambda b: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))))
         _TABLES[seed] = ones(base), ones(pow(base, -1, 1 << 64))
     p, q = _TABLES[seed]
-    return p[:n], q[:n], _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed))
+    return p[:n], q[:n]
+
 
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_G))
 
-def rolling(raw: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of every k consecutive bytes."""
-    n = len(raw)
+
+def rolling(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every k consecutive units, given by a 64-bit value each."""
+    n = len(values)
     if n < k:
         return np.zeros(0, np.uint64)
-    p, q, value = _powers(n + 1, seed)
+    p, q = _powers(n + 1, seed)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[raw] * p[:n], out=total[1:])
+    np.cumsum(values * p[:n], out=total[1:])
     return _mix((total[k:] - total[:-k]) * q[: n - k + 1])
 
 
-def stretches(text: bytes, length: int = LENGTH, k: int = K) -> list[tuple[int, int, int]]:
-    """(anchor's hash, first start, last start) of the stretches of equal anchor over all starts of length bytes."""
-    out: list[tuple[int, int, int]] = []
+def _words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word."""
+    flat = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(flat) + 2, bool)
+    space[1:-1] = (flat == 32) | (flat >= 9) & (flat <= 13)
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    # a word's bytes by powers of a multiplier, which begin anew every 256 bytes; the hash depends on the word alone
+    lengths = ends - starts
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    value = _BYTES[flat[~space[1:-1]]] * _powers(257, 0)[0][place & 255]
+    far = np.flatnonzero(place > 255)
+    value[far] = _mix(value[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(_G))
+    h = np.add.reduceat(value, np.cumsum(lengths) - lengths)
+    return _mix(h + lengths.astype(np.uint64) * np.uint64(_G)), starts, ends
+
+
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of a text of any length."""
+    out, lo = [], 0
+    while not out or lo < len(text):
+        hi = lo + PIECE
+        if hi < len(text):  # a piece ends at white space
+            found = SPACE.search(text, hi)
+            hi = found.start() if found else len(text)
+        h, a, b = _words_at(text[lo:hi])
+        out.append((h, a + lo, b + lo))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def stretches(units: bytes | np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors' hashes, first starts and last starts of the stretches of equal anchor over all starts of length units (bytes, or words' hashes)."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
     w = length - k + 1
-    for lo in range(0, max(0, len(text) - length + 1), PIECE):
-        raw = np.frombuffer(text[lo : lo + PIECE + length - 1], np.uint8)
-        h = rolling(raw, k)
+    for lo in range(0, max(0, len(units) - length + 1), PIECE):
+        part = units[lo : lo + PIECE + length - 1]
+        h = rolling(_BYTES[np.frombuffer(part, np.uint8)] if isinstance(part, bytes) else part, k)
         v = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equals has the least place
         n = len(h) - w + 1
         rows = np.full(-(-len(v) // w) * w, ~np.uint64(0))
@@ -81,43 +126,48 @@ def stretches(text: bytes, length: int = LENGTH, k: int = K) -> list[tuple[int,
         at = (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.append(first[1:], n) - 1
-        out += zip(h[at[first]].view(np.int64).tolist(), (first + lo).tolist(), (last + lo).tolist())
-    return out
+        out.append((h[at[first]].view(np.int64), first + lo, last + lo))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by their first depth symbols; 0 is a separator, and separators differ by place."""
-    n = len(symbols)
-    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(7, np.uint64)))
+    """Starts of all suffixes, sorted by their first depth symbols; 0 is a separator, and separators differ by place.
+
+    Suffixes that are equal that far come in any order.
+    """
+    n, bits = len(symbols), max(9, int(symbols.max()).bit_length())
+    h = 63 // bits  # symbols that the first key holds
+    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(h, np.uint64)))
     key = np.zeros(n, np.uint64)
-    for j in range(7):
-        key = key << np.uint64(9) | padded[j : j + n]
-    separators = np.flatnonzero(symbols == 0)
-    gap = separators[np.searchsorted(separators, np.arange(n))] - np.arange(n)
-    short = gap < 7
-    key[short] &= ~((np.uint64(1) << (np.uint64(9) * (np.uint64(7) - gap[short].astype(np.uint64)))) - np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    alone = short[order]
-    sorted_key = key[order]
-    new = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | alone[1:] | alone[:-1]]
+    for j in range(h):
+        key = key << np.uint64(bits) | padded[j : j + n]
+    separators, short = np.flatnonzero(symbols == 0), np.zeros(n, bool)
+    for j in range(h):  # what follows a separator does not count
+        at = separators[separators >= j] - j
+        at = at[~short[at]]
+        short[at] = True
+        key[at] &= ~((np.uint64(1) << np.uint64(bits * (h - j))) - np.uint64(1))
+    order = np.argsort(key)
+    key, short = key[order], short[order]
+    alone = np.flatnonzero(short)
+    order[alone] = order[alone][np.lexsort((order[alone], key[alone]))]
+    new = np.r_[True, (key[1:] != key[:-1]) | short[1:] | short[:-1]]
     rank = np.empty(n, np.int64)
-    h = 7
-    while True:
-        heads = np.flatnonzero(new)
-        rank[order] = heads[np.cumsum(new) - 1]
-        if h >= depth:
-            return order
-        big = ~(new & np.append(new[1:], True))  # in a group of several
-        where = np.flatnonzero(big)
-        if not len(where):
-            return order
+    heads = np.flatnonzero(new)
+    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    where = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in a group of several
+    while len(where) and h < depth:
         i = order[where]
         pair = rank[i] * (n + 1) + rank[np.minimum(i + h, n - 1)]
-        by = np.argsort(pair, kind="stable")
-        order[where] = i[by]
-        pair = pair[by]
-        new[where[1:]] |= pair[1:] != pair[:-1]
+        by = np.argsort(pair)
+        i, pair = i[by], pair[by]
+        order[where] = i
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        heads = np.flatnonzero(new)
+        rank[i] = np.repeat(where[heads], np.diff(np.append(heads, len(where))))
+        where = where[~(new & np.append(new[1:], True))]
         h *= 2
+    return order
 
 
 def repeated_places(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -125,53 +175,54 @@ def repeated_places(symbols: np.ndarray, length: int) -> np.ndarray:
 
     symbols ends with a separator.
     """
-    n = len(symbols)
+    n, sigma = len(symbols), int(symbols.max()) + 1
     order = suffix_order(symbols, length + 1)
-    before = symbols[order - 1]
+    before = symbols[order - 1].astype(np.uint16 if sigma <= 1 << 16 else np.int64)
     before[order == 0] = 0
     lf = np.empty(n, np.int64)
     lf[np.argsort(before, kind="stable")] = np.arange(n)
-    common = np.full(n + 1, -1, np.int32)  # -1: not found yet
-    m = int((symbols == 0).sum())
-    counts = np.bincount(symbols, minlength=257)
-    ends = np.cumsum(counts)
-    common[: m + 1] = 0
-    common[n] = 0
+    known = np.zeros(n + 1, bool)  # whether the common prefix with the suffix before is found yet
+    counts = np.bincount(symbols, minlength=sigma)
+    ends, m = np.cumsum(counts), int(counts[0])
+    known[: m + 1] = known[n] = True
     # strings of one symbol; each separator is a string of its own
     starts_1, ends_1 = ends[:-1][counts[1:] > 0], ends[1:][counts[1:] > 0]
-    fresh = common[ends_1] == -1
-    common[ends_1[fresh]] = 0
+    known[ends_1] = True
     lo, hi = np.concatenate((np.arange(m), starts_1)), np.concatenate((np.arange(m) + 1, ends_1))
-    for size in range(1, length):  # of the strings that lo and hi are the intervals of
+    for _ in range(1, length):
         if not len(lo):
             break
         width = hi - lo
-        total = int(width.sum())
-        owner = np.repeat(np.arange(len(lo)), width)
-        at = np.arange(total) + np.repeat(lo - (np.cumsum(width) - width), width)
+        total = np.cumsum(width)
+        at = np.arange(total[-1]) + np.repeat(lo - (total - width), width)
         c = before[at]
-        keep = c > 0
-        place, owner, c = lf[at[keep]], owner[keep], c[keep]
-        by = np.argsort(place)
-        place, group = place[by], owner[by] * 257 + c[by]
-        if not len(place):
+        by = np.argsort(c, kind="stable")[np.count_nonzero(c == 0) :]  # the intervals ascend, so this is the order of the places
+        if not len(by):
             break
+        place, group = lf[at[by]], np.repeat(np.arange(len(lo)), width)[by] * sigma + c[by]
         edge = np.flatnonzero(group[1:] != group[:-1])
         new_lo, new_hi = place[np.append(0, edge + 1)], place[np.append(edge, len(place) - 1)] + 1
-        fresh = common[new_hi] == -1
+        fresh = ~known[new_hi]
         lo, hi = new_lo[fresh], new_hi[fresh]
-        common[hi] = size
-    long = common[:n] == -1  # with the suffix before it in order
+        known[hi] = True
+    long = ~known[:n]  # with the suffix before it in order
     out = np.zeros(n, bool)
     out[order] = long | np.append(long[1:], False)
     return out
 
 
-def repeated_in(entries: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each entry the starts whose length bytes also start elsewhere in the entries."""
-    symbols = np.concatenate([np.append(np.frombuffer(e, np.uint8).astype(np.int64) + 1, 0) for e in entries])
+def repeated_in(entries: list[bytes] | list[np.ndarray], length: int = LENGTH) -> list[np.ndarray]:
+    """For each entry (bytes, or words' hashes) the starts whose length units also start elsewhere in the entries."""
+    sizes = np.array([len(e) for e in entries])
+    ends = np.cumsum(sizes + 1)
+    symbols = np.zeros(int(ends[-1]), np.int64)
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    if isinstance(entries[0], bytes):
+        symbols[inside] = np.frombuffer(b"".join(entries), np.uint8).astype(np.int64) + 1
+    else:
+        symbols[inside] = np.unique(np.concatenate(entries), return_inverse=True)[1] + 1
     found = repeated_places(symbols, length)
-    ends = np.cumsum([len(e) + 1 for e in entries])
     return [np.flatnonzero(found[b - len(e) - 1 : b - 1]) for e, b in zip(entries, ends.tolist())]
 
 
@@ -188,42 +239,55 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("mark"), text_bytes(docs, text).alias("text"))
 
 
-def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """doc, mark, start and end of spans that repeated strings cover; spans of a row may overlap."""
-    small_batches(docs.sparkSession, 500)
+def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K, passage: int = PASSAGE, passage_k: int = PASSAGE_K, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """doc, mark, unit (0 bytes, 1 words), start and end of spans that repeated strings cover; spans of a row may overlap."""
+    spark = docs.sparkSession
+    small_batches(spark, 500)
     keyed = _keyed(docs, text)
+    lengths = length, passage
+    # an anchor's lowest bit is its unit
+    unit = F.col("anchor").bitwiseAND(F.lit(1)).cast("int")
+    whole = F.when(unit == 0, length).otherwise(passage)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, mark, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                for anchor, lo, hi in stretches(raw, length, k):
-                    digest = int.from_bytes(hashlib.blake2b(raw[lo : hi + length], digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(columns, (anchor, digest, doc, mark, lo, hi)):
+                hashes = words(raw)[0]
+                for u, units, part in ((0, raw, k), (1, hashes, passage_k)):
+                    found, lo, hi = stretches(units, lengths[u], part)
+                    content = memoryview(raw if u == 0 else hashes.tobytes())
+                    step = 1 if u == 0 else 8
+                    digests = [hashlib.blake2b(content[a * step : (b + lengths[u]) * step], digest_size=8).digest() for a, b in zip(lo.tolist(), hi.tolist())]
+                    for c, v in zip(columns, ((found & ~1) | u, np.frombuffer(b"".join(digests), "<i8"), np.full(len(lo), doc), np.full(len(lo), mark, np.int32), lo.astype(np.int32), hi.astype(np.int32))):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["anchor", "digest", "doc", "mark", "lo", "hi"])
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "digest", "doc", "mark", "lo", "hi"])
 
-    every = written(keyed.where(F.length("text") >= length).select("doc", "mark", "text").mapInArrow(anchors, "anchor long, digest long, doc long, mark int, lo int, hi int"), "anchors")
+    every = written(keyed.where(F.length("text") >= min(length, 2 * passage - 1)).select("doc", "mark", "text").mapInArrow(anchors, "anchor long, digest long, doc long, mark int, lo int, hi int"), "anchors")
     # a table of its own, so that the join below can split the partition of a very common anchor
     again = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1").select("anchor", (F.col("x") < F.col("y")).alias("mixed")), "repeated-anchors")
     repeated = written(every.join(again, "anchor"), "repeated")
     drop_written(every)
-    covered = repeated.where("NOT mixed").select("doc", "mark", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    span = lambda df: df.select("doc", "mark", unit.alias("unit"), F.col("lo").alias("start"), (F.col("hi") + whole).alias("end"))
+    covered = span(repeated.where("NOT mixed"))
     # anchors with different stretches: copies of one are repeated; one of each goes to a block
     mixed = repeated.where("mixed")
     entries = written(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "mark", "lo", "hi")).alias("r")).select("anchor", "digest", "copies", "r.*"), "entries")
-    copied = mixed.join(entries.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc", "mark", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    copied = span(mixed.join(entries.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, mark, raw, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(wanted)
-                yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["copies"] for w in wanted], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([mark] * n, pa.int32()), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array([raw[w["lo"] : w["hi"] + length] for w in wanted], pa.binary())], names=["anchor", "copies", "doc", "mark", "lo", "bytes"])
+                hashes = words(raw)[0].tobytes() if any(w["anchor"] & 1 for w in wanted) else b""
+                held = [hashes[8 * w["lo"] : 8 * (w["hi"] + passage)] if w["anchor"] & 1 else raw[w["lo"] : w["hi"] + length] for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["copies"] for w in wanted], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([mark] * n, pa.int32()), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array(held, pa.binary())], names=["anchor", "copies", "doc", "mark", "lo", "bytes"])
 
     wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "copies", "lo", "hi")).alias("wanted"))  # as many as a text has anchors
     sources = keyed.select("doc", "mark", "text").join(wanted, ["doc", "mark"])
     pieces = written(sources.select("doc", "mark", "text", "wanted").mapInArrow(cut, "anchor long, copies long, doc long, mark int, lo int, bytes binary").dropDuplicates(["anchor", "doc", "mark", "lo"]), "pieces")
-    sizes = pieces.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"), F.count("*").alias("n"))
+    sizes = pieces.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"))
     sized = pieces.join(sizes, "anchor")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,13 +295,15 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
         size = 0
 
         def flush() -> pa.RecordBatch:
-            out = [(doc, mark, lo + a, lo + b) for (_, copies, doc, mark, lo, _), starts in zip(held, repeated_in([h[5] for h in held], length)) if copies == 1 for a, b in _runs(starts, length)]
+            u = held[0][0] & 1
+            found = repeated_in([np.frombuffer(h[5], "<u8") for h in held] if u else [h[5] for h in held], lengths[u])
+            out = [(doc, mark, u, lo + a, lo + b) for (_, copies, doc, mark, lo, _), starts in zip(held, found) if copies == 1 for a, b in _runs(starts, lengths[u])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and size >= block and row[0] != held[-1][0]:
+                if held and (size >= block and row[0] != held[-1][0] or (row[0] ^ held[-1][0]) & 1):
                     yield flush()
                     size = 0
                 held.append(row)
@@ -247,41 +313,68 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for copies, doc, mark, lo, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                a = np.frombuffer(raw, np.uint8)
-                x, y = (rolling(a, length, seed).view(np.int64) for seed in (1, 2))
+            for u, copies, doc, mark, lo, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.frombuffer(raw, "<u8") if u else _BYTES[np.frombuffer(raw, np.uint8)]
+                x, y = (rolling(values, lengths[u], seed).view(np.int64) for seed in (1, 2))
                 n = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(n, copies)), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array((np.arange(n) + lo).astype(np.int32))], names=["x", "y", "copies", "doc", "mark", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(n, copies)), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array(np.full(n, u, np.int32)), pa.array((np.arange(n) + lo).astype(np.int32))], names=["x", "y", "copies", "doc", "mark", "unit", "start"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(doc, mark, u, a, b) for doc, mark, u, starts in zip(*(c.to_pylist() for c in batch.columns)) for a, b in _runs(np.array(starts), lengths[u])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
 
+    found = "doc long, mark int, unit int, start int, end int"
     cool = sized.where(F.col("size") <= hot).select("anchor", "copies", "doc", "mark", "lo", "bytes")
-    met = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(blocks, "doc long, mark int, start int, end int")
-    single = sized.where(F.col("size") > hot).select("copies", "doc", "mark", "lo", "bytes").mapInArrow(strings, "x long, y long, copies long, doc long, mark int, start int")
+    # blocks cost time, not bytes: as many tasks as blocks, which are not merged by size
+    n = -(-(pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0) // block)
+    met = cool.repartition(int(max(1, min(n, WAVES * spark.sparkContext.defaultParallelism))), "anchor").sortWithinPartitions(unit, "anchor").mapInArrow(blocks, found)
+    single = sized.where(F.col("size") > hot).select(unit.alias("unit"), "copies", "doc", "mark", "lo", "bytes").mapInArrow(strings, "x long, y long, copies long, doc long, mark int, unit int, start int")
     twice = single.groupBy("x", "y").agg(F.sum("copies").alias("n")).where("n > 1").select("x", "y")
-    split = single.join(twice, ["x", "y"], "left_semi").select("doc", "mark", "start", (F.col("start") + length).alias("end"))
+    places = single.join(twice, ["x", "y"], "left_semi").groupBy("doc", "mark", "unit", F.floor(F.col("start") / RUN)).agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    split = places.select("doc", "mark", "unit", "starts").mapInArrow(joined, found)
     return covered.unionByName(copied).unionByName(written(met, "met")).unionByName(split)
 
 
+def _merged(cuts: list, unit: int) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s in cuts:
+        if s["unit"] != unit:
+            continue
+        if out and s["start"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["end"])
+        else:
+            out.append([s["start"], s["end"]])
+    return out
+
+
+def _without(raw: bytes, cuts: list[list[int]]) -> bytes:
+    """What is left of raw; the cuts ascend, but may overlap."""
+    stays, at = [], 0
+    for a, b in cuts:
+        stays.append(raw[at : max(at, a)])
+        at = max(at, b)
+    return b"".join([*stays, raw[at:]])
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, kept: bool = False, **more: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay) of every row."""
-    found = spans(docs, text, length, **more).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and, if asked for, kept (the bytes that stay) and text (what stays without the passages too) of every row."""
+    found = spans(docs, text, length, **more).groupBy("doc", "mark").agg(F.collect_set(F.struct("unit", "start", "end")).alias("spans"))
     joined = _keyed(docs, text).join(found, ["doc", "mark"], "left").select("doc_id", "text", F.array_sort("spans").alias("spans"))
+    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passages": pa.int64(), "n_passage_words": pa.int64()} | ({"kept": pa.binary(), "text": pa.string()} if kept else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, raw, cuts in zip(*(c.to_pylist() for c in batch.columns)):
-                merged: list[list[int]] = []
-                for s in cuts or ():
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["start"], s["end"]])
-                stays, at = [], 0
-                for a, b in merged:
-                    stays.append(raw[at:a])
-                    at = b
-                rest = b"".join([*stays, raw[at:]])
-                out.append((doc_id, len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), *([rest] if kept else [])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else [])])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
+                removed, passages = _merged(cuts or [], 0), _merged(cuts or [], 1)
+                rest = _without(raw, removed)
+                row = (doc_id, len(raw), len(raw) - len(rest), len(removed), hashlib.sha256(rest).hexdigest(), len(passages), sum(b - a for a, b in passages))
+                if kept:
+                    _, starts, ends = words(raw) if passages else ((),) * 3
+                    row += (rest, _without(raw, sorted([*removed, *([int(starts[a]), int(ends[b - 1])] for a, b in passages)])).decode("utf-8", "replace"))
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types.values())], names=list(types))
+
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary, text string" * kept)

@@ -446,6 +446,45 @@ def test_repeated_strings(spark, hot):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def brute_passages(texts, n):
+    """(runs, words in them) of each text: words that strings of n words cover which also start elsewhere."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    count = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    out = []
+    for w in split:
+        covered = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - n + 1):
+            if count[tuple(w[i : i + n])] > 1:
+                covered[i : i + n] = True
+        out.append((int((np.diff(np.r_[0, covered.astype(int)]) == 1).sum()), int(covered.sum())))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 << 22, 300])
+def test_repeated_passages(spark, hot):
+    rng = random.Random(12)
+    passage = words(rng, 40, ["alpha", "beta", "gé", "d", "x" * 300]).split()
+    rows = []
+    for i in range(60):
+        a = rng.randrange(20)
+        rows.append((i, words(rng, rng.randrange(1, 30), ["a", "bb", "é\t", "cc\x0b"]) + " " + " ".join(passage[a : a + rng.randrange(3, 20)]) + " \n" + words(rng, 5, ["q", "rr"])))
+    rows += [(200, None), (201, " \n "), (202, "z " * 500), (203, rows[5][1]), (None, rows[7][1]), (204, "w" * 3000)]
+    texts = [(t or "").encode() for _, t in rows]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60, k=20, passage=6, passage_k=2, hot=hot, kept=True).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_passages, r.n_passage_words) for r in got))) == sorted(map(str, ((i, *x) for (i, _), x in zip(rows, brute_passages(texts, 6)))))
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[203].text.split() == [] and all((r.text == dict(rows)[r.doc_id]) for r in got if r.n_passages == r.n_removed == 0 and r.doc_id not in (200, None))
+
+
+def test_repeated_strings_at_full_size(spark, sf_dir):
+    """Production lengths on whole documents, against brute force."""
+    rows = [(r.doc_id, r.text) for r in common.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i, len(t), *x) for (i, _), t, x in zip(rows, texts, brute_removed(texts, suffix.LENGTH)))
+    assert sorted((r.doc_id, r.n_passages, r.n_passage_words) for r in got) == sorted((i, *x) for (i, _), x in zip(rows, brute_passages(texts, suffix.PASSAGE)))
+
+
 # -- 10: byte-level BPE
 
 
