@@ -1,12 +1,14 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-Queries and candidates are dealt into blocks of bounded size; every pair of a query block and a candidate block is one
-group. In it the candidates lie dimension by dimension (vertical layout), the dimensions of most mass first. Scores are
-accumulated for a block of dimensions at a time. What is left of a candidate's score is at most the product of the two
-remaining norms (Cauchy-Schwarz); a candidate whose partial score plus that bound is below the query's k-th best known
-score is dropped. While many survive, a block of dimensions is one matrix product; then the surviving pairs are
-compacted and only they go on. Components are integers in float64, so scores are exact up to 2^53, and equal scores are
-never dropped by the bound.
+Queries and candidates are dealt into blocks of bounded bytes; every pair of a query block and a candidate block is one
+group, as an exact search has to set every query against every candidate. In a group the candidates lie dimension by
+dimension (vertical layout), the dimensions of most mass first. Scores are accumulated for DIMS dimensions at a time.
+What is left of a candidate's score is at most the product of the two remaining norms (Cauchy-Schwarz); after every
+block of dimensions, the first one included, a candidate whose partial score plus that bound is below the query's k-th
+best known score is dropped. That score is the exact one of the candidates that are best so far, looked up after the
+first block and again while it rises. As soon as no more than COMPACT of the pairs survive, every query's survivors are
+compacted, and again after every further block, so dropped candidates cost nothing more. Components are integers in
+float64, so scores are exact up to 2^53, and equal scores are never dropped by the bound.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different lengths
 do not meet; a repeated query id is asked once, with its smallest vector, and never finds its own id; repeated
@@ -20,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block of candidates (least, most) and of queries; dimensions in a block; queries scored at once.
-CANDIDATES, QUERIES, DIMS, AT_ONCE = (4096, 65536), 8192, 16, 64
+#: Least rows in a block of candidates, most bytes in a block of either side; dimensions in a block; queries scored at once.
+CANDIDATES, BYTES, DIMS, AT_ONCE = 4096, 1 << 25, 8, 64
+#: Share of surviving pairs from which they are compacted.
+COMPACT = 0.5
 
 
 def grid(vector: Column, scale: int = 64) -> Column:
@@ -30,60 +34,58 @@ def grid(vector: Column, scale: int = 64) -> Column:
     return F.when((F.size(vector) > 0) & fit, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")))
 
 
-def search_block(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, candidate ids and scores of each query's k best in this block, ties to smaller candidate ids."""
+def search_block(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query ids, candidate ids and scores of each query's k best in this block, ties to smaller candidate ids.
+
+    work, if given, gets the number of pairs and dimensions multiplied for each block of dimensions.
+    """
     order = np.argsort(-np.square(c).sum(0) * np.square(q).sum(0), kind="stable")
     q, columns = q[:, order], np.ascontiguousarray(c[:, order].T)
     by_id = np.argsort(c_id, kind="stable")
     c_id, columns = c_id[by_id], np.ascontiguousarray(columns[:, by_id])
-    dims, found = len(columns), ([], [], [])
+    dims, n, found = len(columns), len(c_id), ([], [], [])
     starts = list(range(0, dims, DIMS))
-    c_rest = np.sqrt(np.cumsum(np.square(columns)[::-1], 0)[::-1])  # norm of the dimensions from here on
-    q_rest = np.sqrt(np.cumsum(np.square(q)[:, ::-1], 1)[:, ::-1])
+    # norms of the dimensions from each block on
+    c_rest = np.sqrt(np.stack([np.square(columns[d:]).sum(0) for d in starts]))
+    q_rest = np.sqrt(np.stack([np.square(q[:, d:]).sum(1) for d in starts], 1)) * (1 + 1e-9)
+    count = (lambda pairs, d: work.append(pairs * min(DIMS, dims - d))) if work is not None else lambda pairs, d: None
     for lo in range(0, len(q), AT_ONCE):
-        part, ids = q[lo : lo + AT_ONCE], q_id[lo : lo + AT_ONCE]
-        score = np.zeros((len(part), len(c_id)))
-        least = np.full(len(part), -np.inf)
-        own = ids[:, None] == c_id[None, :]
-        at = 0
-        alive = ~own
+        part, ids, rest = q[lo : lo + AT_ONCE], q_id[lo : lo + AT_ONCE], q_rest[lo : lo + AT_ONCE]
+        score = np.zeros((len(part), n))
+        for i, (x, y) in enumerate(zip(np.searchsorted(c_id, ids), np.searchsorted(c_id, ids, "right"))):
+            score[i, x:y] = -np.inf  # a query never finds its own id
+        least, rising, alive, at = np.full(len(part), -np.inf), True, None, 0
         while at < len(starts):
             d = starts[at]
             score += part[:, d : d + DIMS] @ columns[d : d + DIMS]
+            count(score.size, d)
             at += 1
-            if at == len(starts):
-                break
-            if at == max(1, len(starts) // 2):  # the exact scores of the best so far give the bound
-                best = np.argpartition(np.where(own, -np.inf, score), max(0, len(c_id) - k - 1), axis=1)[:, max(0, len(c_id) - k - 1) :]
+            if at == len(starts) or n <= k:
+                continue
+            if rising:
+                best = np.argpartition(score, n - k, axis=1)[:, n - k :]
                 exact = np.einsum("qd,dqk->qk", part, columns[:, best])
-                exact[np.take_along_axis(own, best, 1)] = -np.inf
-                exact.sort(1)
-                if exact.shape[1] >= k:
-                    least = exact[:, -k]
-            if np.isfinite(least).any():
-                d = starts[at]
-                alive &= score + (q_rest[lo : lo + AT_ONCE, d, None] * c_rest[d] * (1 + 1e-9)) >= least[:, None]
-                if alive.mean() < 0.1:
-                    break
-        qi, ci = np.nonzero(alive)
-        s = score[qi, ci]
-        while at < len(starts):  # only the survivors go on
-            d = starts[at]
-            for j in range(d, min(d + DIMS, dims)):
-                s += part[qi, j] * columns[j, ci]
-            at += 1
-            if at < len(starts):
-                d = starts[at]
-                keep = s + q_rest[lo + qi, d] * c_rest[d, ci] * (1 + 1e-9) >= least[qi]
-                qi, ci, s = qi[keep], ci[keep], s[keep]
-        keep = s >= least[qi]
-        qi, ci, s = qi[keep], ci[keep], s[keep]
-        by = np.lexsort((ci, -s, qi))
-        qi, ci, s = qi[by], ci[by], s[by]
-        first = np.searchsorted(qi, qi)
-        keep = np.arange(len(qi)) - first < k
-        for out, x in zip(found, (ids[qi[keep]], c_id[ci[keep]], s[keep])):
-            out.append(x)
+                exact[np.take_along_axis(score, best, 1) == -np.inf] = -np.inf
+                now = np.maximum(least, exact.min(1))
+                rising, least = bool((now > least).any()), now
+            alive = score >= least[:, None] - rest[:, at, None] * c_rest[at]
+            if np.count_nonzero(alive) <= COMPACT * score.size:
+                break
+        done = at == len(starts)
+        for i in range(len(part)):
+            ci = np.flatnonzero(score[i] >= least[i] if done else alive[i])
+            s = score[i, ci]
+            for b in range(at, len(starts)):  # only the survivors go on
+                d = starts[b]
+                s += part[i, d : d + DIMS] @ columns[d : d + DIMS, ci]
+                count(len(ci), d)
+                keep = s >= least[i] - (rest[i, b + 1] * c_rest[b + 1, ci] if b + 1 < len(starts) else 0)
+                ci, s = ci[keep], s[keep]
+            known = s > -np.inf
+            ci, s = ci[known], s[known]
+            top = np.lexsort((ci, -s))[:k]
+            for out, x in zip(found, (np.full(len(top), ids[i]), c_id[ci[top]], s[top])):
+                out.append(x)
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in found)
 
 
@@ -95,9 +97,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, key: str = "ve
     spark = candidates.sparkSession
     c = candidates.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     q = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("v"))
-    n, m = c.count(), q.count()
-    n_c = max(1, -(-n // CANDIDATES[1]), min(2 * spark.sparkContext.defaultParallelism, -(-n // CANDIDATES[0])))
-    n_q = max(1, -(-m // QUERIES))
+    size = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    (n, n_values), (_, m_values) = size(c), size(q)
+    n_c = max(1, -(-8 * n_values // BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-n // CANDIDATES)))
+    n_q = max(1, -(-8 * m_values // BYTES))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return df.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
