@@ -4,14 +4,15 @@ Steps, all distributed: encode each text and keep the packed ids in a written ta
 rank them, the most frequent first (ties: smaller id), so that common ids take one byte; order the documents by range
 partitions of doc_id; each partition writes its files; a last pass reads the files back.
 
-A file (``p<partition>-<number>.qtok``) holds whole documents: a header of six little-endian unsigned 64-bit integers
-(magic, partition, ids of the partition before this file, documents, ids, vocabulary), the doc_ids (signed 64-bit), and
-two coded number lists, one of the documents' lengths, one of the ranked ids. A coded list is its control bytes (2 bits
+A file (``p<partition>-<number>.qtok``) holds whole documents: a header of seven little-endian unsigned 64-bit integers
+(magic, partition, ids of the partition before this file, documents, those of them without a doc_id, which come first,
+ids, vocabulary), the doc_ids (signed 64-bit; 0 where there is none), and two coded number lists, one of the documents' lengths, one of the ranked ids. A coded list is its control bytes (2 bits
 for each number: its length in bytes less one, four numbers a byte) followed by its data bytes. ``ranks.bin`` has the id
 of every rank. A file is written under a temporary name and renamed, and its content depends only on the input, so a
 task that runs twice does no harm.
 
-Cases: a null or empty text has only the end id; equal doc_ids stay together, ordered by length and ids; an empty
+Cases: a null or empty text has only the end id; rows without a doc_id come before all others; equal doc_ids, null
+among them, are ordered by length, a hash of the ids and the ids, so that they need not lie in one partition; an empty
 table gives no files and no rows; special tokens' strings in a text are ordinary text; extra columns are not read.
 """
 
@@ -26,15 +27,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import drop_written, new_path, pieces, small_batches, written
 
-MAGIC = int.from_bytes(b"QTOK0001", "little")
-HEADER = "<6Q"
-#: Ids in a file and in a partition (both at most one document more); chunks that a worker remembers.
-FILE_IDS, PARTITION_IDS, REMEMBERED = 1 << 21, 1 << 24, 2_000_000
+MAGIC = int.from_bytes(b"QTOK0002", "little")
+HEADER = "<7Q"
+#: Ids in a file and in a partition (both at most one document more); bytes, about, of the chunks that a worker remembers,
+#: of which each takes ENTRY beside its characters.
+FILE_IDS, PARTITION_IDS, REMEMBERED, ENTRY = 1 << 21, 1 << 24, 400_000_000, 190
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -110,6 +112,7 @@ class Encoder:
             self.lengths = lengths
             self.tokenizer.model._resize_cache(0)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -142,8 +145,10 @@ class Encoder:
         missing = _places(found, None)
         if missing:
             new = [chunks[i] for i in missing if chunks[i]]
-            if len(self.memory) + len(new) > REMEMBERED:
-                self.memory = {}
+            size = sum(map(len, new)) + ENTRY * len(new)
+            if self.held + size > REMEMBERED:
+                self.memory, self.held = {}, 0
+            self.held += size
             self._learn(new)
             for i in missing:
                 found[i] = self.memory.get(chunks[i], b"")
@@ -225,7 +230,7 @@ def write_files(tokens: DataFrame, to: str) -> DataFrame:
         from pyspark import TaskContext
 
         part, before, number = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         lengths: list[int] = []
         ids: list[np.ndarray] = []
         out: list[tuple] = []
@@ -235,7 +240,8 @@ def write_files(tokens: DataFrame, to: str) -> DataFrame:
             if not docs:
                 return
             all_ids = rank_of[np.concatenate(ids)]
-            body = struct.pack(HEADER, MAGIC, part, before, len(docs), len(all_ids), len(by_rank)) + np.array(docs, "<i8").tobytes() + pack(np.array(lengths)) + pack(all_ids)
+            nulls = docs.count(None)
+            body = struct.pack(HEADER, MAGIC, part, before, len(docs), nulls, len(all_ids), len(by_rank)) + np.array([0] * nulls + docs[nulls:], "<i8").tobytes() + pack(np.array(lengths)) + pack(all_ids)
             name = f"p{part:06d}-{number:06d}.qtok"
             put(to, name, body)
             out.append((part, name, len(docs), len(all_ids)))
@@ -256,7 +262,8 @@ def write_files(tokens: DataFrame, to: str) -> DataFrame:
 
     put(to, "ranks.bin", by_rank.tobytes())
     parts = max(1, -(-total // PARTITION_IDS), min(tokens.rdd.getNumPartitions(), -(-total // FILE_IDS)))
-    ordered = tokens.select("doc_id", "n_tokens", "ids").repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    order = ["doc_id", "n_tokens", "hash"]
+    ordered = tokens.select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("hash")).repartitionByRange(int(parts), *order).sortWithinPartitions(*order, "ids").drop("hash")
     return written(ordered.mapInArrow(run, "part long, name string, docs long, n long"), "token-index")
 
 
@@ -286,20 +293,19 @@ def get(at: str, name: str) -> bytes:
 def read_files(index: DataFrame, at: str, ids: bool = False) -> DataFrame:
     """The documents of the files in the index: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (packed unsigned 32-bit)."""
     spark = index.sparkSession
-    before, base = 0, {}
-    for r in index.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row for each 16 million ids
-        base[r.part] = before
-        before += r.n
+    # one row for each 16 million ids: running sums of these are small enough for one task
+    sums = index.groupBy("part").agg(F.sum("n").alias("n"))
+    bases = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank = None
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if by_rank is None:
                     by_rank = np.frombuffer(get(at, "ranks.bin"), "<u4")
                 raw = memoryview(get(at, name))
-                magic, part, start, n_docs, n_ids, _ = struct.unpack_from(HEADER, raw)
+                magic, _, start, n_docs, nulls, n_ids, _ = struct.unpack_from(HEADER, raw)
                 if magic != MAGIC:
                     raise ValueError(f"{name} is not a token file")
                 at_byte = struct.calcsize(HEADER) + 8 * n_docs
@@ -310,12 +316,12 @@ def read_files(index: DataFrame, at: str, ids: bool = False) -> DataFrame:
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 spans = [flat[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                columns = [pa.array(docs), pa.array(starts + (start + base[part])), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
+                columns = [pa.array(docs, mask=np.arange(n_docs) < nulls), pa.array(starts + (start + base)), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
                 if ids:
                     columns.append(pa.array(spans, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    files = index.select("name").repartition(max(1, min(index.count(), 4 * spark.sparkContext.defaultParallelism)), "name")
+    files = index.join(bases, "part").select("name", "base").repartition(max(1, min(index.count(), 4 * spark.sparkContext.defaultParallelism)), "name")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
