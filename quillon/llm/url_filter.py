@@ -1,10 +1,11 @@
 """URL filter: longest rule of host and path, else logistic regression on hashed character n-grams of host and path.
 
-The model is trained on the driver from a small labelled URL table (at most MOST_LABELLED rows are read) and is one
+The model is trained on the driver from a small labelled URL table (at most MOST_LABELLED rows are read, those of least
+hash if there are more) and is one
 weight vector of fixed size, sent to the tasks. Scoring looks n-grams up for a whole Arrow batch at once.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the verdict of the model's
-bias alone (allow, unless the labelled table is mostly blocked); repeated urls get equal verdicts; an empty table gives
+prior (allow, unless the labelled table is all blocked); repeated urls get equal verdicts; an empty table gives
 no rows; extra columns are kept, but for those named host, path, rule, verdict or url_score, which are replaced.
 """
 
@@ -20,17 +21,50 @@ from pyspark.sql import types as T
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Words of hosts for the default labelled table.
-BAD = ("cheap-pills", "free-bets", "spam-farm", "casino-bonus", "adult-cams", "porn-tube", "payday-loans", "lottery-win", "warez-crack", "malware-drop", "click-bait", "fake-meds", "xxx-videos", "poker-slots", "free-spam", "cheap-bets", "ads-network", "track-pixel", "ads-tracker")
-GOOD = ("city-library", "weather", "school", "museum", "recipes", "garden", "science-news", "travel", "music", "wiki", "docs", "health", "thther", "tionsh", "ththan", "therin", "tiontion", "thering", "ththble", "therly", "ththre", "theren")
+#: What pages of the default labelled table are about, by common kinds; none is taken from a corpus.
+BAD = (
+    # gambling
+    "casinos", "slots", "poker", "betting", "sportsbets", "roulette", "bingo", "lotto", "jackpots", "blackjack",
+    # medicines without a prescription
+    "viagra", "cialis", "steroids", "dietpills", "noprescription", "painkillers",
+    # adult pages
+    "porn", "xxxvideos", "webcamgirls", "escorts", "nudes", "hookups", "adultsonly",
+    # money
+    "paydayloans", "instantcredit", "cryptodoubler", "quickmoney", "giveaways", "prizes", "replicawatches", "giftcards",
+    # pirated and harmful software
+    "warez", "keygens", "cracks", "torrents", "serials", "phishing", "malware", "spyware",
+    # advertisements, spam and trackers
+    "adserver", "popups", "pixeltracker", "bulkmail", "spammers", "linkfarms", "backlinks", "clickbait", "cheaptraffic",
+)
+GOOD = (
+    # public bodies and schools
+    "library", "council", "university", "school", "museum", "archive", "ministry", "waterworks", "court", "parliament",
+    # knowledge
+    "encyclopedia", "journal", "atlas", "dictionary", "algebra", "astronomy", "chemistry", "geography", "history", "biology",
+    # news and weather
+    "news", "gazette", "weather", "radio", "football", "economics", "magazine",
+    # software and documents
+    "python", "linux", "compiler", "database", "standards", "manuals", "tutorials", "wiki", "docs",
+    # home, arts and travel
+    "recipes", "garden", "timetables", "mountains", "music", "poetry", "films", "birds", "bicycles", "knitting", "chess", "theatre", "travel", "health",
+)
+#: Words beside them in hosts, and paths: the same for both labels, so that neither tells them apart.
+BESIDE, PATHS = ("online", "my", "best", "the", "daily", "city", "all", "free"), ("/index.html", "/list?page=2", "/about", "/a/17", "/2024/05/new", "/", "/search?q=x", "/item/9.html")
 MOST_LABELLED, BITS, SIZES = 10_000, 18, (3, 4, 5)
+#: Log odds of block before anything is known of a url; share of the labelled rows in which an n-gram is too common to tell.
+PRIOR, COMMON = -1.0, 0.1
 
 
 def default_labelled() -> list[tuple[str, int]]:
-    """The small labelled URL table: every word once bare, once below each of three subdomains; 1 is blocked."""
-    paths = ("/en/1", "/de/22.html", "/fr/333?ref=x", "/es/4#top")
-    tops = ("com", "net", "org")
-    return [(f"https://{sub}{w}.example.{tops[(i + j) % 3]}{paths[(i + j) % 4]}", y) for y, words in ((1, BAD), (0, GOOD)) for i, w in enumerate(words) for j, sub in enumerate(("", "www.", "m.", "blog."))]
+    """The small labelled URL table: each subject in four hosts, alone and with a word before, behind and joined to it; 1 is blocked."""
+    tops, subs = ("com", "net", "org", "info"), ("", "www.", "m.", "blog.")
+    out = []
+    for y, subjects in ((1, BAD), (0, GOOD)):
+        for i, subject in enumerate(subjects):
+            word = [BESIDE[(i + j) % len(BESIDE)] for j in range(4)]
+            for j, host in enumerate((subject, f"{word[1]}-{subject}", f"{subject}-{word[2]}", f"{word[3]}{subject}")):
+                out.append((f"https://{subs[(i + j) % 4]}{host}.example.{tops[(i + j) // 4 % 4]}{PATHS[(i + 3 * j) % len(PATHS)]}", y))
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -71,24 +105,28 @@ def scores(hosts: Sequence[str], paths: Sequence[str], weights: np.ndarray, bias
     return 1 / (1 + np.exp(-(bias + np.bincount(rows, weights[features], minlength=len(hosts)) / np.sqrt(counts))))
 
 
-def train(hosts: Sequence[str], paths: Sequence[str], labels: Sequence[int], rounds: int = 300, rate: float = 2.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent; both classes weigh the same."""
+def train(hosts: Sequence[str], paths: Sequence[str], labels: Sequence[int], rounds: int = 300, rate: float = 40.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient descent; both classes weigh the same.
+
+    The bias is the prior and is not learnt, and n-grams that most rows have say nothing: a url without any n-gram that
+    tells is judged by the prior.
+    """
     rows, features = grams(hosts, paths)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << BITS), (4.0 if len(y) and y[0] else -4.0)
     norm = np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))
     used, at = np.unique(features, return_inverse=True)
-    w, bias = np.zeros(len(used)), -1.0
+    having = np.bincount(np.unique(at * len(y) + rows) // len(y), minlength=len(used))
+    tells = having <= max(1, COMMON * len(y))
+    w = np.zeros(len(used))
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(bias + np.bincount(rows, w[at], minlength=len(y)) / norm)))
-        g = (p - y) * each
-        w -= rate * 20 * (np.bincount(at, (g / norm)[rows]) + l2 * w)
-        bias -= 0.1 * rate * (g.sum() + 0.02 * (bias + 1))
+        p = 1 / (1 + np.exp(-(PRIOR + np.bincount(rows, w[at], minlength=len(y)) / norm)))
+        w -= rate * (np.bincount(at, ((p - y) * each / norm)[rows]) + l2 * w) * tells
     out = np.zeros(1 << BITS)
     out[used] = w
-    return out, bias
+    return out, PRIOR
 
 
 def filter_urls(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -98,7 +136,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str,
     """
     if labelled is None:
         labelled = df.sparkSession.createDataFrame(default_labelled(), "url string, label int")
-    sample = labelled.where(F.col("label").isNotNull()).select(host_of(F.col("url")), path_of(F.col("url")), "label").limit(MOST_LABELLED).collect()
+    sample = labelled.where(F.col("label").isNotNull()).select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label", "url").orderBy(F.xxhash64("url"), "url", "label").limit(MOST_LABELLED).drop("url").collect()
     weights, bias = train(*zip(*sample)) if sample else train([], [], [])
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "url_score")]
     source = df.select(*kept, host_of(df[url]).alias("host"), path_of(df[url]).alias("path"))
