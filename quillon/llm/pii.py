@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are the matches of four fixed kinds (email, ip, card, phone). The two words before a seed are a lexical pattern.
-Patterns and instances (seeds, and other tokens with a digit or an @) form a bipartite graph, scored in rounds: a
-pattern's confidence in a kind is the mean of its distinct instances' confidences (1 for a seed of that kind, 0 for a
-seed of another), an unseen instance's confidence is the largest of its patterns'. Only patterns that SUPPORT distinct
-seeds of a kind have in common are kept, before any round. What stands in a pattern of confidence CONFIDENT is a span of
-its kind. Texts are read once; all later steps work on spans and hashes.
+Seeds are the matches of four fixed kinds (email, ip, card, phone) and strings in known forms of credentials (secret).
+Every seed and every other token with a digit or an @ is an instance; what stands around an occurrence gives its lexical
+patterns: the two words before it, the word before it with the instance's shape (digits as 0, letters as a, runs of both
+as x and their length), and the shape with the word after it. Patterns and instances form a bipartite graph, scored in
+rounds. A pattern's confidence in a kind is the mean of its distinct instances' beliefs: 1 for a seed of that kind, 0
+for a seed of another, and for an unseen instance the largest confidence of the patterns trusted so far. A pattern is
+trusted if its confidence is CONFIDENT and SUPPORT distinct instances of that belief stand in it, seeds or instances that
+earlier rounds have found: so found instances make new patterns trusted, which find further ones. What stands in a
+trusted pattern, other than seeds of the four fixed kinds, is a span of its kind; a secret is one only there.
 
 Offsets are code points, ends exclusive. A match's offset comes from the lengths of the pieces that split() leaves
 between the matches of the same expression. The expressions are the given ones with possessive repeats and look-behind
@@ -24,6 +27,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds; the last has no spans of its own, only seeds.
+FOUND = (*KINDS, "secret")
+#: Credentials whose form alone tells them: hexadecimal keys, and the prefixes that some services give theirs.
+SECRET = r"^(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})$"
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,7 +40,7 @@ PATTERNS = {
 }
 #: A token with a digit or an @ between white space; what may enclose it.
 TOKEN, OPENING, CLOSING = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"""^["'(\[<{]*""", r"""["')\]>}.,;:!?]*$"""
-#: Characters before a match in which its two words are looked for.
+#: Characters before and after a match in which its words are looked for.
 BEFORE = 64
 SUPPORT, CONFIDENT, ROUNDS = 3, 0.8, 3
 _SPAN = "struct<start:bigint,no:int,kind:string,end:bigint,value:string>"
@@ -72,14 +79,28 @@ def _placed(text: Column, pattern: str, hits: Column) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:bigint,value:string>>"))
 
 
-def _context(before: Column) -> Column:
-    """The last two words, in lower case with digits as 0; null if there are fewer."""
-    found = F.regexp_extract(F.lower(before), r"(?<!\S)(\S+\s+\S+)\s+[\"'(\[<{]*$", 1)
-    return F.when(found != "", F.regexp_replace(F.regexp_replace(found, "[0-9]+", "0"), r"\s+", " "))
+def _shape(value: Column) -> Column:
+    """A token with its characters' classes for its characters; long ones end in their length."""
+    mixed = F.regexp_replace(value, r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]+", "x")
+    plain = F.regexp_replace(F.regexp_replace(mixed, "[0-9]", "0"), r"(?!x)\p{L}+", "a")
+    return F.concat(F.substring(plain, 1, 32), F.length(value).cast("string"))
+
+
+def _contexts(before: Column, value: Column, after: Column) -> Column:
+    """The patterns that an occurrence stands in; words are in lower case with digits as 0."""
+    plain = lambda w: F.regexp_replace(F.regexp_replace(w, "[0-9]+", "0"), r"\s+", " ")
+    low, shape = F.lower(before), _shape(value)
+    two = F.regexp_extract(low, r"(?<!\S)(\S+\s+\S+)\s+[\"'(\[<{]*$", 1)
+    one = F.regexp_extract(low, r"(?<!\S)(\S+)\s+[\"'(\[<{]*$", 1)
+    following = F.regexp_extract(F.lower(after), r"^\S*\s+(\S+)(?=\s|$)", 1)
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    coarse = F.when((digits < 4) & ~value.contains("@"), "few").otherwise("")
+    every = F.array(F.when(two != "", F.concat(F.lit("l|"), coarse, F.lit("|"), plain(two))), F.when(one != "", F.concat(F.lit("s|"), shape, F.lit("|"), plain(one))), F.when(following != "", F.concat(F.lit("r|"), shape, F.lit("|"), plain(following))))
+    return F.filter(every, lambda c: c.isNotNull())
 
 
 def scanned(df: DataFrame, text: str = "text", contexts: bool = True) -> DataFrame:
-    """df with base (spans of the fixed kinds, by start, then kind) and, if asked for, seen (context, instance, kind or null, start, end of seeds and other tokens)."""
+    """df with base (spans of the fixed kinds, by start, then kind) and, if asked for, seen (contexts, instance, kind or null, start, end of seeds and other tokens)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__t", whole)
     t = F.col("__t")
@@ -100,53 +121,65 @@ def scanned(df: DataFrame, text: str = "text", contexts: bool = True) -> DataFra
         core = F.regexp_replace(s["value"], OPENING, "")
         start = s["start"] + F.length(s["value"]) - F.length(core)
         core = F.regexp_replace(core, CLOSING, "")
-        return F.struct(start.cast("bigint").alias("start"), F.lit(-1).alias("no"), F.lit(None).cast("string").alias("kind"), (start + F.length(core)).cast("bigint").alias("end"), core.alias("value")).cast(_SPAN)
+        kind = F.when((F.length(core) >= 20) & core.rlike(SECRET), F.lit("secret"))
+        return F.struct(start.cast("bigint").alias("start"), F.lit(-1).alias("no"), kind.alias("kind"), (start + F.length(core)).cast("bigint").alias("end"), core.alias("value")).cast(_SPAN)
 
     free = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & s["value"].rlike("[0-9@]")
     df = df.withColumn("__other", F.filter(F.transform(F.col("__p_token"), trimmed), free))
     before = lambda s: F.substring(t, F.greatest(s["start"] - BEFORE, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(BEFORE)).cast("int"))
-    seen = F.transform(F.concat(F.col("base"), F.col("__other")), lambda s: F.struct(_context(before(s)).alias("context"), F.xxhash64(F.lower(s["value"])).alias("instance"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    df = df.withColumn("seen", F.filter(seen, lambda s: s["context"].isNotNull()))
+    after = lambda s: F.substring(t, s["end"].cast("int") + 1, F.lit(BEFORE))
+    seen = F.transform(F.concat(F.col("base"), F.col("__other")), lambda s: F.struct(_contexts(before(s), s["value"], after(s)).alias("contexts"), F.xxhash64(F.lower(s["value"])).alias("instance"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    df = df.withColumn("seen", F.filter(seen, lambda s: F.size(s["contexts"]) > 0))
     return df.drop("__t", "__other", *(f"__{a}_{k}" for a in "hp" for k in kinds))
 
 
 def learn(seen: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
-    """context and kind of the trusted patterns. seen: context, instance, kind (null for what is no seed), a row for each occurrence."""
+    """context, found (kind) and confidence of the trusted patterns. seen: context, instance, kind (null for what is no seed), a row for each occurrence."""
     edges = seen.groupBy("context", "instance").agg(F.max("kind").alias("kind"))  # partial counts first: hot contexts shrink before the shuffle
-    seeds = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
-    backed = edges.groupBy("context").agg(*seeds).where(" OR ".join(f"{k} >= {support}" for k in KINDS)).select("context")
-    edges = written(edges.join(backed, "context", "left_semi"), "pii-edges")
-    kinds = F.array(*(F.lit(k) for k in KINDS))
-    scores: DataFrame | None = None
+    known = edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("context")
+    edges = written(edges.join(known, "context", "left_semi"), "pii-edges")
+    seeds = {k: F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in FOUND}
+    trusted, before = None, -1
     for _ in range(rounds):
-        if scores is None:
-            belief = {k: F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS}
-            joined = edges
-        else:
-            unseen = edges.where("kind IS NULL").join(scores, "context").groupBy("instance").agg(*(F.max(F.when(F.col(f"c_{k}") >= confident / 2, F.col(f"c_{k}")).otherwise(0.0)).alias(f"i_{k}") for k in KINDS))
+        if trusted is None:
+            joined, belief = edges, seeds
+        else:  # what the trusted patterns say of unseen instances
+            unseen = edges.where("kind IS NULL").join(trusted, "context").groupBy("instance").agg(*(F.max(F.when(F.col("found") == k, F.col("confidence")).otherwise(0.0)).alias(f"i_{k}") for k in FOUND))
             joined = edges.join(unseen, "instance", "left")
-            belief = {k: F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNull(), F.coalesce(F.col(f"i_{k}"), F.lit(0.0))).otherwise(0.0) for k in KINDS}
-        new = joined.groupBy("context").agg(*(F.avg(belief[k]).alias(f"c_{k}") for k in KINDS), *seeds)
-        scores = written(new, "pii-patterns")
-    good = F.filter(kinds, lambda k: F.lit(False))
-    for k in reversed(KINDS):
-        good = F.concat(F.when((F.col(f"c_{k}") >= confident) & (F.col(k) >= support), F.array(F.lit(k))).otherwise(F.array().cast("array<string>")), good)
-    return scores.select("context", F.try_element_at(good, F.lit(1)).alias("found")).where("found IS NOT NULL")
+            belief = {k: F.when(F.col("kind").isNull(), F.coalesce(F.col(f"i_{k}"), F.lit(0.0))).otherwise(seeds[k]) for k in FOUND}
+        scores = joined.groupBy("context").agg(*(F.avg(belief[k]).alias(f"c_{k}") for k in FOUND), *(F.count_if(belief[k] >= confident).alias(f"n_{k}") for k in FOUND))
+        found = None
+        for k in FOUND:
+            good = (F.col(f"c_{k}") >= confident) & (F.col(f"n_{k}") >= support)
+            found = F.when(good, F.struct(F.lit(k).alias("found"), F.col(f"c_{k}").alias("confidence"))) if found is None else found.when(good, F.struct(F.lit(k).alias("found"), F.col(f"c_{k}").alias("confidence")))
+        trusted = written(scores.select("context", found.alias("f")).where("f IS NOT NULL").select("context", "f.*"), "pii-patterns")
+        count = trusted.count()
+        if count == before:
+            break
+        before = count
+    return trusted
+
+
+def _uid(text: str, more: list[str]) -> list[Column]:
+    """Two 64-bit hashes that name a row, or equal rows."""
+    parts = [*(F.col(c) for c in more), F.coalesce(F.col(text), F.lit(""))]
+    return [F.xxhash64(*parts).alias("uid"), F.xxhash64(F.lit(1), *parts).alias("uid2")]
 
 
 def _stage(docs: DataFrame, text: str, more: list[str]) -> DataFrame:
-    """Base spans and occurrences of every row, without the text; uid is equal for equal rows."""
-    uid = F.xxhash64(*(F.col(c) for c in more), F.coalesce(F.col(text), F.lit("")))
-    return written(scanned(docs.select(*more, text, uid.alias("uid")), text).drop(text), "pii-scan")
+    """Base spans and occurrences of every row, without the text; uid and uid2 are equal for equal rows."""
+    return written(scanned(docs.select(*more, text, *_uid(text, more)), text).drop(text), "pii-scan")
 
 
 def _extra(stage: DataFrame) -> DataFrame:
-    """uid and extra: the spans that trusted patterns add."""
-    seen = stage.select("uid", F.explode("seen").alias("s")).select("uid", "s.*")
+    """uid, uid2 and extra: the spans that trusted patterns add, each of its most trusted pattern's kind."""
+    seen = stage.select("uid", "uid2", F.explode("seen").alias("s")).select("uid", "uid2", "s.*").withColumn("context", F.explode("contexts")).drop("contexts")
     patterns = learn(seen.select("context", "instance", "kind"))
-    no = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("found")) - 1
-    span = F.struct(F.col("start"), no.cast("int").alias("no"), F.col("found").alias("kind"), F.col("end"), F.lit("").alias("value")).cast(_SPAN)
-    return seen.where("kind IS NULL").join(patterns, "context").groupBy("uid").agg(F.collect_set(span).alias("extra"))
+    no = F.array_position(F.array(*(F.lit(k) for k in FOUND)), F.col("found")) - 1
+    places = seen.where("kind IS NULL OR kind = 'secret'").join(patterns.withColumn("no", no.cast("int")), "context")
+    best = places.groupBy("uid", "uid2", "start", "end").agg(F.max_by(F.struct("no", "found"), F.struct("confidence", -F.col("no"))).alias("b"))
+    span = F.struct(F.col("start"), F.col("b.no").alias("no"), F.col("b.found").alias("kind"), F.col("end"), F.lit("").alias("value")).cast(_SPAN)
+    return best.groupBy("uid", "uid2").agg(F.collect_list(span).alias("extra"))
 
 
 def _is(kind: str) -> object:
@@ -158,19 +191,19 @@ def _listed(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_spans (all of them) of every row."""
     stage = _stage(docs, text, ["doc_id"])
-    joined = stage.join(_extra(stage), "uid", "left")
+    joined = stage.join(_extra(stage), ["uid", "uid2"], "left")
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     every = F.array_sort(F.concat("base", F.coalesce(F.col("extra"), F.array().cast(f"array<{_SPAN}>"))))
-    return joined.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+    return joined.withColumn("every", every).select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans are one, named by the first. A column n_chars follows the text."""
     extra = written(_extra(_stage(docs, text, [key])), "pii-extra")  # small, so that joining it needs no shuffle of the texts
-    uid = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
-    joined = scanned(docs.withColumn("uid", uid), text, False).join(extra, "uid", "left")
+    named = docs.withColumn("__row", F.struct(*(c for c in docs.columns if c != text))).select(*_uid(text, [key]), F.col(text).alias("__text"), "__row")  # apart from columns of clashing names
+    joined = scanned(named, "__text", False).join(extra, ["uid", "uid2"], "left")
     none = F.array().cast(f"array<{_SPAN}>")
     every = F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("extra", none)))
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint,kind:string>>").alias("out"))
@@ -183,9 +216,10 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, grown).otherwise(added).alias("out"))
 
     joined = joined.withColumn("__cuts", F.aggregate(every, empty, step, lambda s: s["out"]))
-    cuts, t = F.col("__cuts"), F.col(text)
+    cuts, t = F.col("__cuts"), F.col("__text")
     place = lambda c, i: F.concat(F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"]).cast("int") + 1, (c["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"])).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
     tail = F.substring(t, F.element_at(cuts, -1)["b"].cast("int") + 1, F.lit(2147483647))
     masked = F.when(F.size(cuts) > 0, F.concat(F.array_join(F.transform(cuts, place), ""), tail)).otherwise(t)
-    out = joined.withColumn(text, masked)
-    return out.select(*(F.when(F.size("__cuts") > 0, F.length(text)).otherwise(F.col(c)).cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    types = dict(docs.dtypes)
+    own = {text: F.col("__masked"), "n_chars": F.when(F.size("__cuts") > 0, F.length("__masked")).otherwise(F.col("__row.n_chars")).cast(types["n_chars"])} if "n_chars" in types else {text: F.col("__masked")}
+    return joined.withColumn("__masked", masked).select(*(own.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns))
