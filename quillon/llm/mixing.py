@@ -5,15 +5,16 @@ part of that number is taken at once; the fractional parts are rounded together:
 at random until one of their fractions is 0 or 1, so the words expected of the pair do not change; the other goes on
 to the next. Each bucket of a source leaves at most one fraction open; these residuals are paired in the same way, 256
 buckets at a time, up a tree, until one fraction of the source is left, which is rounded by itself. A source therefore
-misses its target by less than one document. Buckets are set by a hash of doc_id and their number by the source's rows,
-so no task holds more than about BUCKET rows of any source; all randomness is hashed from the source, the bucket and a
-seed, so reruns agree.
+misses its target by less than one document. Rows of equal source, doc_id and size are counted, and every CHUNK of them
+is a unit; buckets are set by a hash of the unit and their number by the source's rows, so no task holds more than about
+BUCKET rows of any source, whatever the ids; all randomness is hashed from the source, the bucket and a seed, so reruns
+agree.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share the words of all documents; a
 target stops at 3 times its source's words, and the excess is shared again by weight until none is above.
 
-Cases: a null or empty text has size 0 and is taken 0 times; repeated rows are rounded one by one; a source without
-words has target 0; an empty table gives no rows.
+Cases: a null or empty text has size 0 and is taken 0 times; repeated rows, and rows without a doc_id, are rounded one by
+one; a source without words has target 0; an empty table gives no rows; extra columns are kept by mixed().
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import with_possible, written
 
-WEIGHTS, MOST, BUCKET, FAN = (5.0, 2.0, 1.0), 3.0, 8192, 256
+WEIGHTS, MOST, BUCKET, FAN, CHUNK = (5.0, 2.0, 1.0), 3.0, 8192, 256, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -141,6 +142,8 @@ def _rounded(df: DataFrame, key: str, seed: int, level: int, order: list[str], l
     """df with p rounded in each group of source and key; is_open marks the residual of a group."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if "times" in group:  # rows that are equal but for their number
+            group = group.loc[group.index.repeat(group["times"])].drop(columns="times").reset_index(drop=True)
         group = group.sort_values(["size", *order], ascending=[False, *[True] * len(order)], kind="stable")  # the residual tends to be a small document
         name = f"{seed}|{level}|{group['source'].iloc[0]!r}|{group[key].iloc[0]}"
         draws = np.random.default_rng([zlib.crc32(name.encode()), zlib.adler32(name.encode()), seed]).random(len(group) + 1)
@@ -159,11 +162,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     """doc_id, size, source_size, target, copies and taken of every row of df."""
     sized = written(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")), "sizes")
     by_source = written(targets(sized, weights, most), "targets")
-    wanted = sized.alias("d").join(by_source.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.n")
+    units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    units = units.withColumn("times", F.least(F.col("rows") - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("long"))
+    wanted = units.alias("d").join(by_source.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "d.chunk", "d.times", "s.source_size", "s.target", "s.n")
     wanted = wanted.withColumn("copies", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    wanted = wanted.select("doc_id", "source", "size", "source_size", "target", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n") / BUCKET)).alias("bucket"))
-    columns = "doc_id long, source string, size long, source_size long, target double, whole long, p double, bucket long, is_open boolean"
-    first = written(_rounded(wanted, "bucket", seed, 0, ["doc_id"], False, columns), "rounded")
+    kind = dict(sized.dtypes)["doc_id"]
+    has_id, some_id = F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast(kind))  # pandas would make floats of numbers among nulls
+    wanted = wanted.select(some_id.alias("doc_id"), has_id.alias("has_id"), "source", "size", "source_size", "target", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p"), F.pmod(F.xxhash64("doc_id", "size", "chunk", F.lit(seed)), F.ceil(F.col("n") / BUCKET)).alias("bucket"), "times")
+    columns = f"doc_id {kind}, has_id boolean, source string, size long, source_size long, target double, whole long, p double, bucket long, is_open boolean"
+    first = written(_rounded(wanted, "bucket", seed, 0, ["has_id", "doc_id"], False, columns), "rounded")
     done, buckets = None, -(-(by_source.agg(F.max("n")).first()[0] or 0) // BUCKET)
     left, level = first.where("is_open").select("source", "bucket", "size", "p", F.col("bucket").alias("group")), 0
     while left is not None:
@@ -177,19 +184,19 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     settled = first.where("NOT is_open").withColumn("up", F.col("p"))
     opened = first.where("is_open").alias("f").join(done.alias("r"), F.expr("f.source <=> r.source AND f.bucket = r.bucket")).select("f.*", "r.up")
     copies = F.col("whole") + F.col("up").cast("long")
-    return settled.unionByName(opened).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **more: object) -> DataFrame:
-    """The mix itself: every row of docs as often as mix() takes it. Rows of equal key and text share what they are taken."""
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    sized = docs.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("row"), text, source)
-    # the row's key and mark travel as one hash, which also sets its bucket
-    name = F.xxhash64("row.id", "row.mark")
-    taken = mix(sized.select(name.alias("name"), text, source), text, source, "name", **more).groupBy(F.col("doc_id").alias("__name")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    taken = written(taken, "copies")
-    rows = docs.withColumn("__name", F.xxhash64(F.col(key), mark))
-    if (taken.agg(F.max("__rows")).first()[0] or 0) > 1:
-        rows = rows.dropDuplicates(["__name"])
-    joined = rows.join(taken.where("__copies > 0"), "__name").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return settled.unionByName(opened).select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", **more: object) -> DataFrame:
+    """The mix itself: every row of docs as often as mix() takes it. Rows that are equal in all columns are one row taken as often as all of them."""
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # other columns cannot be hashed
+    parts = [*plain, *(F.col(c).isNull() for c in plain)]  # a hash passes nulls over
+    name = F.concat_ws("-", F.xxhash64(*parts).cast("string"), F.xxhash64(F.lit(1), *parts).cast("string"))
+    named = docs.withColumn("__name", name)
+    taken = mix(named.select("__name", F.col(text).alias("__text"), F.col(source).alias("__source")), "__text", "__source", "__name", **more)
+    taken = written(taken.groupBy(F.col("doc_id").alias("__name")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "copies")
+    if (taken.agg(F.max("__rows")).first()[0] or 0) > 1:  # equal rows, which a filter of their names singles out
+        flagged = with_possible(named, "__name", written(taken.where("__rows > 1").select("__name"), "repeated"), "__again")
+        named = flagged.where("NOT __again").unionByName(flagged.where("__again").dropDuplicates(["__name"])).drop("__again")
+    joined = named.join(taken.where("__copies > 0").drop("__rows"), "__name").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return joined.select(*docs.columns)
