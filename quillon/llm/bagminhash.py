@@ -7,16 +7,19 @@ all hashed from the shingle and the block. A point counts if its level is below
 time, so two signatures agree in a register with a probability equal to the weighted Jaccard similarity. Points come in
 order of time, so a block is left as soon as its next time is later than the latest register.
 
-Signatures are banded. In a bucket every document is compared with the smallest one (its lead), so a group of g
-documents gives g - 1 candidates; in buckets whose documents are then still in several components, also with the one
-that has most links. What leads cannot show is compared afterwards, where components are left: documents of different components whose signatures agree nearly enough, in the first band that
-they share. A small bucket emits such pairs; a large one is cut into blocks that verify them at once, best first, and
-emit only links that join components, so no group emits all its pairs. All candidates are verified by the overlap of
-the multisets. Documents with the same words are one entry.
+Documents with the same words are one entry, named by a number of its own: neither doc_ids nor 64-bit hashes stand for a
+text. Signatures are banded. In a bucket every entry is compared with the smallest one (its lead), so a group of g
+entries gives g - 1 candidates; in buckets whose entries are then still in several components, also with the one that
+has most links. What leads cannot show is compared afterwards, where components are left: entries of different
+components whose signatures agree nearly enough, in the first band that they share. A small bucket emits such pairs; a
+large one is cut into blocks that verify them at once, best first, and emit only links that join components, so no group
+emits all its pairs. All candidates are verified by the overlap of the multisets.
 
 Cases: a null or empty text, or one of white space only, is alone in its class; a text of fewer than five words has one
-shingle of all its words; repeated rows share a class, named by the smallest doc_id; an empty table gives no rows; extra
-columns are not read by classes().
+shingle of all its words; a class is named by its smallest doc_id, null if none has one; several texts under one doc_id
+are classed apart from each other, and only the one that the class is named after (of least hash) is kept; repeated rows
+share a class, and all of the one that is kept are marked, of which deduplicated() keeps one; rows without a doc_id are
+classed and dropped like others; an empty table gives no rows; extra columns are not read by classes().
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import drop_written, pieces, small_batches, text_bytes, with_possible, written
@@ -147,20 +150,20 @@ def overlap(a: bytes, b: bytes, memory: dict, most: int = 256) -> float:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, content (a digest of the words; null if there are none), bands and sketch (a byte of each register)."""
+    """doc_id, mark (a hash of the text), content (a digest of the words; null if there are none), bands and sketch (a byte of each register)."""
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = [v.as_py() for v in batch.column(1)]
+            texts = [v.as_py() for v in batch.column(2)]
             hashes, owner, n = shingles(texts)
             register = signatures(*multisets(hashes, owner), len(texts))
             keys, sketch = band_keys(register).view(np.int64), (_mix(register.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
             content = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if c else None for t, c in zip(texts, n.tolist())]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), bands, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "content", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary()), bands, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "mark", "content", "bands", "sketch"])
 
-    return docs.select("doc_id", text_bytes(docs, text).alias("text")).mapInArrow(run, "doc_id long, content binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text_bytes(docs, text).alias("text")).mapInArrow(run, "doc_id long, mark long, content binary, bands array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -265,10 +268,17 @@ def _agreeing(pairs: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """id and text of the documents in ids; the texts of others are not shuffled, but for a few."""
-    few = with_possible(docs.select(F.col("doc_id").alias("id"), text_bytes(docs, text).alias("text")), "id", ids).where("possible").drop("possible")
-    return written(few.join(ids, "id").groupBy("id").agg(F.first("text").alias("text")), "texts", "zstd")
+def _place(doc_id: Column, mark: Column) -> Column:
+    """A row's doc_id and mark as one string, which is never null."""
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), mark.cast("string"))
+
+
+def _texts(docs: DataFrame, text: str, ids: DataFrame, entries: DataFrame) -> DataFrame:
+    """id and text of the entries in ids, read from one row of each; the texts of other rows are not shuffled, but for a few."""
+    wanted = written(ids.join(entries.select("id", "doc_id", "mark"), "id").select("id", _place(F.col("doc_id"), F.col("mark")).alias("place")), "places")
+    every = docs.select(_place(F.col("doc_id"), F.xxhash64(text)).alias("place"), text_bytes(docs, text).alias("text"))
+    few = with_possible(every, "place", wanted.select("place")).where("possible").drop("possible")
+    return written(few.join(wanted, "place").groupBy("id").agg(F.first("text").alias("text")), "texts", "zstd")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -277,9 +287,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size and kept (whether it is the one that stays) of every row."""
+    return _classed(docs, text, least).drop("mark", "alone")
+
+
+def _classed(docs: DataFrame, text: str, least: float) -> DataFrame:
+    """The columns of classes(), and mark and alone of every row."""
     sketches = written(signed(docs, text), "signatures")
-    entries = sketches.where("content IS NOT NULL AND doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    entries = written(entries, "entries")
+    # the entry's row is the smallest; rows with a doc_id come first
+    name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("name")
+    entries = sketches.where("content IS NOT NULL").groupBy("content").agg(name, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "content", "name.*", "bands", "sketch"), "entries")
     banded = entries.select("id", F.posexplode("bands").alias("band", "bucket"))
     leads = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(leads, "bucket"), "members")
@@ -294,7 +311,7 @@ def classes(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFram
             found = members.where("id <> b")
         found = found.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         pairs = written(_agreeing(found if done is None else found.join(done, ["a", "b"], "left_anti"), entries, least), "candidates")
-        texts = _texts(docs, text, written(_ends(pairs), "ends"))
+        texts = _texts(docs, text, written(_ends(pairs), "ends"), entries)
         new = written(_verified(pairs, texts, least), "links")
         drop_written(texts)
         done, links = (pairs, new) if done is None else (done.unionByName(pairs), links.unionByName(new))
@@ -315,37 +332,34 @@ def classes(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFram
     more = sparse.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_sparse(least), "a long, b long").distinct()
     more = written(more.select(F.col("b").alias("a"), F.col("a").alias("b")).join(done, ["a", "b"], "left_anti"), "candidates")
     crowd = written(still.where(f"n > {DENSE}").select("id").distinct(), "crowd")
-    texts = _texts(docs, text, written(_ends(more).unionByName(crowd).distinct(), "ends"))
+    texts = _texts(docs, text, written(_ends(more).unionByName(crowd).distinct(), "ends"), entries)
     second = written(_verified(more, texts, least), "links")
     dense = sides.where(f"n > {DENSE}").drop("n").join(entries.select("id", "sketch", "bands"), "id").join(texts, "id")
     third = written(dense.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_dense(least), "a long, b long"), "links")
     drop_written(texts)
     drop_written(members)
     every = components(links.unionByName(second).unionByName(third))
-    own = entries.select("content", "id").join(every, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
-    out = written(sketches.select("doc_id", "content").join(own, "content", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("content").isNull().alias("alone")), "classes")
-    sizes = written(out.where("NOT alone").groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
-    size = F.when(F.col("alone"), 1).otherwise(F.coalesce("class_size", F.lit(1))).cast("long")
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", size.alias("class_size"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
-
-
-def _named(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __uid: the doc_id, or a hash of it and the text where an id may have several texts."""
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("x"), F.max("mark").alias("y"))
-    clashing = written(texts.where("x <> y").select("doc_id"), "clashing")
-    if clashing.isEmpty():
-        return docs.withColumn("__uid", F.col("doc_id"))
-    return with_possible(docs, "doc_id", clashing, "__clash").withColumn("__uid", F.when(F.col("__clash") & F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text)).otherwise(F.col("doc_id"))).drop("__clash")
-
-
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each class: the row whose doc_id names the class; of repeated rows of that doc_id and text, one.
-
-    Only the rows that may have to go are looked up; the texts of the others are not shuffled.
+    own = written(entries.select("content", "id", "none", "doc_id", "mark").join(every, "id", "left").withColumn("component", F.coalesce("component", "id")), "own")
+    # a class is named by the smallest row of its entries
+    named = own.groupBy("component").agg(F.min(F.struct("none", "doc_id", "mark")).alias("name"))
+    placed = own.select("content", "component").join(named, "component").select("content", "component", F.col("name.doc_id").alias("class_id"), F.col("name.mark").alias("class_mark"))
+    counts = sketches.where("content IS NOT NULL").groupBy("content").agg(F.count("*").alias("rows"))
+    sizes = placed.join(counts, "content").groupBy("component").agg(F.sum("rows").alias("class_size"))
+    placed = written(placed.join(sizes, "component").drop("component"), "classes")
+    out = sketches.select("doc_id", "mark", "content").join(placed, "content", "left")
+    alone = F.col("content").isNull()
+    kept = alone | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
+    return out.select("doc_id", "mark", alone.alias("alone"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
+    """docs with one document of each class: the row that names it; of repeated rows of that doc_id and text, one.
+
+    Texts without words are in no class, but of repeated rows of them one stays too. Only the rows that may have to go
+    are looked up; the texts of the others are not shuffled.
     """
-    named = _named(docs, text)
-    found = written(classes(named.select(F.col("__uid").alias("doc_id"), text), text), "classes").withColumnRenamed("doc_id", "__uid")
-    doubtful = written(found.groupBy("__uid").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("__uid IS NOT NULL AND (n > 1 OR NOT kept)").select("__uid", "kept"), "doubtful")
-    flagged = with_possible(named, "__uid", doubtful.select("__uid"), "__possible")
-    looked_up = flagged.where("__possible AND __uid IS NOT NULL").join(doubtful.withColumnRenamed("kept", "__kept"), "__uid", "left").where("coalesce(__kept, true)").dropDuplicates(["__uid"])
-    return flagged.where("NOT __possible OR __uid IS NULL").select(*docs.columns).unionByName(looked_up.select(*docs.columns))
+    found = _classed(docs, text, least).select(_place(F.col("doc_id"), F.col("mark")).alias("__place"), "kept")
+    doubtful = written(found.groupBy("__place").agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("n")).where("n > 1 OR NOT __kept").select("__place", "__kept"), "doubtful")
+    flagged = with_possible(docs.withColumn("__place", _place(F.col("doc_id"), F.xxhash64(text))), "__place", doubtful.select("__place"), "__possible")
+    looked_up = flagged.where("__possible").join(doubtful, "__place", "left").where("coalesce(__kept, true)").dropDuplicates(["__place"])
+    return flagged.where("NOT __possible").select(*docs.columns).unionByName(looked_up.select(*docs.columns))
