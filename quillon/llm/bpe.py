@@ -33,7 +33,7 @@ from quillon.llm.common import small_batches, text_bytes
 #: A part of a document of so many characters is a leaf; a part of a match of so many bytes is one.
 LEAF_CHARS, LEAF_BYTES = 8192, 64
 #: Distinct matches whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED, LONGEST = 500_000, 64
 #: Characters that the pattern may look at from a match's start besides the match itself (`'re` and its kind).
 LOOK = 3
 
@@ -45,10 +45,11 @@ class _Memory(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.codec.encode_match(piece.encode())
-        self[piece] = out = b"".join(i.to_bytes(4, "little") for i in ids)
+        out = b"".join(i.to_bytes(4, "little") for i in self.codec.encode_match(piece.encode()))
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
 
