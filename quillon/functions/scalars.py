@@ -115,11 +115,6 @@ def scl34(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("scl38_complexity", "SELECT doc_id, len(regexp_extract_all(text, '\\b(?:if|elif|for|while|except|case|catch)\\b|&&|\\|\\||\\?')) + 1 AS complexity FROM documents WHERE lang = 'en'")
-def scl38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", complexity(F.col("text")).cast("long").alias("complexity"))
-
-
 @query("scl38_complexity_all", "SELECT doc_id, len(regexp_extract_all(text, '\\b(?:if|elif|for|while|except|case|catch)\\b|&&|\\|\\||\\?')) + 1 AS complexity FROM documents")
 def scl38_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", complexity(F.col("text")).cast("long").alias("complexity"))

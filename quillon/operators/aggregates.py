@@ -152,11 +152,6 @@ def debt_rating(found: DataFrame) -> DataFrame:
     return per.select("name", "score", rating.otherwise("F").alias("rating"), risk.otherwise("critical").alias("risk"), F.bround(F.col("hours") / 8, 1).alias("days"))
 
 
-@query("agg13_debt_rating", f"SELECT name, score, CASE WHEN score = 0 THEN 'A+' " + " ".join(f"WHEN score < {x} THEN '{a}'" for x, a, _ in DEBTS) + " ELSE 'F' END AS rating, CASE WHEN score = 0 THEN 'low' " + " ".join(f"WHEN score < {x} THEN '{b}'" for x, _, b in DEBTS) + f" ELSE 'critical' END AS risk, round_even(hours / 8, 1) AS days FROM (SELECT file_path || ':' || category AS name, cast(sum({sql_pick(WEIGHT, 'severity')}) as bigint) AS score, sum({sql_pick(EFFORT, 'severity')}::double) AS hours FROM findings WHERE line_number = 7 GROUP BY 1)")
-def agg13_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debt_rating(findings(spark, sf_dir).where("line_number = 7"))
-
-
 @query("agg13_debt_rating_all", f"SELECT name, score, CASE WHEN score = 0 THEN 'A+' " + " ".join(f"WHEN score < {x} THEN '{a}'" for x, a, _ in DEBTS) + " ELSE 'F' END AS rating, CASE WHEN score = 0 THEN 'low' " + " ".join(f"WHEN score < {x} THEN '{b}'" for x, _, b in DEBTS) + f" ELSE 'critical' END AS risk, round_even(hours / 8, 1) AS days FROM (SELECT file_path || ':' || category AS name, cast(sum({sql_pick(WEIGHT, 'severity')}) as bigint) AS score, sum({sql_pick(EFFORT, 'severity')}::double) AS hours FROM findings GROUP BY 1)")
 def agg13_rating_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debt_rating(findings(spark, sf_dir))
