@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -27,7 +28,10 @@ REDACTIONS = (
     ("IPV4", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
     ("PHONE", r"\b(?:\+?\d{1,3}[ -]?)?(?:\(?\d{3}\)?[ -]?)\d{3}[ -]?\d{4}\b"),
 )
+#: Fixed value: a setting whose value is a secret.
 KEY_VALUE = r"(?i)\b(password|passwd|pwd|secret|token|api[_-]?key|authorization|bearer)\b\s*[:=]\s*['\"]?([^\s'\"&]{4,})['\"]?"
+#: What every one of these patterns needs; texts without it are not looked at in Python.
+REDACTABLE = r"(?iu)@|\p{Nd}|[a-z0-9/+=]{40}|akia|asia|private key|gh[posru]_|xox[baprs]-|sk-|eyj|password|passwd|pwd|secret|token|api[_-]?key|authorization|bearer"
 # Weight, label and pattern of signals in a prompt and in an output.
 INJECTION = (
     (3, "ignore_previous_instructions", r"(?i)ignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above)\s+(?:instructions|prompts?|rules)"),
@@ -70,21 +74,21 @@ def redact_text(text: str | None, redact_ip: bool = True) -> tuple[str | None, l
     """The redacted text, the spans (kind, placeholder, start, end) by start, and the mapping back."""
     if not text:
         return text, [], {}
-    taken: list[tuple[int, int, str, str]] = []
-    counts: dict[str, int] = {}
     candidates = [(kind, m.start(), m.end()) for kind, p in REDACTIONS if redact_ip or kind != "IPV4" for m in re.finditer(p, text) if kind != "CREDIT_CARD" or luhn(m.group())]
     candidates += [("SECRET", *m.span(2)) for m in re.finditer(KEY_VALUE, text)]
+    taken: list[tuple[int, int, str, str]] = []  # ascending and apart from each other
+    counts: dict[str, int] = {}
     for kind, start, end in candidates:
-        if all(end <= a or start >= b for a, b, *_ in taken):
-            counts[kind] = counts.get(kind, 0) + 1
-            taken.append((start, end, kind, f"[REDACTED_{kind}_{counts[kind]}]"))
-    mapping = {mark: text[a:b] for a, b, _, mark in taken}
-    taken.sort()
+        i = bisect.bisect(taken, (start, end))
+        if (i and taken[i - 1][1] > start) or (i < len(taken) and taken[i][0] < end):
+            continue
+        counts[kind] = counts.get(kind, 0) + 1
+        taken.insert(i, (start, end, kind, f"[REDACTED_{kind}_{counts[kind]}]"))
     out, at = [], 0
     for a, b, _, mark in taken:
         out += [text[at:a], mark]
         at = b
-    return "".join([*out, text[at:]]), [(kind, mark, a, b) for a, b, kind, mark in taken], mapping
+    return "".join([*out, text[at:]]), [(kind, mark, a, b) for a, b, kind, mark in taken], {mark: text[a:b] for a, b, _, mark in taken}
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
@@ -96,7 +100,9 @@ def redacted(df: DataFrame, text: str = "text") -> DataFrame:
         rows = [redact_text(t) for t in texts]
         return pd.DataFrame({"text": [r[0] for r in rows], "spans": [[dict(zip(("kind", "placeholder", "start", "end"), s)) for s in r[1]] for r in rows], "mapping": [r[2] for r in rows]})
 
-    return df.withColumn("redaction", run(F.col(text)))
+    none = F.struct(F.col(text).alias("text"), F.array().cast(kind["spans"].dataType).alias("spans"), F.create_map().cast(kind["mapping"].dataType).alias("mapping"))
+    some = F.col(text).rlike(REDACTABLE)
+    return df.withColumn("redaction", run(F.when(some, F.col(text)))).withColumn("redaction", F.when(some, F.col("redaction")).otherwise(none))
 
 
 def rehydrated(text: Column, mapping: Column) -> Column:
@@ -208,11 +214,6 @@ def entropy(text: Column) -> Column:
     return -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda total, c: total + F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
 
 
-@query("scl21_entropy", "WITH c AS (SELECT item_id, unnest(string_split(substr(text, 1, 200), '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT item_id, sum(k) AS s FROM n GROUP BY 1) SELECT n.item_id, round_even(-sum(k / s * log2(k / s)), 6) AS entropy FROM n JOIN t USING (item_id) GROUP BY 1")
-def scl21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.bround(entropy(F.substring("text", 1, 200)), 6).alias("entropy"))
-
-
 @query("scl21_entropy_whole", "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT item_id, sum(k) AS s FROM n GROUP BY 1) SELECT n.item_id, round_even(-sum(k / s * log2(k / s)), 6) AS entropy FROM n JOIN t USING (item_id) GROUP BY 1")
 def scl21_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.bround(entropy(F.col("text")), 6).alias("entropy"))
