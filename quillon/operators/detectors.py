@@ -171,12 +171,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select(F.col("file_path").alias("path"), text.alias("text"))
 
 
-@query("txt05_line_patterns", "SELECT doc_id, cast(pos as int) AS line_number, 'hardcoded-secret' AS rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE regexp_matches(line, '(?i)(password|secret|token|api_key)\\s*=\\s*[''\"][^''\"]{8,}[''\"]')")
-def txt05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = line_hits(numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    return hits.where("rule = 'hardcoded-secret'").select("doc_id", "line_number", "rule")
-
-
 def _rule_sql(rule: str, pattern: str, severity: str, cwe: str) -> str:
     """The hits of a rule as DuckDB text; a lookahead for what must not follow is a test of what stands after the last match."""
     head, _, tail = pattern.replace("'", "''").partition("(?!.*")
@@ -240,3 +234,44 @@ def txt12(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.create_map(F.lit("Strict-Transport-Security"), F.lit("max-age=1"), F.lit("Server"), F.lit("x"))
     two = F.map_concat(one, F.create_map(F.lit("X-Frame-Options"), F.lit("DENY")))
     return table(spark, sf_dir, "events").select("event_id", F.size(missing_headers(F.when(F.col("user_id") % 3 == 0, two).otherwise(one))).alias("missing"))
+
+
+_CONTAINERS = {
+    "latest-tag": ("p_size % 2 = 0", "FROM python:latest", "FROM python:3.12"), "root-user": ("p_size % 3 = 0", "USER root", "USER app"), "add-instead-of-copy": ("p_size % 5 = 0", "ADD . /app", "COPY . /app"), "env-secret": ("p_partkey % 3 = 0", "ENV DB_PASSWORD=x", "ENV MODE=x"),
+    "no-healthcheck": ("p_partkey % 5 = 0", "# HEALTHCHECK CMD true", "HEALTHCHECK CMD true"), "sudo": ("p_partkey % 7 = 0", "RUN apt update && sudo make", "RUN make # pseudo"), "curl-pipe": ("p_size % 7 = 0", "RUN curl -s http://x | bash", "RUN curl -s http://x -o y"),
+}
+_PODS = {
+    "privileged": ("p_size % 2 = 0", "privileged: true", "privileged: false"), "host-network": ("p_size % 3 = 0", "hostNetwork: true", "hostNetwork: false"), "host-pid": ("p_size % 5 = 0", "hostPID: true", "kind: Pod"), "escalation": ("p_partkey % 3 = 0", "allowPrivilegeEscalation: true", "allowPrivilegeEscalation: false"),
+    "no-limits": ("p_partkey % 5 = 0", "requests:", "limits:"), "no-non-root": ("p_partkey % 7 = 0", "runAsNonRoot: false", "runAsNonRoot: true"), "wildcard-verbs": ("p_size % 7 = 0", "verbs: ['*']", "verbs: ['get']"),
+}
+
+
+def _failed_sql(planted: dict[str, tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT p_partkey, '{name}' AS failed FROM part WHERE {bad}" for name, (bad, _, _) in planted.items())
+
+
+def _planted(part: DataFrame, planted: dict[str, tuple[str, str, str]]) -> DataFrame:
+    return part.select("p_partkey", F.concat_ws("\n", *(F.when(F.expr(bad), F.lit(one)).otherwise(F.lit(other)) for bad, one, other in planted.values())).alias("text"))
+
+
+@query("txt11_docker_checks", _failed_sql(_CONTAINERS))
+def txt11_docker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks over Dockerfiles made from the parts, in which each fault is planted apart from the others."""
+    return _planted(table(spark, sf_dir, "part"), _CONTAINERS).select("p_partkey", F.explode(dockerfile_checks(F.col("text"))).alias("failed"))
+
+
+@query("txt11_kubernetes_checks", _failed_sql(_PODS))
+def txt11_kubernetes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planted(table(spark, sf_dir, "part"), _PODS).select("p_partkey", F.explode(kubernetes_checks(F.col("text"))).alias("failed"))
+
+
+_SENT = {h: f"p_partkey % {n} = 0" for h, n in zip((*HEADERS, *DISCLOSING), (2, 3, 5, 7, 11, 13, 2, 3, 5, 7))}
+
+
+@query("txt12_header_checks", " UNION ALL ".join([f"SELECT p_partkey, '{h}' AS header, 'missing' AS fault FROM part WHERE NOT {_SENT[h]}" for h in HEADERS] + [f"SELECT p_partkey, '{h}', 'disclosing' FROM part WHERE {_SENT[h]}" for h in DISCLOSING]))
+def txt12_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and disclosing headers by name, of responses made from the parts; names come in different cases."""
+    entries = F.array_compact(F.array(*(F.when(F.expr(sent), F.struct((F.upper(F.lit(h)) if i % 2 else F.initcap(F.lit(h))).alias("k"), F.lit("x").alias("v"))) for i, (h, sent) in enumerate(_SENT.items()))))
+    made = table(spark, sf_dir, "part").select("p_partkey", F.map_from_entries(entries).alias("m"))
+    faults = F.concat(F.transform(missing_headers(F.col("m")), lambda h: F.struct(h.alias("header"), F.lit("missing").alias("fault"))), F.transform(disclosed(F.col("m")), lambda h: F.struct(h.alias("header"), F.lit("disclosing").alias("fault"))))
+    return made.select("p_partkey", F.explode(faults).alias("f")).select("p_partkey", "f.*")
