@@ -19,7 +19,7 @@ REGULATIONS = (
     ("GDPR", r"gdpr|eu.*data|data.*subject|consent|right.*erasure|portability|dpo|data.*protection"), ("PCI DSS", r"pci.*dss|pci_dss|payment.*card|cardholder.*data|chd"), ("HIPAA", r"hipaa|phi|protected.*health|health.*insurance|medical.*record"),
     ("SOC2", r"soc.*2|soc2|trust.*service|security.*control"), ("CCPA", r"ccpa|california.*consumer|ca.*privacy|consumer.*right"),
 )
-AUTHENTICATION = r"(?i)@login_required|@require_auth|@authenticated|@jwt_required|@permission_required|@roles_required|auth_middleware|authenticate|verify_token|check_permission|@preauthorize|@secured|@auth_required|@Protect|@UseGuards"
+AUTHENTICATION = (r"@login_required", r"@require_auth", r"@authenticated", r"@jwt_required", r"@oauth_required", r"@permission_required", r"@roles_required", r"@require_login", r"auth_middleware", r"authenticate", r"verify_token", r"check_permission", r"@preauthorize", r"@secured", r"@auth_required", r"passport\.authenticate", r"firebase\.auth", r"@Protect", r"@UseGuards")
 USER_INPUT = r"request\.(args|form|json|data|files|values)|req\.(query|params|body|headers)|\$_(GET|POST|REQUEST)|params\[|args\[|input\(|raw_input\(|sys\.argv|\buser_input\b|\buser_data\b|\buserinput\b|\buser_supplied\b|\buntrusted\b"
 
 
@@ -60,7 +60,7 @@ def around(text: Column, line: Column, before: int, after: int) -> Column:
 
 
 def requires_authentication(text: Column, line: Column) -> Column:
-    return around(text, line, 20, 5).rlike(AUTHENTICATION)
+    return around(text, line, 20, 5).rlike("(?i)" + "|".join(AUTHENTICATION))
 
 
 def input_reaches(text: Column, line: Column) -> Column:
@@ -101,6 +101,18 @@ def scl12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", requires_authentication(t, F.lit(5)).alias("authenticated"), input_reaches(t, F.lit(5)).alias("reachable"), F.bround(business_score(F.lit("src/x.py"), t), 4).alias("business"))
 
 
+@query("scl12_authentication", "SELECT p_partkey, p_partkey % 21 < 19 AND p_size % 40 BETWEEN 7 AND 31 AS authenticated, p_size % 2 = 0 AND p_size % 40 <= 31 AS reachable FROM part")
+def scl12_authentication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources made from the parts: each authentication word, and user input, at lines 15 to 54; the finding is on line 41."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    words = [w.replace("\\", "") for w in AUTHENTICATION] + ["authorised", "no guard"]
+    word = F.upper(F.element_at(F.array(*map(F.lit, words)), (k % len(words)).cast("int") + 1))
+    source = F.when(size % 2 == 0, F.lit("  x = request.args")).otherwise(F.lit("  x = 1"))
+    pad = lambda n: F.repeat(F.lit("pass\n"), n.cast("int"))
+    text = F.concat(pad(14 + size % 40), F.lit("# "), word, source, F.lit("\n"), pad(F.lit(60)))
+    return table(spark, sf_dir, "part").select("p_partkey", requires_authentication(text, F.lit(41)).alias("authenticated"), input_reaches(text, F.lit(41)).alias("reachable"))
+
+
 @query("sec09_advisories", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / 5 ELSE 5.0 END::double AS score, 'CVE-' || p_partkey AS cve FROM part")
 def sec09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advisories written as nested JSON from the parts and flattened again."""
