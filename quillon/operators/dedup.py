@@ -21,8 +21,13 @@ def first_by(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
 
 
 def dedup(found: DataFrame, keys: tuple[str, ...] = KEY, order: str = "id") -> DataFrame:
-    """One finding for each place and category: the worst severity, the first seen of equals."""
-    return first_by(found, keys, pick(RANK, F.col("severity")).desc(), F.col(order))
+    """One finding for each place and category: the worst severity, the first seen of equals.
+
+    An aggregate that keeps the best row, so most rows go before the shuffle and nothing is sorted.
+    """
+    rest = [c for c in found.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct((-pick(RANK, F.col("severity"))).alias("rank"), F.col(order).alias("order")))
+    return found.groupBy(*keys).agg(best.alias("b")).select(*(F.col(c) if c in keys else F.col(f"b.{c}") for c in found.columns))
 
 
 def dedup_hash() -> Column:
@@ -107,12 +112,34 @@ def dup04_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("v", semantic_similarity(F.col("x"), F.col("y"))).where("v >= 0.15").select("a", "b", F.bround("v", 6).alias("similarity"))
 
 
+def _near(nodes: DataFrame) -> DataFrame:
+    """scan_id, x, y, xn and yn: pairs (x before y, by first) of different texts n that may be 0.85 similar.
+
+    Such texts share 3/4 of their tokens and 5/8 of their lengths, so that one of the first tokens of each (the rarest of
+    the scan come first) is shared; common tokens meet only where a text has few others.
+    """
+    words = nodes.select("scan_id", "n", "first", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    often = words.groupBy("scan_id", "w").agg(F.count("*").alias("often"))
+    ranked = words.join(often, ["scan_id", "w"]).groupBy("scan_id", "n", "first").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("ws"))
+    size = F.size("ws")
+    some = ranked.select("scan_id", "n", "first", F.explode(F.slice("ws", F.lit(1), size - F.ceil(size * 0.75 - 1e-9).cast("int") + 1)).alias("x")).select("scan_id", "n", "first", F.col("x.w").alias("w"))
+    a, b = some.alias("a"), some.alias("b")
+    near = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & (8 * F.least(F.length("a.n"), F.length("b.n")) >= 5 * F.greatest(F.length("a.n"), F.length("b.n")))
+    return a.join(b, near).select("a.scan_id", F.col("a.first").alias("x"), F.col("b.first").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")).distinct()
+
+
+def semantic_pairs(found: DataFrame, description: str = "description", least: float = 0.85) -> DataFrame:
+    """scan_id, a, b and similarity of the pairs of different normalised descriptions of a scan that are at least so similar."""
+    nodes = found.select("scan_id", F.trim(normalised(F.col(description))).alias("n")).where("n <> ''").distinct().withColumn("first", F.col("n"))
+    scored = _near(nodes).withColumn("v", semantic_similarity(F.col("xn"), F.col("yn"))).where(F.col("v") >= least)
+    return scored.select("scan_id", F.col("xn").alias("a"), F.col("yn").alias("b"), F.bround("v", 6).alias("similarity"))
+
+
 def semantic_groups(found: DataFrame, description: str = "description", order: str = "id", least: float = 0.85) -> DataFrame:
     """scan_id, id, lead and kept of every finding: greedy groups of similar descriptions within a scan.
 
     In order, a finding that is in no group leads one and takes every later one that is in none and similar to it; the best
-    of a group is kept, the first of equals. Equal descriptions are one node. At 0.85 two descriptions share at least 3/4 of
-    their tokens and 5/8 of their lengths, so that one of the first tokens of each (by frequency) is shared.
+    of a group is kept, the first of equals. Equal descriptions are one node.
     """
     if least < 0.85:
         raise ValueError("the block of tokens is exact for similarities of at least 0.85 only")
@@ -120,14 +147,7 @@ def semantic_groups(found: DataFrame, description: str = "description", order: s
     # texts without tokens are like no other, not even an equal one
     rows = rows.withColumn("n", F.trim("n")).withColumn("alone", F.when(F.col("n") == "", F.col("id")))
     nodes = rows.groupBy("scan_id", "n", "alone").agg(F.min(F.struct("o", "id")).alias("first"))
-    words = nodes.where("alone IS NULL").select("scan_id", "n", "first", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    often = words.groupBy("scan_id", "w").agg(F.count("*").alias("often"))
-    ranked = words.join(often, ["scan_id", "w"]).groupBy("scan_id", "n", "first").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("ws"))
-    size = F.size("ws")
-    some = ranked.select("scan_id", "n", "first", F.explode(F.slice("ws", F.lit(1), size - F.ceil(size * 0.75 - 1e-9).cast("int") + 1)).alias("x")).select("scan_id", "n", "first", F.col("x.w").alias("w"))
-    a, b = some.alias("a"), some.alias("b")
-    near = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & (8 * F.least(F.length("a.n"), F.length("b.n")) >= 5 * F.greatest(F.length("a.n"), F.length("b.n")))
-    pairs = a.join(b, near).select("a.scan_id", F.col("a.first").alias("x"), F.col("b.first").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")).distinct()
+    pairs = _near(nodes.where("alone IS NULL").drop("alone"))
     edges = pairs.where(semantic_similarity(F.col("xn"), F.col("yn")) >= least).select("scan_id", F.col("x.o").alias("xo"), F.col("x.id").alias("x"), F.col("y.o").alias("yo"), F.col("y.id").alias("y"))
     kind = dict(found.dtypes)["id"]
 

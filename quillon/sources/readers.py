@@ -12,7 +12,9 @@ from quillon.sources.tables import table
 #: tools' words for a severity; bands of CVSS scores.
 LEVELS = {"error": "HIGH", "warning": "MEDIUM", "note": "LOW", "info": "INFO", "critical": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "moderate": "MEDIUM", "low": "LOW", "style": "INFO", "convention": "INFO", "refactor": "LOW", "fatal": "CRITICAL"}
 #: Words of a check's name in order of precedence and the category that they mean.
-CATEGORY_WORDS = (("sql", "SQL Injection"), ("xss", "XSS"), ("command", "Command Injection"), ("exec", "Code Injection"), ("path", "Path Traversal"), ("crypto", "Weak Crypto"), ("secret", "Hardcoded Secret"))
+CATEGORY_WORDS = ((("sql",), "SQL Injection"), (("xss",), "Cross-site Scripting"), (("command", "exec"), "Command Injection"), (("secret", "password"), "Secret Leak"), (("crypto", "hash"), "Cryptographic Issue"), (("traversal", "path"), "Path Traversal"), (("ssrf",), "Server-Side Request Forgery"))
+#: Files without an extension that are read all the same.
+BARE = ("Dockerfile", "Makefile", "Gemfile", "Rakefile")
 
 
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -22,9 +24,10 @@ def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, path: str, extensions: tuple[str, ...], most_bytes: int = 10 << 20) -> DataFrame:
-    """path and text of the files of a tree with one of the extensions, none above a size."""
+    """path and text of the files of a tree with one of the extensions, or a known name without one, none above a size."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.where((F.col("length") <= most_bytes) & extension_of(F.col("path")).isin(*extensions)).select("path", F.decode("content", "UTF-8").alias("text"))
+    bare = F.regexp_extract(F.col("path"), r"([^/]+)$", 1).isin(*BARE)
+    return df.where((F.col("length") <= most_bytes) & (extension_of(F.col("path")).isin(*extensions) | bare)).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def extension_of(path: Column) -> Column:
@@ -59,11 +62,13 @@ def masked_secret(text: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, "[REDACTED]").when(n <= 8, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(text, F.lit(3)), F.repeat(F.lit("*"), n - 6), F.right(text, F.lit(3))))
 
 
-def category_of(check: Column, message: Column) -> Column:
-    out = None
-    for word, category in CATEGORY_WORDS:
-        out = F.when(F.lower(check).contains(word), category) if out is None else out.when(F.lower(check).contains(word), category)
-    return out.otherwise(F.substring(F.split_part(message, F.lit("."), F.lit(1)), 1, 80))
+def category_of(check: Column, message: Column, cwe_name: Column | None = None) -> Column:
+    """A weakness's name if there is one, else what the check's id says, else the message's first sentence."""
+    out = None if cwe_name is None else F.when(F.coalesce(cwe_name, F.lit("")) != "", cwe_name)
+    for words, category in CATEGORY_WORDS:
+        hit = F.lower(check).rlike("|".join(words))
+        out = F.when(hit, category) if out is None else out.when(hit, category)
+    return out.when(F.coalesce(message, F.lit("")) != "", F.substring(F.split_part(message, F.lit("."), F.lit(1)), 1, 80)).otherwise("Security Issue")
 
 
 def level_of(word: Column) -> Column:
@@ -90,9 +95,9 @@ def requirements(text: Column) -> Column:
 
 
 def content_key(files: DataFrame, path: str = "path", text: str = "text", signature: str = "") -> DataFrame:
-    """One SHA-256 over the sorted paths and contents and a configuration."""
+    """One SHA-256 over the sorted paths and contents and a configuration: a line of path and digest for each file, which is all that one task holds."""
     each = F.concat_ws(":", F.col(path), F.sha2(F.col(text).cast("binary"), 256))
-    return files.agg(F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list(each)), "\n"), F.lit(signature)), 256).alias("cache_key"))
+    return files.select(each.alias("line")).agg(F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit(signature)), 256).alias("cache_key"))
 
 
 @query("src02_list_scans", "SELECT scan_id, status FROM scans WHERE status='completed' ORDER BY end_time DESC, scan_id LIMIT 20 OFFSET 10")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
 from quillon.plans.fixtures import bus_messages
+from quillon.sources.shared import shared_path
 from quillon.sources.tables import table
-from quillon.streaming.state import breaker_stream, limiter_stream
+from quillon.streaming.state import breaker_stream, chain_stream, delivery_stream, limiter_stream
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +19,23 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a stream once its present input is used up."""
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All rows of a stream once its present input is used up, from files that its micro-batches have written.
+
+    A batch that runs again replaces its own folder. In complete mode the last batch has the whole result.
+    """
+    spark, to = stream.sparkSession, shared_path(stream.sparkSession, "stream")
+    batches: list[int] = []
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{to}/rows/{batch}")
+        batches.append(batch)
+
+    running = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{to}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*(f"{to}/rows/{b}" for b in wanted))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -63,6 +74,33 @@ def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(breaker_stream(s))
 
 
+def deliveries(events: DataFrame) -> DataFrame:
+    """Events as deliveries to eight endpoints; the outcomes of an event's three attempts follow from its number."""
+    n = F.col("event_id")
+    outcomes = F.array(n % 3 == 0, n % 5 == 0, n % 7 == 0)
+    return events.select("event_id", (F.col("user_id") % 8).alias("endpoint"), "ts", outcomes.alias("outcomes"))
+
+
+@query("str03_delivery_breaker")
+def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivery breaker's state after every event of its endpoint."""
+    return finished(delivery_stream(deliveries(event_stream(spark, sf_dir)))).select("event_id", "endpoint", "breaker")
+
+
+@query("str04_retries")
+def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is logged of every delivery with retries."""
+    return finished(delivery_stream(deliveries(event_stream(spark, sf_dir)))).select("event_id", "endpoint", "status", "attempt")
+
+
+@query("str11_hash_chain", """WITH RECURSIVE e AS (SELECT user_id % 8 AS chain, event_id AS sequence, event_type AS record, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS k FROM events),
+c AS (SELECT chain, sequence, k, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || '|' || record) AS entry_hash FROM e WHERE k = 1 UNION ALL SELECT e.chain, e.sequence, e.k, c.entry_hash, sha256(c.entry_hash || '|' || e.record) FROM c JOIN e ON e.chain = c.chain AND e.k = c.k + 1)
+SELECT chain, sequence, previous_hash, entry_hash FROM c""")
+def str11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records appended to eight hash chains."""
+    return finished(chain_stream(event_stream(spark, sf_dir).select((F.col("user_id") % 8).alias("chain"), F.col("event_id").alias("sequence"), F.col("event_type").alias("record"))))
+
+
 @query("str06_rate_limit")
 def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(limiter_stream(event_stream(spark, sf_dir).select("event_id", F.col("user_id").alias("identity"), "ts")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -140,3 +141,55 @@ def delivered(state: Delivery, now: float, outcomes: Iterable[bool], attempts: i
         if success:
             return state, "DELIVERED", attempt, now
     return state, "EXHAUSTED", attempts, now
+
+
+def delivery_replay(rows: Iterable[tuple[int, float, list[bool]]], state: Delivery = READY) -> Iterator[tuple[int, str, int, str]]:
+    """Event, logged status, number of the last attempt and the breaker's state after it, for one endpoint's events in order."""
+    for event, now, outcomes in rows:
+        state, logged, attempt, _ = delivered(state, now, outcomes)
+        yield event, logged, attempt, state[0]
+
+
+def delivery_stream(events: DataFrame) -> DataFrame:
+    """event_id, endpoint, status, attempt and breaker for every event's delivery with retries; the breaker is kept by endpoint.
+
+    events: event_id, endpoint, ts (timestamp), outcomes (of the attempts, in order). Events are taken in order of time
+    within a micro-batch, in Arrow batches of a sorted group.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now: Delivery = state.get if state.exists else READY
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for event, ts, outcomes in zip(rows["event_id"], rows["ts"], rows["outcomes"]):
+            now, logged, attempt, _ = delivered(now, ts.timestamp(), [bool(x) for x in outcomes])
+            out.append((int(event), int(key[0]), logged, attempt, now[0]))
+        state.update(now)
+        yield pd.DataFrame(out, columns=["event_id", "endpoint", "status", "attempt", "breaker"])
+
+    return events.groupBy("endpoint").applyInPandasWithState(run, "event_id long, endpoint long, status string, attempt int, breaker string", "name string, failed int, ok int, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def chained(previous: str, record: str) -> str:
+    """The hash of a record that follows another in a chain."""
+    return hashlib.sha256(f"{previous}|{record}".encode()).hexdigest()
+
+
+def chain_stream(records: DataFrame) -> DataFrame:
+    """chain, sequence, previous_hash and entry_hash of every record appended to its chain; the last hash is kept by chain.
+
+    records: chain, sequence, record (text). A chain begins with 64 zeros; records are taken by sequence in a micro-batch.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else "0" * 64
+        rows = pd.concat(list(batches)).sort_values("sequence")
+        out = []
+        for sequence, record in zip(rows["sequence"], rows["record"]):
+            entry = chained(last, record)
+            out.append((int(key[0]), int(sequence), last, entry))
+            last = entry
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["chain", "sequence", "previous_hash", "entry_hash"])
+
+    return records.groupBy("chain").applyInPandasWithState(run, "chain long, sequence long, previous_hash string, entry_hash string", "last string", "append", GroupStateTimeout.NoTimeout)
