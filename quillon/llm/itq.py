@@ -194,7 +194,7 @@ def links(vectors: DataFrame, least: float = 0.93) -> tuple[DataFrame, DataFrame
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s0")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 1, F.col("s0")).otherwise(F.col("s1")) - 1))
     placed = placed.withColumn("own", own).withColumn("other", other)
-    block = F.when(F.col("side") == 1, F.col("own") * 65536 + F.col("other")).otherwise(F.col("other") * 65536 + F.col("own"))
+    block = F.when(F.col("side") == 1, F.col("own") * (1 << 31) + F.col("other")).otherwise(F.col("other") * (1 << 31) + F.col("own"))
     placed = placed.select("key", block.alias("block"), "side", "table", "id").join(table.drop("space"), "id")
     found = placed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_linked(least, width, kind), "id long, links long, to long")
     return members, written(found, "itq-links")
