@@ -14,8 +14,9 @@ from quillon.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are like no learned language; the others stay as they are."""
-    return langid.predict(docs, langid.fit(docs)).where("NOT rejected").select(*docs.columns)
+    """Drops texts that are like no learned language; the language of the others becomes the one found."""
+    found = langid.predict(docs, langid.fit(docs)).where("NOT rejected")
+    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
