@@ -74,7 +74,7 @@ def scl20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", normalised(F.col("text")).alias("text"))
 
 
-@query("scl22_luhn")
+@query("scl22_luhn", "SELECT doc_id, digits, list_sum(list_transform(string_split(reverse(digits), ''), lambda x, i: CASE WHEN i % 2 = 0 THEN (2 * x::int) // 10 + (2 * x::int) % 10 ELSE x::int END)) % 10 = 0 AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS digits FROM documents)")
 def scl22(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{13,19}"), 0)).alias("digits"))
     return cards.select("doc_id", "digits", luhn(F.col("digits")).alias("valid"))
@@ -100,7 +100,7 @@ def scl31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type", "props"), 256).alias("entry_hash"))
 
 
-@query("scl32_json_hash")
+@query("scl32_json_hash", """SELECT event_id, sha256('{"event_id": ' || event_id || ', "event_type": "' || event_type || '", "props": "' || replace(props, '"', '\\"') || '"}') AS record_hash FROM events""")
 def scl32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_json_hash(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), ["event_id", "event_type", "props"]).select("event_id", "record_hash")
 

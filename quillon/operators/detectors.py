@@ -165,10 +165,19 @@ def flows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small Python files made from the findings' files: path and text."""
-    paths = findings(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("n"))
-    text = F.format_string("import os\n\ndef run_%d(request):\n    name = request.get('name')\n    if name and len(name) > %d:\n        os.system('ls ' + name)\n    return hashlib.md5(name)\n\nclass Box:\n    token = 'a8f5f167f44f4964e6c998dee827110c'\n", "n", "n")
-    return paths.select(F.col("file_path").alias("path"), text.alias("text"))
+    """Python files made from the parts: path and text. What is planted in them (flows of tainted data, cleaned or not, weak
+    hashes, secrets) follows from the part's key and size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    either = lambda c, one, other: F.when(c, F.lit(one)).otherwise(F.lit(other))
+    lines = [
+        F.lit("import os"), F.lit(""), F.concat(F.lit("def run_"), k.cast("string"), F.lit("(request):")), F.lit("    name = request.get('name')"), either(size % 2 == 1, "    clean = escape(name)", "    clean = name"),
+        F.lit("    os.system('ls ' + clean)"), either(size % 3 == 0, "    query = input()", "    query = 'x'"), F.lit("    cursor.execute(query)"), either(k % 4 == 0, "    return hashlib.md5(name)", "    return hashlib.sha256(name)"), F.lit(""),
+        F.concat(F.lit("class Box_"), k.cast("string"), F.lit(":")), either(k % 5 == 0, "    token = 'a8f5f167f44f4964e6c998dee827110c'", "    token = None"), F.lit("    def size(self, n):"), F.lit("        return n == 1 and n > 0"),
+    ]
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+_PATH = "'src/p' || p_partkey || '.py'"
 
 
 def _rule_sql(rule: str, pattern: str, severity: str, cwe: str) -> str:
@@ -184,7 +193,7 @@ def txt05_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "line_number", "rule", "severity", "cwe_id")
 
 
-@query("txt05_source_scan")
+@query("txt05_source_scan", f"SELECT {_PATH} AS path, 6 AS line_number, 'os-system' AS rule, 'HIGH' AS severity, 'CWE-78' AS cwe_id FROM part UNION ALL SELECT {_PATH}, 9, 'weak-hash', 'MEDIUM', 'CWE-327' FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT {_PATH}, 12, 'hardcoded-secret', 'CRITICAL', 'CWE-798' FROM part WHERE p_partkey % 5 = 0")
 def txt05_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_hits(numbered_lines(sources(spark, sf_dir)).drop("text")).select("path", "line_number", "rule", "severity", "cwe_id")
 
@@ -195,17 +204,20 @@ def txt06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high_entropy(numbered_lines(texts).drop("text"), 3.0).select("path", "line_number", F.bround("entropy", 4).alias("entropy"))
 
 
-@query("txt10_taint")
+_FLOWS = f"SELECT {_PATH} AS path, 'system' AS sink, 'CWE-78' AS cwe_id, 4 AS source_line, 6 AS sink_line, p_size % 2 = 1 AS cleaned FROM part UNION ALL SELECT {_PATH}, 'execute', 'CWE-89', 7, 8, false FROM part WHERE p_size % 3 = 0"
+
+
+@query("txt10_taint", _FLOWS)
 def txt10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(sources(spark, sf_dir), "path")
 
 
-@query("agg42_taint_summary")
+@query("agg42_taint_summary", f"SELECT cwe_id, count(*) AS n, count(*) FILTER (cleaned) AS cleaned FROM ({_FLOWS}) GROUP BY 1")
 def agg42(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(sources(spark, sf_dir), "path").groupBy("cwe_id").agg(F.count("*").alias("n"), F.count_if("cleaned").alias("cleaned"))
 
 
-@query("txt14_parsed")
+@query("txt14_parsed", f"SELECT {_PATH} AS path, 'function' AS kind, 'run_' || p_partkey AS name, 3 AS start, 9 AS stop, 1 AS complexity FROM part UNION ALL SELECT {_PATH}, 'class', 'Box_' || p_partkey, 11, 14, 2 FROM part UNION ALL SELECT {_PATH}, 'function', 'size', 13, 14, 2 FROM part")
 def txt14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(sources(spark, sf_dir), "path")
 
@@ -215,7 +227,7 @@ def txt15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", fixed_line(F.concat("text", F.lit(" verify = False shell=True"))).alias("fixed"))
 
 
-@query("txt16_mutants")
+@query("txt16_mutants", f"SELECT {_PATH} AS path, m.* FROM part, (VALUES (6, '+->-', '    os.system(''ls '' - clean)'), (14, '==->!=', '        return n != 1 and n > 0'), (14, 'and->or', '        return n == 1 or n > 0'), (14, '>-><=', '        return n == 1 and n <= 0')) m(line_number, operator, mutant)")
 def txt16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutants(numbered_lines(sources(spark, sf_dir)).drop("text")).select("path", "line_number", "operator", "mutant")
 

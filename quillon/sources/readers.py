@@ -115,7 +115,7 @@ def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.max("line_number").cast("long").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("src08_snippet")
+@query("src08_snippet", "SELECT doc_id, md5(array_to_string(list_transform((string_split(text, chr(10)))[1:3], lambda x, i: CASE WHEN i = 2 THEN '>>> ' ELSE '    ' END || lpad(cast(i as varchar), 4, ' ') || ': ' || x), chr(10))) AS snippet_md5 FROM documents")
 def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(snippet(F.col("text"), F.lit(2), 1)).alias("snippet_md5"))
 
