@@ -28,7 +28,7 @@ def sarif_results(found: DataFrame) -> DataFrame:
 
 
 def sarif(found: DataFrame) -> DataFrame:
-    """scan_id and its SARIF 2.1.0 document."""
+    """scan_id and its SARIF 2.1.0 document, one row. A scan too large for a row (2 GB) is exported by sarif_results(), a row for each finding."""
     results = sarif_results(found).groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "result"))), lambda x: x["result"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(PRODUCT).alias("name"), F.lit(VERSION).alias("version")).alias("driver")).alias("tool"), F.col("results"))
     return results.select("scan_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
