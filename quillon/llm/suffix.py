@@ -14,8 +14,9 @@ further: its strings meet by a 128-bit hash of all their bytes, counted with par
 their starts are joined to runs RUN starts at a time.
 
 Passages are found in the same run and by the same method, with words (between ASCII white space) for bytes, PASSAGE for
-LENGTH and PASSAGE_K for K: a run of words that strings of PASSAGE words cover which also start elsewhere. They are
-counted beside the removed bytes, as most passages of that many words are shorter than LENGTH bytes.
+LENGTH and PASSAGE_K for K: a run of words that strings of PASSAGE words cover which also stand in another document.
+They are counted beside the removed bytes, as most passages of that many words are shorter than LENGTH bytes. What a
+text repeats only within itself is no passage; rows of equal doc_id and text are one document here.
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; a text of a repeated row is a repeated string;
 matches never cross documents; a byte-wise cut may leave text that is no valid UTF-8, so results are bytes or digests,
@@ -170,10 +171,10 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def repeated_places(symbols: np.ndarray, length: int) -> np.ndarray:
+def repeated_places(symbols: np.ndarray, length: int, owner: np.ndarray | None = None) -> np.ndarray:
     """For each place whether the length symbols from there on (no separator, 0, among them) start at another place too.
 
-    symbols ends with a separator.
+    symbols ends with a separator. With owner (a number for each place), whether they also start at a place of another one.
     """
     n, sigma = len(symbols), int(symbols.max()) + 1
     order = suffix_order(symbols, length + 1)
@@ -207,12 +208,17 @@ def repeated_places(symbols: np.ndarray, length: int) -> np.ndarray:
         known[hi] = True
     long = ~known[:n]  # with the suffix before it in order
     out = np.zeros(n, bool)
-    out[order] = long | np.append(long[1:], False)
+    if owner is None:
+        out[order] = long | np.append(long[1:], False)
+    else:
+        heads = np.flatnonzero(~long)  # of groups that have length symbols in common
+        several = np.minimum.reduceat(owner[order], heads) != np.maximum.reduceat(owner[order], heads)
+        out[order] = np.repeat(several, np.diff(np.append(heads, n)))
     return out
 
 
-def repeated_in(entries: list[bytes] | list[np.ndarray], length: int = LENGTH) -> list[np.ndarray]:
-    """For each entry (bytes, or words' hashes) the starts whose length units also start elsewhere in the entries."""
+def repeated_in(entries: list[bytes] | list[np.ndarray], length: int = LENGTH, owners: list[int] | None = None) -> list[np.ndarray]:
+    """For each entry (bytes, or words' hashes) the starts whose length units also start elsewhere in the entries, or in those of another owner."""
     sizes = np.array([len(e) for e in entries])
     ends = np.cumsum(sizes + 1)
     symbols = np.zeros(int(ends[-1]), np.int64)
@@ -222,7 +228,7 @@ def repeated_in(entries: list[bytes] | list[np.ndarray], length: int = LENGTH) -
         symbols[inside] = np.frombuffer(b"".join(entries), np.uint8).astype(np.int64) + 1
     else:
         symbols[inside] = np.unique(np.concatenate(entries), return_inverse=True)[1] + 1
-    found = repeated_places(symbols, length)
+    found = repeated_places(symbols, length, None if owners is None else np.repeat(np.array(owners), sizes + 1))
     return [np.flatnonzero(found[b - len(e) - 1 : b - 1]) for e, b in zip(entries, ends.tolist())]
 
 
@@ -266,15 +272,21 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
 
     every = written(keyed.where(F.length("text") >= min(length, 2 * passage - 1)).select("doc", "mark", "text").mapInArrow(anchors, "anchor long, digest long, doc long, mark int, lo int, hi int"), "anchors")
     # a table of its own, so that the join below can split the partition of a very common anchor
-    again = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1").select("anchor", (F.col("x") < F.col("y")).alias("mixed")), "repeated-anchors")
+    first, last, in_bytes = F.min(F.struct("doc", "mark")), F.max(F.struct("doc", "mark")), unit == 0  # bytes may repeat within a document
+    again = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y"), (first < last).alias("apart"))
+    again = written(again.where((F.col("n") > 1) & (in_bytes | F.col("apart"))).select("anchor", (F.col("x") < F.col("y")).alias("mixed")), "repeated-anchors")
     repeated = written(every.join(again, "anchor"), "repeated")
     drop_written(every)
     span = lambda df: df.select("doc", "mark", unit.alias("unit"), F.col("lo").alias("start"), (F.col("hi") + whole).alias("end"))
     covered = span(repeated.where("NOT mixed"))
     # anchors with different stretches: copies of one are repeated; one of each goes to a block
     mixed = repeated.where("mixed")
-    entries = written(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "mark", "lo", "hi")).alias("r")).select("anchor", "digest", "copies", "r.*"), "entries")
-    copied = span(mixed.join(entries.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi"))
+    grouped = mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "mark", "lo", "hi")).alias("r"), (first < last).alias("apart"))
+    grouped = written(grouped.withColumn("whole", (F.col("copies") > 1) & (in_bytes | F.col("apart"))), "stretches")
+    copied = span(mixed.join(grouped.where("whole").select("anchor", "digest"), ["anchor", "digest"], "left_semi"))
+    # of words that one document repeats each copy is an entry
+    own = mixed.join(grouped.where("copies > 1 AND NOT whole").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("anchor", F.lit(1).cast("long").alias("copies"), "doc", "mark", "lo", "hi")
+    entries = written(grouped.where("copies = 1 OR whole").select("anchor", "copies", "r.*").unionByName(own), "entries")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +308,11 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
 
         def flush() -> pa.RecordBatch:
             u = held[0][0] & 1
-            found = repeated_in([np.frombuffer(h[5], "<u8") for h in held] if u else [h[5] for h in held], lengths[u])
+            if u:  # copies in several documents are an owner of their own
+                names: dict[tuple, int] = {}
+                found = repeated_in([np.frombuffer(h[5], "<u8") for h in held], passage, [names.setdefault(h[2:4] if h[1] == 1 else (h[0], i), len(names)) for i, h in enumerate(held)])
+            else:
+                found = repeated_in([h[5] for h in held], length)
             out = [(doc, mark, u, lo + a, lo + b) for (_, copies, doc, mark, lo, _), starts in zip(held, found) if copies == 1 for a, b in _runs(starts, lengths[u])]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
@@ -331,8 +347,9 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
     n = -(-(pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0) // block)
     met = cool.repartition(int(max(1, min(n, WAVES * spark.sparkContext.defaultParallelism))), "anchor").sortWithinPartitions(unit, "anchor").mapInArrow(blocks, found)
     single = sized.where(F.col("size") > hot).select(unit.alias("unit"), "copies", "doc", "mark", "lo", "bytes").mapInArrow(strings, "x long, y long, copies long, doc long, mark int, unit int, start int")
-    twice = single.groupBy("x", "y").agg(F.sum("copies").alias("n")).where("n > 1").select("x", "y")
-    places = single.join(twice, ["x", "y"], "left_semi").groupBy("doc", "mark", "unit", F.floor(F.col("start") / RUN)).agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    twice = single.groupBy("unit", "x", "y").agg(F.sum("copies").alias("n"), F.max("copies").alias("most"), (first < last).alias("apart"))
+    twice = twice.where("n > 1 AND (unit = 0 OR most > 1 OR apart)").select("unit", "x", "y")
+    places = single.join(twice, ["unit", "x", "y"], "left_semi").groupBy("doc", "mark", "unit", F.floor(F.col("start") / RUN)).agg(F.array_sort(F.collect_set("start")).alias("starts"))
     split = places.select("doc", "mark", "unit", "starts").mapInArrow(joined, found)
     return covered.unionByName(copied).unionByName(written(met, "met")).unionByName(split)
 
