@@ -295,8 +295,9 @@ def _classed(docs: DataFrame, text: str, least: float) -> DataFrame:
     sketches = written(signed(docs, text), "signatures")
     # the entry's row is the smallest; rows with a doc_id come first
     name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("name")
-    entries = sketches.where("content IS NOT NULL").groupBy("content").agg(name, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "content", "name.*", "bands", "sketch"), "entries")
+    entries = sketches.where("content IS NOT NULL").groupBy("content").agg(name, F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # numbers in the order of the rows: a bucket's lead is its first document, which copies made from it are all like
+    entries = written(entries.orderBy("name").select(F.monotonically_increasing_id().alias("id"), "content", "name.*", "rows", "bands", "sketch"), "entries")
     banded = entries.select("id", F.posexplode("bands").alias("band", "bucket"))
     leads = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(leads, "bucket"), "members")
@@ -339,13 +340,10 @@ def _classed(docs: DataFrame, text: str, least: float) -> DataFrame:
     drop_written(texts)
     drop_written(members)
     every = components(links.unionByName(second).unionByName(third))
-    own = written(entries.select("content", "id", "none", "doc_id", "mark").join(every, "id", "left").withColumn("component", F.coalesce("component", "id")), "own")
-    # a class is named by the smallest row of its entries
-    named = own.groupBy("component").agg(F.min(F.struct("none", "doc_id", "mark")).alias("name"))
-    placed = own.select("content", "component").join(named, "component").select("content", "component", F.col("name.doc_id").alias("class_id"), F.col("name.mark").alias("class_mark"))
-    counts = sketches.where("content IS NOT NULL").groupBy("content").agg(F.count("*").alias("rows"))
-    sizes = placed.join(counts, "content").groupBy("component").agg(F.sum("rows").alias("class_size"))
-    placed = written(placed.join(sizes, "component").drop("component"), "classes")
+    own = entries.select("content", "id", "none", "doc_id", "mark", "rows").join(every, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a class is named by the smallest row of its entries; most entries are classes of their own
+    named = own.groupBy("component").agg(F.min(F.struct("none", "doc_id", "mark")).alias("name"), F.sum("rows").alias("class_size"))
+    placed = written(own.select("content", "component").join(named, "component").select("content", F.col("name.doc_id").alias("class_id"), F.col("name.mark").alias("class_mark"), "class_size"), "classes")
     out = sketches.select("doc_id", "mark", "content").join(placed, "content", "left")
     alone = F.col("content").isNull()
     kept = alone | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
