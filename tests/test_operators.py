@@ -6,6 +6,8 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,3 +311,112 @@ def test_semantic_groups_are_greedy(spark):
 def test_semantic_pairs_without_a_common_token(spark, tmp_path):
     spark.createDataFrame([(1, "cat"), (2, "Car."), (3, "a quite other text"), (4, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [(r.a, r.b, r.similarity) for r in dedup.dup04_pairs(spark, str(tmp_path)).collect()] == [(1, 2, pytest.approx(0.266667))]
+
+
+def test_delivery_streams_by_replay(spark, sf_dir):
+    from quillon import catalog
+    from quillon.sources.tables import table
+    from quillon.streaming import state
+
+    by_endpoint = {}
+    for r in table(spark, sf_dir, "events").orderBy("ts", "event_id").collect():
+        n = r.event_id
+        by_endpoint.setdefault(r.user_id % 8, []).append((n, r.ts.replace(tzinfo=None), [n % 3 == 0, n % 5 == 0, n % 7 == 0]))
+    want = {}
+    for endpoint, rows in by_endpoint.items():
+        timed = [(n, (ts - rows[0][1]).total_seconds() + 1e6, outcomes) for n, ts, outcomes in rows]
+        want |= {n: (endpoint, logged, attempt, breaker) for n, logged, attempt, breaker in state.delivery_replay(timed)}
+    breakers = {r.event_id: r for r in catalog.queries()["str03_delivery_breaker"](spark, sf_dir).collect()}
+    logged = {r.event_id: r for r in catalog.queries()["str04_retries"](spark, sf_dir).collect()}
+    assert {n: (r.endpoint, logged[n].status, logged[n].attempt, r.breaker) for n, r in breakers.items()} == want
+    assert {w[1] for w in want.values()} >= {"DELIVERED", "EXHAUSTED"}
+
+
+def test_breaker_and_limiter_streams_by_replay(spark, sf_dir):
+    from quillon import catalog
+    from quillon.sources.tables import table
+    from quillon.streaming import state
+
+    events = table(spark, sf_dir, "events").orderBy("ts", "event_id").collect()
+    start = events[0].ts
+    agents, buckets, want, allowed = {}, {}, {}, {}
+    for r in events:
+        now = (r.ts - start).total_seconds() + 1e6
+        agents[r.user_id % 8], ok = state.breaker_step(agents.get(r.user_id % 8, state.CLOSED), now, r.event_type != "error")
+        want[r.event_id] = (agents[r.user_id % 8][0], ok)
+        before = buckets.get(r.user_id)
+        buckets[r.user_id], allowed[r.event_id] = state.bucket_step(before, now)
+    got = {r.event_id: (r.state, r.allowed) for r in catalog.queries()["str02_circuit_breaker"](spark, sf_dir).collect()}
+    assert got == want
+    assert {r.event_id: r.allowed for r in catalog.queries()["str06_rate_limit"](spark, sf_dir).collect()} == allowed
+
+
+def test_pattern_families_against_python(spark):
+    import re
+
+    from quillon.operators import syntax
+
+    lines = [
+        "# This function will do", "x = json.parse(raw)", "Access-Control-Allow-Origin: *", "app.use(cors())", "SECRET_KEY = 'change-me'", "verify = False", "openai_api_key = 'sk-" + "a" * 24 + "'", "eval(response)", "subprocess.run(completion)",
+        "system_prompt = f'{user_input}'", "prompt = 'System: a User: b'", "prompt = 'System: a User: b' # delimiter", "openai.ChatCompletion.create(messages=m)", "openai.ChatCompletion.create(messages=validate(m))", "max_tokens = 100000", "pip install x --index-url y",
+        "pickle.loads(x)", "return traceback.format_exc()", "tool eval(x)", "auto deploy", "trust the llm output", "access = model.evaluate(x)", "export weights", "export weights authenticate", "tool description ignore previous", "mcp allow_all_tools", "plain text", "",
+    ]
+    got = Counter((r.n, r.family, r.severity, r.cwe_id) for r in syntax.family_hits(spark.createDataFrame(list(enumerate(lines)), "n int, line string")).collect())
+    want = Counter()
+    for n, line in enumerate(lines):
+        seen = set()
+        for family, pattern, severity, cwe in syntax.families():
+            if family not in seen and re.search(pattern, line):
+                seen.add(family)
+                want[n, family, severity, cwe] += 1
+    assert got == want and len({f for _, f, *_ in want}) > 15
+
+
+def test_syntax_findings_and_imports():
+    from quillon.operators import syntax
+
+    text = "import a.b as c\nfrom d import e, f\nimport g\n\nclass X:\n    api_key = 'abc'\n    token = ''\n    def run(self):\n        self.eval(1)\n        return eval('1') + e(g.loads(2)) + six.cPickle.loads(3) + yaml.loads(4)\n"
+    assert syntax.syntax_findings(text) == [("hardcoded-secret", 6, "CRITICAL", "CWE-798"), ("cPickle-loads", 10, "HIGH", "CWE-502"), ("eval-call", 10, "CRITICAL", "CWE-94"), ("yaml-loads", 10, "MEDIUM", "CWE-502")]
+    assert syntax.imports(text) == [("a", True), ("d", True), ("g", True)] or syntax.imports(text)[1:] == [("d", True), ("g", True)]
+    assert syntax.syntax_findings("def (") == syntax.imports(None) == syntax.syntax_findings(None) == []
+
+
+def test_redaction_keeps_the_order_of_precedence(spark):
+    import random
+
+    rng = random.Random(5)
+    bits = ["a@b.cc", "10.0.0.1", "4111 1111 1111 1111", "555-123-4567", "123-45-6789", "token = abcdef", "AKIA" + "A" * 16, "x" * 40, " ", ",", "word", "sk-" + "b" * 24, "é"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", ""]) for _ in range(rng.randrange(8))) for _ in range(300)] + [None, "", "plain words"]
+
+    def slow(text):
+        taken = []
+        for kind, p in governance.REDACTIONS:
+            taken += [(kind, m.start(), m.end()) for m in re.finditer(p, text) if (kind != "CREDIT_CARD" or governance.luhn(m.group())) and not any(a < m.end() and m.start() < b for _, a, b in taken)]
+        for m in re.finditer(governance.KEY_VALUE, text):
+            if not any(a < m.end(2) and m.start(2) < b for _, a, b in taken):
+                taken.append(("SECRET", *m.span(2)))
+        return sorted((a, b, kind) for kind, a, b in taken)
+
+    rows = governance.redacted(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).collect()
+    for r in rows:
+        if r.text is None:
+            assert r.redaction.text is None
+        else:
+            assert [(s.start, s.end, s.kind) for s in r.redaction.spans] == slow(r.text)
+            back = r.redaction.text
+            for mark, value in r.redaction.mapping.items():
+                back = back.replace(mark, value)
+            assert back == r.text
+    assert sum(len(r.redaction.spans) for r in rows if r.text) > 100
+
+
+def test_files_are_replaced_whole(spark, tmp_path):
+    from quillon.sources import shared, stores
+
+    at = str(tmp_path / "store")
+    for n in (1, 2):
+        shared.replace_files(spark.createDataFrame([(f"d/{i}.txt", f"{n}-{i}") for i in range(5)], "name string, content string"), at)
+    assert sorted(p.read_text() for p in (tmp_path / "store" / "d").iterdir() if not p.name.startswith(".")) == [f"2-{i}" for i in range(5)]
+    empty = stores.sqlite_files(spark.createDataFrame([("k", 1)], "name string, v long"), "name", "t", ("v",))
+    shared.replace_files(empty, at)
+    assert stores.sqlite_table(spark, at, "SELECT v FROM t WHERE v > 1", "v long").count() == 0 and stores.sqlite_table(spark, at, "SELECT v FROM t", "v long").first().v == 1
