@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bagminhash, bpe, itq, langid, mixing, pii, suffix, token_files, topk, url_filter
-from quillon.llm.common import table
+from quillon.llm import bagminhash, bpe, divergence, hard_negatives, itq, langid, mixing, pii, sharding, suffix, token_files, topk, url_filter
+from quillon.llm.common import table, text_bytes
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.grid(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(table(spark, sf_dir, "documents"))
+    raw = text_bytes(rows)
+    return rows.select("doc_id", (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: op<N>_<name> over the whole tables."""
-    return {f.__name__: f for f in (op1_topk, op2_token_files, op3_url_filter, op4_language, op5_pii, op6_embedding_dedup, op7_source_mix, op8_near_dedup, op9_repeated_strings, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_topk, op2_token_files, op3_url_filter, op4_language, op5_pii, op6_embedding_dedup, op7_source_mix, op8_near_dedup, op9_repeated_strings, op10_byte_bpe, op11_source_divergence, op12_hard_negatives, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op6_embedding_dedup": itq.SQL}
+    return {"op1_topk": topk.SQL, "op6_embedding_dedup": itq.SQL, "op11_source_divergence": divergence.SQL, "op12_hard_negatives": hard_negatives.SQL}
