@@ -16,11 +16,12 @@ their starts are joined to runs RUN starts at a time.
 Passages are found in the same run and by the same method, with words (between ASCII white space) for bytes, PASSAGE for
 LENGTH and PASSAGE_K for K: a run of words that strings of PASSAGE words cover which also stand in another document.
 They are counted beside the removed bytes, as most passages of that many words are shorter than LENGTH bytes. What a
-text repeats only within itself is no passage; rows of equal doc_id and text are one document here.
+text repeats only within itself is no passage; rows of equal doc_id and text are one document here. A row is named by
+two 64-bit hashes of its doc_id and text, so rows without a doc_id, or of one doc_id, keep apart.
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; a text of a repeated row is a repeated string;
 matches never cross documents; a byte-wise cut may leave text that is no valid UTF-8, so results are bytes or digests,
-and the column text has a replacement character there; an empty table gives no rows; extra columns are not read.
+and the column text_without_passages has a replacement character there; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -241,8 +242,9 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """doc, mark (together they name a row, or equal rows) and text."""
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("mark"), text_bytes(docs, text).alias("text"))
+    """doc and mark (two 64-bit hashes of doc_id and text, which together name a row, or equal rows) and text."""
+    raw, none = text_bytes(docs, text), F.col("doc_id").isNull()
+    return docs.select("doc_id", F.xxhash64("doc_id", none, raw).alias("doc"), F.xxhash64(F.lit(1), "doc_id", none, raw).alias("mark"), raw.alias("text"))
 
 
 def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K, passage: int = PASSAGE, passage_k: int = PASSAGE_K, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -265,12 +267,12 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
                     content = memoryview(raw if u == 0 else hashes.tobytes())
                     step = 1 if u == 0 else 8
                     digests = [hashlib.blake2b(content[a * step : (b + lengths[u]) * step], digest_size=8).digest() for a, b in zip(lo.tolist(), hi.tolist())]
-                    for c, v in zip(columns, ((found & ~1) | u, np.frombuffer(b"".join(digests), "<i8"), np.full(len(lo), doc), np.full(len(lo), mark, np.int32), lo.astype(np.int32), hi.astype(np.int32))):
+                    for c, v in zip(columns, ((found & ~1) | u, np.frombuffer(b"".join(digests), "<i8"), np.full(len(lo), doc), np.full(len(lo), mark), lo.astype(np.int32), hi.astype(np.int32))):
                         c.append(v)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "digest", "doc", "mark", "lo", "hi"])
 
-    every = written(keyed.where(F.length("text") >= min(length, 2 * passage - 1)).select("doc", "mark", "text").mapInArrow(anchors, "anchor long, digest long, doc long, mark int, lo int, hi int"), "anchors")
+    every = written(keyed.where(F.length("text") >= min(length, 2 * passage - 1)).select("doc", "mark", "text").mapInArrow(anchors, "anchor long, digest long, doc long, mark long, lo int, hi int"), "anchors")
     # a table of its own, so that the join below can split the partition of a very common anchor
     first, last, in_bytes = F.min(F.struct("doc", "mark")), F.max(F.struct("doc", "mark")), unit == 0  # bytes may repeat within a document
     again = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y"), (first < last).alias("apart"))
@@ -294,11 +296,11 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
                 n = len(wanted)
                 hashes = words(raw)[0].tobytes() if any(w["anchor"] & 1 for w in wanted) else b""
                 held = [hashes[8 * w["lo"] : 8 * (w["hi"] + passage)] if w["anchor"] & 1 else raw[w["lo"] : w["hi"] + length] for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["copies"] for w in wanted], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([mark] * n, pa.int32()), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array(held, pa.binary())], names=["anchor", "copies", "doc", "mark", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["copies"] for w in wanted], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array(held, pa.binary())], names=["anchor", "copies", "doc", "mark", "lo", "bytes"])
 
     wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "copies", "lo", "hi")).alias("wanted"))  # as many as a text has anchors
     sources = keyed.select("doc", "mark", "text").join(wanted, ["doc", "mark"])
-    pieces = written(sources.select("doc", "mark", "text", "wanted").mapInArrow(cut, "anchor long, copies long, doc long, mark int, lo int, bytes binary").dropDuplicates(["anchor", "doc", "mark", "lo"]), "pieces")
+    pieces = written(sources.select("doc", "mark", "text", "wanted").mapInArrow(cut, "anchor long, copies long, doc long, mark long, lo int, bytes binary").dropDuplicates(["anchor", "doc", "mark", "lo"]), "pieces")
     sizes = pieces.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"))
     sized = pieces.join(sizes, "anchor")
 
@@ -315,7 +317,7 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
                 found = repeated_in([h[5] for h in held], length)
             out = [(doc, mark, u, lo + a, lo + b) for (_, copies, doc, mark, lo, _), starts in zip(held, found) if copies == 1 for a, b in _runs(starts, lengths[u])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -333,20 +335,20 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
                 values = np.frombuffer(raw, "<u8") if u else _BYTES[np.frombuffer(raw, np.uint8)]
                 x, y = (rolling(values, lengths[u], seed).view(np.int64) for seed in (1, 2))
                 n = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(n, copies)), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array(np.full(n, u, np.int32)), pa.array((np.arange(n) + lo).astype(np.int32))], names=["x", "y", "copies", "doc", "mark", "unit", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(n, copies)), pa.array(np.full(n, doc)), pa.array(np.full(n, mark)), pa.array(np.full(n, u, np.int32)), pa.array((np.arange(n) + lo).astype(np.int32))], names=["x", "y", "copies", "doc", "mark", "unit", "start"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(doc, mark, u, a, b) for doc, mark, u, starts in zip(*(c.to_pylist() for c in batch.columns)) for a, b in _runs(np.array(starts), lengths[u])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "mark", "unit", "start", "end"])
 
-    found = "doc long, mark int, unit int, start int, end int"
+    found = "doc long, mark long, unit int, start int, end int"
     cool = sized.where(F.col("size") <= hot).select("anchor", "copies", "doc", "mark", "lo", "bytes")
     # blocks cost time, not bytes: as many tasks as blocks, which are not merged by size
     n = -(-(pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0) // block)
     met = cool.repartition(int(max(1, min(n, WAVES * spark.sparkContext.defaultParallelism))), "anchor").sortWithinPartitions(unit, "anchor").mapInArrow(blocks, found)
-    single = sized.where(F.col("size") > hot).select(unit.alias("unit"), "copies", "doc", "mark", "lo", "bytes").mapInArrow(strings, "x long, y long, copies long, doc long, mark int, unit int, start int")
+    single = sized.where(F.col("size") > hot).select(unit.alias("unit"), "copies", "doc", "mark", "lo", "bytes").mapInArrow(strings, "x long, y long, copies long, doc long, mark long, unit int, start int")
     twice = single.groupBy("unit", "x", "y").agg(F.sum("copies").alias("n"), F.max("copies").alias("most"), (first < last).alias("apart"))
     twice = twice.where("n > 1 AND (unit = 0 OR most > 1 OR apart)").select("unit", "x", "y")
     places = single.join(twice, ["unit", "x", "y"], "left_semi").groupBy("doc", "mark", "unit", F.floor(F.col("start") / RUN)).agg(F.array_sort(F.collect_set("start")).alias("starts"))
@@ -376,10 +378,10 @@ def _without(raw: bytes, cuts: list[list[int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, kept: bool = False, **more: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and, if asked for, kept (the bytes that stay) and text (what stays without the passages too) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and, if asked for, kept (the bytes that stay) and text_without_passages (what stays without the passages too) of every row."""
     found = spans(docs, text, length, **more).groupBy("doc", "mark").agg(F.collect_set(F.struct("unit", "start", "end")).alias("spans"))
     joined = _keyed(docs, text).join(found, ["doc", "mark"], "left").select("doc_id", "text", F.array_sort("spans").alias("spans"))
-    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passages": pa.int64(), "n_passage_words": pa.int64()} | ({"kept": pa.binary(), "text": pa.string()} if kept else {})
+    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passages": pa.int64(), "n_passage_words": pa.int64()} | ({"kept": pa.binary(), "text_without_passages": pa.string()} if kept else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,4 +396,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
                 out.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types.values())], names=list(types))
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary, text string" * kept)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary, text_without_passages string" * kept)
