@@ -22,48 +22,61 @@ from pyspark.sql import types as T
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: What pages of the default labelled table are about, by common kinds; none is taken from a corpus.
-BAD = (
-    # gambling
-    "casinos", "slots", "poker", "betting", "sportsbets", "roulette", "bingo", "lotto", "jackpots", "blackjack",
-    # medicines without a prescription
-    "viagra", "cialis", "steroids", "dietpills", "noprescription", "painkillers",
-    # adult pages
-    "porn", "xxxvideos", "webcamgirls", "escorts", "nudes", "hookups", "adultsonly",
-    # money
-    "paydayloans", "instantcredit", "cryptodoubler", "quickmoney", "giveaways", "prizes", "replicawatches", "giftcards",
-    # pirated and harmful software
-    "warez", "keygens", "cracks", "torrents", "serials", "phishing", "malware", "spyware",
-    # advertisements, spam and trackers
-    "adserver", "popups", "pixeltracker", "bulkmail", "spammers", "linkfarms", "backlinks", "clickbait", "cheaptraffic",
+BAD = tuple(
+    """
+    casinos slots poker betting sportsbets roulette bingo lotto jackpots blackjack wagering bookmakers
+    viagra cialis steroids dietpills noprescription painkillers slimming botox testosterone
+    porn xxxvideos webcamgirls escorts nudes hookups adultsonly adultchat adultvideos adultdating sexcams hotgirls singles
+    paydayloans instantcredit cryptodoubler quickmoney giveaways prizes replicawatches giftcards cashprizes freemoney binaryoptions getrich millionaire
+    warez keygens cracks torrents serials phishing malware spyware ransomware cheats hacks trainers
+    adserver adsnetwork adclicks tracking trackers popups pixeltracker bulkmail spammers linkfarms backlinks clickbait cheaptraffic seoboost followers
+    cheapjerseys fakebags knockoffs luckyspin scratchcards miracle weightloss hairloss psychic horoscopes coupons vouchers
+    """.split()
+)
+GOOD = tuple(
+    """
+    library council university school museum archive ministry waterworks court parliament college kindergarten embassy
+    encyclopedia journal atlas dictionary algebra astronomy chemistry geography history biology physics linguistics geology botany
+    news gazette weather radio football economics magazine reporter broadcasting stations
+    python linux compiler database standards manuals tutorials wiki docs engineering networking robotics
+    recipes garden timetables mountains music poetry films birds bicycles knitting chess theatre travel health cooking painting sailing hiking
+    hospital charity orchestra choir parish railway airport harbour fisheries forestry beekeeping pottery woodwork
+    translation education conservation heritage volunteers research institute laboratory observatory planetarium
+    """.split()
 )
-GOOD = (
-    # public bodies and schools
-    "library", "council", "university", "school", "museum", "archive", "ministry", "waterworks", "court", "parliament",
-    # knowledge
-    "encyclopedia", "journal", "atlas", "dictionary", "algebra", "astronomy", "chemistry", "geography", "history", "biology",
-    # news and weather
-    "news", "gazette", "weather", "radio", "football", "economics", "magazine",
-    # software and documents
-    "python", "linux", "compiler", "database", "standards", "manuals", "tutorials", "wiki", "docs",
-    # home, arts and travel
-    "recipes", "garden", "timetables", "mountains", "music", "poetry", "films", "birds", "bicycles", "knitting", "chess", "theatre", "travel", "health",
+#: Words beside the subjects: those of both kinds of hosts, and those of one kind (blocked first).
+BESIDE = ("online", "my", "the", "daily", "city", "all", "first", "north")
+OWN = (("free", "best", "cheap", "win", "hot", "super", "247", "4u"), ("society", "centre", "project", "guide", "national", "county", "open", "public"))
+#: Paths of both kinds of pages, and of one kind (blocked first).
+PATHS = ("/index.html", "/list", "/about", "/a/17", "/en/4711", "/de/80.html", "/fr/12/", "/es/356", "/", "/search", "/item/9.html", "/p/2024/05")
+OWN_PATHS = (
+    ("/bonus/claim-now", "/join-free", "/buy-now/cheap", "/click/out", "/win/signup", "/offer/limited", "/go/affiliate", "/download/setup.exe", "/live-cams/hot", "/promo/deal", "/play/jackpot", "/order/discreet"),
+    ("/articles/history.html", "/docs/manual/index.html", "/events/calendar", "/catalogue/collection", "/research/papers", "/opening-hours", "/teaching/lectures", "/reports/annual", "/members/minutes", "/guide/chapter", "/exhibitions/current", "/contact/staff"),
 )
-#: Words beside them in hosts, and paths: the same for both labels, so that neither tells them apart.
-BESIDE, PATHS = ("online", "my", "best", "the", "daily", "city", "all", "free"), ("/index.html", "/list?page=2", "/about", "/a/17", "/2024/05/new", "/", "/search?q=x", "/item/9.html")
+#: Hosts of a subject.
+FORMS = 24
 MOST_LABELLED, BITS, SIZES = 10_000, 18, (3, 4, 5)
 #: Log odds of block before anything is known of a url; share of the labelled rows in which an n-gram is too common to tell.
-PRIOR, COMMON = -1.0, 0.1
+PRIOR, COMMON = -1.25, 0.1
 
 
 def default_labelled() -> list[tuple[str, int]]:
-    """The small labelled URL table: each subject in four hosts, alone and with a word before, behind and joined to it; 1 is blocked."""
+    """The small labelled URL table: every subject in FORMS hosts, alone and with words beside it; 1 is blocked.
+
+    Of a subject's hosts two in three have a word of its own kind and the others none or one that both kinds share; every
+    second path is of its own kind.
+    """
     tops, subs = ("com", "net", "org", "info"), ("", "www.", "m.", "blog.")
     out = []
     for y, subjects in ((1, BAD), (0, GOOD)):
+        kind = 1 - y
         for i, subject in enumerate(subjects):
-            word = [BESIDE[(i + j) % len(BESIDE)] for j in range(4)]
-            for j, host in enumerate((subject, f"{word[1]}-{subject}", f"{subject}-{word[2]}", f"{word[3]}{subject}")):
-                out.append((f"https://{subs[(i + j) % 4]}{host}.example.{tops[(i + j) // 4 % 4]}{PATHS[(i + 3 * j) % len(PATHS)]}", y))
+            for j in range(FORMS):
+                words = BESIDE if j % 3 == 1 else OWN[kind]
+                word = words[(i + j // 3) % len(words)]
+                host = (f"{word}-{subject}", f"{subject}-{word}", f"{word}{subject}", f"{subject}{word}", subject if j % 3 == 1 else f"{word}-{subject}")[j // 3 % 5]
+                paths = OWN_PATHS[kind] if j % 2 else PATHS
+                out.append((f"https://{subs[(i + j) % 4]}{host}.example.{tops[(i + j // 4) % 4]}{paths[(i + 5 * j) % len(paths)]}", y))
     return out
 
 
