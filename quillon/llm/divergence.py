@@ -33,22 +33,52 @@ from pyspark.sql import functions as F
 from quillon.llm.common import drop_written, small_batches, text_bytes, written
 
 SCALE, LEAST_DOCS, TOP = 1_000_000_000, 10, 10
-#: Entries that a task counts before it hands them on, each 256 bytes of text being one more; bytes of a text that are split at once.
-HELD, PIECE = 1 << 18, 1 << 22
+#: Bytes of texts that a task counts before it hands the counts on, and of a longer text that are split at once.
+HELD, PIECE = 1 << 24, 1 << 22
 #: Postings in a chunk; buckets of a group that the first round evaluates; parts of the joins with the groups' sizes.
 CHUNK, STEP, SALT = 1 << 18, 4, 16
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).lower()
 
 
-def terms_of(raw: bytes) -> Iterator[list[bytes]]:
-    """The terms of a UTF-8 text, in lists for consecutive pieces of it."""
+def terms_of(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The terms of UTF-8 bytes and where each starts."""
+    flat = np.frombuffer(raw.translate(_LETTERS), np.uint8)
+    letter = flat != 32
+    edges = np.flatnonzero(np.diff(letter.view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[letter])]), starts
+
+
+def term_counts(texts: list[bytes], groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Group, term, occurrences and documents of all terms of some texts; groups: a number for each text."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    terms, starts = terms_of(b" ".join(texts))
+    coded = terms.dictionary_encode()
+    k = max(1, len(coded.dictionary))
+    doc = np.searchsorted(np.cumsum(sizes), starts, "right")
+    # by document first, as a term counts once for each
+    key, times = np.unique(doc * k + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    key = groups[key // k] * k + key % k
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[heads] // k, coded.dictionary.take(pa.array(key[heads] % k)), np.add.reduceat(times[order], heads) if len(heads) else heads, np.diff(np.append(heads, len(key)))
+
+
+def long_counts(raw: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The same of one text of any length, in pieces that end between terms."""
+    total: Counter = Counter()
     lo = 0
     while lo < len(raw):
         hi = min(len(raw), lo + PIECE)
-        while hi < len(raw) and _LETTERS[raw[hi]] != 32:  # a piece ends between terms
+        while hi < len(raw) and _LETTERS[raw[hi]] != 32:
             hi += 1
-        yield raw[lo:hi].translate(_LETTERS).split()
+        _, terms, times, _ = term_counts([raw[lo:hi]], np.zeros(1, np.int64))
+        for term, n in zip(terms.to_pylist(), times.tolist()):
+            total[term] += n
         lo = hi
+    return np.zeros(len(total), np.int64), pa.array(list(total), pa.binary()), np.array(list(total.values()), np.int64), np.ones(len(total), np.int64)
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -56,32 +86,31 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        names: dict[tuple, int] = {}  # of the groups in hand
+        held: list[bytes] = []
+        groups: list[int] = []
+        size = 0
+
+        def out(found: tuple, own: list[tuple]) -> pa.RecordBatch:
+            group, terms, times, seen = found
+            n = len(own)
+            at = pa.array(np.concatenate((group, np.arange(n))))
+            parts = pa.concat_arrays([terms, pa.array([b""] * n, pa.binary())]), pa.array(np.concatenate((times, np.zeros(n, np.int64)))), pa.array(np.concatenate((seen, np.zeros(n, np.int64))))
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in own], pa.string()).take(at) for i in (0, 1)] + list(parts), names=["lang", "source", "term", "c", "docs"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (a, b), (count, seen) in held.items():
-                terms = list(count)
-                n = len(terms)
-                yield pa.RecordBatch.from_arrays([pa.array([a]).take(pa.array(np.zeros(n, np.int64))), pa.array([b]).take(pa.array(np.zeros(n, np.int64))), pa.array(terms, pa.binary()), pa.array(count.values(), pa.int64()), pa.array([seen[t] for t in terms], pa.int64())], names=["lang", "source", "term", "c", "docs"])
-            held.clear()
-
-        entries = 0
         for batch in batches:
             for a, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                group = (a, b)
-                if group not in held:
-                    held[group] = Counter({b"": 0}), Counter()
-                count, seen = held[group]
-                before, once = len(count), set()
-                for terms in terms_of(raw):
-                    count.update(terms)
-                    once.update(terms)
-                seen.update(once)
-                entries += len(count) - before + (len(raw) >> 8)
-                if entries > HELD:
-                    yield from flush()
-                    entries = 0
-        yield from flush()
+                if len(raw) > PIECE:
+                    yield out(long_counts(raw), [(a, b)])
+                    continue
+                groups.append(names.setdefault((a, b), len(names)))
+                held.append(raw)
+                size += len(raw) + 64
+                if size > HELD:
+                    yield out(term_counts(held, np.array(groups)), list(names))
+                    held, groups, names, size = [], [], {}, 0
+        if held:
+            yield out(term_counts(held, np.array(groups)), list(names))
 
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     parts = docs.select(empty(lang), empty(source), text_bytes(docs, text).alias("text")).mapInArrow(run, "lang string, source string, term binary, c long, docs long")
@@ -109,7 +138,7 @@ def postings(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     parts = counted(docs, text, lang, source).repartition("lang", "term")  # one shuffle serves all that follows
     sums = parts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
     same = Window.partitionBy("lang", "term")
-    both = sums.withColumns({"all_docs": F.sum("docs").over(same), "l": F.sum("c").over(same), "first": F.row_number().over(same.orderBy("source")) == 1})
+    both = sums.withColumns({"all_docs": F.sum("docs").over(same), "l": F.sum("c").over(same), "first": F.col("source") == F.min("source").over(same)})
     kept = written(both.where((F.col("all_docs") >= least_docs) | (F.col("term") == "")).select("lang", "source", "term", "c", "l", (F.col("first") & (F.col("term") != "")).alias("first")), "divergence-postings")
     groups = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"), F.count_if("first").alias("v"))
     langs = groups.groupBy("lang").agg(F.sum("n").alias("nl"), F.sum("v").alias("v"))

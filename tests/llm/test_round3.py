@@ -64,8 +64,8 @@ def test_source_divergence(spark):
 def test_source_divergence_chunks_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CHUNK", 40)
     monkeypatch.setattr(divergence, "STEP", 1)
-    monkeypatch.setattr(divergence, "HELD", 20)
-    monkeypatch.setattr(divergence, "PIECE", 7)
+    monkeypatch.setattr(divergence, "HELD", 2000)
+    monkeypatch.setattr(divergence, "PIECE", 150)
     rows = source_rows()
     got = divergence.audit(spark.createDataFrame(rows, DOCS), least_docs=3, k=4)
     assert sorted(tuple(r) for r in got.collect()) == brute_audit(rows, 3, 4)
