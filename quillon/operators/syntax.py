@@ -11,113 +11,113 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
+from quillon.operators.scan import LINES_SQL, hits_sql, scan_lines, scan_texts
 from quillon.sources.readers import numbered_lines
 from quillon.sources.tables import table
 
-# Patterns of code about language models, by family, each with what a hit says. Those that span lines are
-# left out: patterns are tried on lines.
+# Patterns of code about language models, by family. Those that span lines stand apart below.
 AI_SIGNATURES = (
-    (r"#\s*This function\s+(?:is used to|will|handles?|takes|accepts)", "Verbose AI-style comment"),
-    (r"^\s*(?:This|A|An)\s+(?:function|method|class|module|script)\s+(?:that\s+)?(?:is\s+used\s+to|handles?|processes?|manages?|takes|accepts|returns|will)\b", "Generic AI docstring summary line"),
-    (r"#\s*TODO:\s*(?:Add (?:error|validation|authentication|authorization)|Implement)", "AI-generated TODO placeholder"),
-    (r"#\s*Import necessary (?:libraries|modules|packages)", "AI-style import comment"),
-    (r"#\s*Note: This (?:may|might|should) work", "Tentative AI comment"),
+    r"#\s*This function\s+(?:is used to|will|handles?|takes|accepts)",
+    r"^\s*(?:This|A|An)\s+(?:function|method|class|module|script)\s+(?:that\s+)?(?:is\s+used\s+to|handles?|processes?|manages?|takes|accepts|returns|will)\b",
+    r"#\s*TODO:\s*(?:Add (?:error|validation|authentication|authorization)|Implement)",
+    r"#\s*Import necessary (?:libraries|modules|packages)",
+    r"#\s*Note: This (?:may|might|should) work",
 )
 HALLUCINATED_APIS = (
-    (r"requests\.send_request\(", "requests does not have send_request()"),
-    (r"json\.parse\(", "Python uses json.loads(), not json.parse()"),
-    (r"os\.get_dir\(", "os does not have get_dir() - use os.listdir() or os.scandir()"),
-    (r"datetime\.now\.format\(", "datetime.now() returns a datetime object, not a formattable string"),
-    (r"flask\.create_app\(", "Flask does not have a create_app() function at module level"),
-    (r"django\.setup_app\(", "Django does not have setup_app()"),
-    (r"pandas\.Dataframe\(", "Correct class name is DataFrame (capital F)"),
-    (r"numpy\.array\.tolist\(", "tolist() is called on array instances, not the array class"),
-    (r"re\.find\(", "re module has findall() and search(), not find()"),
-    (r"socket\.connect_to\(", "socket has connect(), not connect_to()"),
-    (r"fs\.read\(", "fs has readFile() and readFileSync(), not read()"),
-    (r"express\.createServer\(", "Express uses express() not createServer()"),
-    (r"document\.find\(", "DOM has querySelector() and getElementById(), not find()"),
-    (r"window\.fetchJSON\(", "Use fetch() with response.json()"),
-    (r"ArrayList\.sortBy\(", "Use Collections.sort() or List.sort()"),
-    (r"String\.isEmpty\s*\(\s*\)", "String.isEmpty() is correct but commonly misused context"),
+    r"requests\.send_request\(",
+    r"json\.parse\(",
+    r"os\.get_dir\(",
+    r"datetime\.now\.format\(",
+    r"flask\.create_app\(",
+    r"django\.setup_app\(",
+    r"pandas\.Dataframe\(",
+    r"numpy\.array\.tolist\(",
+    r"re\.find\(",
+    r"socket\.connect_to\(",
+    r"fs\.read\(",
+    r"express\.createServer\(",
+    r"document\.find\(",
+    r"window\.fetchJSON\(",
+    r"ArrayList\.sortBy\(",
+    r"String\.isEmpty\s*\(\s*\)",
 )
 AI_CORS = (
-    (r"(?i)(Access-Control-Allow-Origin\s*:\s*\*)", "AI-generated permissive CORS wildcard"),
-    (r"(?i)(cors\s*\(\s*\{\s*origin\s*:\s*['\"]?\*['\"]?)", "AI-generated Express CORS wildcard"),
-    (r"(?i)(@CrossOrigin\s*\(\s*origins\s*=\s*['\"]?\*['\"]?)", "AI-generated Spring CORS wildcard"),
-    (r"(?i)(res\.header\s*\(\s*['\"]Access-Control-Allow-Origin['\"]\s*,\s*['\"]\*['\"])", "AI-generated manual CORS wildcard"),
-    (r"(?i)(app\.use\s*\(\s*cors\s*\(\s*\)\s*\))", "AI-generated default CORS middleware (allows all origins)"),
-    (r"(?i)(cors\.AllowAllOrigins\s*=\s*true)", "AI-generated Go CORS allow all"),
+    r"(?i)(Access-Control-Allow-Origin\s*:\s*\*)",
+    r"(?i)(cors\s*\(\s*\{\s*origin\s*:\s*['\"]?\*['\"]?)",
+    r"(?i)(@CrossOrigin\s*\(\s*origins\s*=\s*['\"]?\*['\"]?)",
+    r"(?i)(res\.header\s*\(\s*['\"]Access-Control-Allow-Origin['\"]\s*,\s*['\"]\*['\"])",
+    r"(?i)(app\.use\s*\(\s*cors\s*\(\s*\)\s*\))",
+    r"(?i)(cors\.AllowAllOrigins\s*=\s*true)",
 )
 INSECURE_DEFAULTS = (
-    (r"(?i)(SECRET_KEY\s*=\s*['\"](?:secret|key|change-me|your-secret|example))", "AI-generated hardcoded demo secret key"),
-    (r"(?i)(DEBUG\s*=\s*True)", "AI-generated DEBUG=True in production-like code"),
-    (r"(?i)(ALLOWED_HOSTS\s*=\s*\[['\"]\*['\"]\])", "AI-generated Django ALLOWED_HOSTS wildcard"),
-    (r"(?i)(SESSION_COOKIE_SECURE\s*=\s*False)", "AI-generated insecure session cookie setting"),
-    (r"(?i)(CSRF_COOKIE_SECURE\s*=\s*False)", "AI-generated insecure CSRF cookie setting"),
-    (r"(?i)(ADMIN_PASSWORD\s*=\s*['\"](?:admin|password|123456))", "AI-generated default admin password"),
-    (r"(?i)(DEFAULT_PASSWORD\s*=\s*['\"](?:password|admin|1234))", "AI-generated default password"),
-    (r"(?i)(verify\s*=\s*False)", "AI-generated SSL verification disabled"),
-    (r"(?i)(ssl_verify\s*=\s*False)", "AI-generated SSL verification disabled"),
-    (r"(?i)(privileged:\s*true)", "AI-generated privileged container"),
-    (r"(?i)(runAsUser:\s*0)", "AI-generated container running as root"),
-    (r"(?i)(allowPrivilegeEscalation:\s*true)", "AI-generated privilege escalation allowed"),
+    r"(?i)(SECRET_KEY\s*=\s*['\"](?:secret|key|change-me|your-secret|example))",
+    r"(?i)(DEBUG\s*=\s*True)",
+    r"(?i)(ALLOWED_HOSTS\s*=\s*\[['\"]\*['\"]\])",
+    r"(?i)(SESSION_COOKIE_SECURE\s*=\s*False)",
+    r"(?i)(CSRF_COOKIE_SECURE\s*=\s*False)",
+    r"(?i)(ADMIN_PASSWORD\s*=\s*['\"](?:admin|password|123456))",
+    r"(?i)(DEFAULT_PASSWORD\s*=\s*['\"](?:password|admin|1234))",
+    r"(?i)(verify\s*=\s*False)",
+    r"(?i)(ssl_verify\s*=\s*False)",
+    r"(?i)(privileged:\s*true)",
+    r"(?i)(runAsUser:\s*0)",
+    r"(?i)(allowPrivilegeEscalation:\s*true)",
 )
 LLM_KEYS = (
-    (r"(?i)(openai[_-]?api[_-]?key\s*[:=]\s*['\"]sk-[a-zA-Z0-9]{20,}['\"])", "Hardcoded OpenAI API key"),
-    (r"(?i)(anthropic[_-]?api[_-]?key\s*[:=]\s*['\"]sk-ant-[a-zA-Z0-9]{20,}['\"])", "Hardcoded Anthropic API key"),
-    (r"(?i)(cohere[_-]?api[_-]?key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])", "Hardcoded Cohere API key"),
-    (r"(?i)(huggingface[_-]?token\s*[:=]\s*['\"]hf_[a-zA-Z0-9]{20,}['\"])", "Hardcoded Hugging Face token"),
-    (r"(?i)(google[_-]?api[_-]?key\s*[:=]\s*['\"]AIza[0-9A-Za-z_-]{33,}['\"])", "Hardcoded Google API key"),
-    (r"(?i)(replicate[_-]?api[_-]?token\s*[:=]\s*['\"]r8_[a-zA-Z0-9]{20,}['\"])", "Hardcoded Replicate API token"),
-    (r"(?i)(together[_-]?api[_-]?key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])", "Hardcoded Together AI API key"),
-    (r"(?i)(mistral[_-]?api[_-]?key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])", "Hardcoded Mistral API key"),
-    (r"(?i)(groq[_-]?api[_-]?key\s*[:=]\s*['\"]gsk_[a-zA-Z0-9]{20,}['\"])", "Hardcoded Groq API key"),
-    (r"(?i)(?:api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token)\s*[:=]\s*['\"]sk-[a-zA-Z0-9]{16,}['\"]", "Hardcoded OpenAI-style API key"),
+    r"(?i)(openai[_-]?api[_-]?key\s*[:=]\s*['\"]sk-[a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(anthropic[_-]?api[_-]?key\s*[:=]\s*['\"]sk-ant-[a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(cohere[_-]?api[_-]?key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(huggingface[_-]?token\s*[:=]\s*['\"]hf_[a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(google[_-]?api[_-]?key\s*[:=]\s*['\"]AIza[0-9A-Za-z_-]{33,}['\"])",
+    r"(?i)(replicate[_-]?api[_-]?token\s*[:=]\s*['\"]r8_[a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(together[_-]?api[_-]?key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(mistral[_-]?api[_-]?key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(groq[_-]?api[_-]?key\s*[:=]\s*['\"]gsk_[a-zA-Z0-9]{20,}['\"])",
+    r"(?i)(?:api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token)\s*[:=]\s*['\"]sk-[a-zA-Z0-9]{16,}['\"]",
 )
 LLM_INPUT = (
-    (r"(?i)(openai\.(?:ChatCompletion|chat\.completions)\.create\s*\(\s*messages\s*=)(?!.*(?:validate|sanitize|check|filter|length|limit))", "LLM API call without input validation"),
-    (r"(?i)(anthropic\.(?:Client|messages)\.create\s*\(\s*)", "Anthropic API call - verify input validation exists"),
-    (r"(?i)(requests\.(?:get|post)\s*\(\s*['\"]https://api\.openai\.com)(?!.*(?:validate|sanitize|check))", "Direct OpenAI API HTTP call without input validation"),
+    r"(?i)(openai\.(?:ChatCompletion|chat\.completions)\.create\s*\(\s*messages\s*=)(?!.*(?:validate|sanitize|check|filter|length|limit))",
+    r"(?i)(anthropic\.(?:Client|messages)\.create\s*\(\s*)",
+    r"(?i)(requests\.(?:get|post)\s*\(\s*['\"]https://api\.openai\.com)(?!.*(?:validate|sanitize|check))",
 )
 LLM_OUTPUT = (
-    (r"(?i)(eval\s*\(\s*(?:response|completion|result|output)\s*\))", "LLM output used in eval() - prompt injection risk"),
-    (r"(?i)(exec\s*\(\s*(?:response|completion|result|output)\s*\))", "LLM output used in exec() - prompt injection risk"),
-    (r"(?i)(cursor\.execute\s*\(\s*(?:response|completion|result|output))", "LLM output used in SQL query - injection risk"),
-    (r"(?i)((?:innerHTML|dangerouslySetInnerHTML|\.html\s*\(\s*)\s*=\s*(?:response|completion|result|output))", "LLM output rendered as HTML - XSS risk"),
-    (r"(?i)(os\.system\s*\(\s*(?:response|completion|result|output))|(subprocess\.(?:run|call|Popen)\s*\(\s*(?:response|completion|result|output))", "LLM output used in system command - RCE risk"),
-    (r"(?i)(open\s*\(\s*(?:response|completion|result|output)\s*,\s*['\"]w)|(write|writelines)\s*\(\s*(?:response|completion|result|output)\s*\)", "LLM output written to file without validation"),
+    r"(?i)(eval\s*\(\s*(?:response|completion|result|output)\s*\))",
+    r"(?i)(exec\s*\(\s*(?:response|completion|result|output)\s*\))",
+    r"(?i)(cursor\.execute\s*\(\s*(?:response|completion|result|output))",
+    r"(?i)((?:innerHTML|dangerouslySetInnerHTML|\.html\s*\(\s*)\s*=\s*(?:response|completion|result|output))",
+    r"(?i)(os\.system\s*\(\s*(?:response|completion|result|output))|(subprocess\.(?:run|call|Popen)\s*\(\s*(?:response|completion|result|output))",
+    r"(?i)(open\s*\(\s*(?:response|completion|result|output)\s*,\s*['\"]w)|(write|writelines)\s*\(\s*(?:response|completion|result|output)\s*\)",
 )
 RAG = (
-    (r"(?i)(system_prompt\s*=\s*f?['\"].*\{.*(?:user_input|query|input|text|request).*)", "User input interpolated into system prompt - direct prompt injection"),
-    (r"(?i)(context\s*=\s*f?['\"].*\{.*(?:document|chunk|retrieved|search).*)(?!.*(?:sanitize|escape|filter))", "Retrieved documents injected into prompt without sanitization"),
-    (r"(?i)(prompt\s*=\s*f?['\"].*System:.*User:.*)(?!.*(?:delimiter|separator|<\|))", "No clear delimiter between system prompt and user content"),
-    (r"(?i)(f?['\"]You are.*helpful.*assistant['\"].*\+\s*(?:user_input|query))", "User input concatenated to system instruction without boundary"),
+    r"(?i)(system_prompt\s*=\s*f?['\"].*\{.*(?:user_input|query|input|text|request).*)",
+    r"(?i)(context\s*=\s*f?['\"].*\{.*(?:document|chunk|retrieved|search).*)(?!.*(?:sanitize|escape|filter))",
+    r"(?i)(prompt\s*=\s*f?['\"].*System:.*User:.*)(?!.*(?:delimiter|separator|<\|))",
+    r"(?i)(f?['\"]You are.*helpful.*assistant['\"].*\+\s*(?:user_input|query))",
 )
 BOUNDARY = (
-    (r"(?i)(system_prompt\s*=\s*['\"].{0,200}['\"])(?!.*(?:ignore previous|disregard|do not follow))", "System prompt may lack instruction integrity defenses"),
-    (r"(?i)(messages\s*=\s*\[.*\{.*['\"]system['\"].*\}.*\{.*['\"]user['\"].*\}\])(?!.*(?:seal|delimiter|<\|))", "No prompt sealing or delimiters between message roles"),
+    r"(?i)(system_prompt\s*=\s*['\"].{0,200}['\"])(?!.*(?:ignore previous|disregard|do not follow))",
+    r"(?i)(messages\s*=\s*\[.*\{.*['\"]system['\"].*\}.*\{.*['\"]user['\"].*\}\])(?!.*(?:seal|delimiter|<\|))",
 )
 OWASP_LLM = {
-    "LLM01": ((r"(?i)(system.*prompt.*\{.*user|user.*input.*system.*prompt)|(f['\"].*You are.*\{.*\}.*respond)", "LLM01: Potential direct prompt injection - user input in system prompt"), (r"(?i)(retrieved.*context.*user.*input|document.*inject.*prompt)|(context.*data.*passed.*llm.*unsanitized)", "LLM01: Potential indirect prompt injection via context")),
-    "LLM02": ((r"(?i)(eval\s*\(\s*response|exec\s*\(\s*llm|response.*innerHTML)|(llm_output.*system|completion.*subprocess)", "LLM02: Insecure handling of LLM output"), (r"(?i)(json\.loads\s*\(\s*(?:response|completion)\s*\).*(?:except\s*JSONDecodeError)?)(?!.*except)", "LLM02: LLM JSON output parsed without error handling")),
-    "LLM03": ((r"(?i)(fine.?tune.*custom.*dataset|train.*on.*user.*data)(?!.*(?:validate|sanitize|audit))", "LLM03: Training data source not validated"), (r"(?i)(load_dataset\s*\(\s*(?:url|path)\s*=.*(?!verify))", "LLM03: External dataset loaded without verification")),
-    "LLM04": ((r"(?i)(max_tokens\s*=\s*\d{5,}|no.*token.*limit|unbounded.*request)|(while\s+True.*llm|recursive.*call.*api)", "LLM04: Unbounded resource consumption - potential model DoS"), (r"(?i)(requests\.(?:get|post)\s*\(.*timeout\s*=\s*(?:None|0)\))|(openai.*create.*(?!max_tokens))", "LLM04: API call without resource limits")),
-    "LLM05": ((r"(?i)(pip\s+install\s+.*--index-url|npm\s+install\s+.*--registry)(?!.*trusted|official)", "LLM05: Package installed from untrusted source"), (r"(?i)(pickle\.(?:load|loads)\s*\(|yaml\.load\s*\(.*Loader\s*=\s*yaml\.(?:Loader|UnsafeLoader))", "LLM05: Unsafe deserialization in ML pipeline")),
-    "LLM06": ((r"(?i)(return\s+.*error.*traceback.*to.*client|send.*exception.*user)|(debug\s*=\s*True.*production|log.*api_key|print\s*\(\s*(?:secret|token|key))", "LLM06: Sensitive information may be disclosed"), (r"(?i)(response.*include.*system.*prompt|reveal.*instructions.*to.*user)", "LLM06: System prompt/instructions may leak to user"), (r"(?i)((?:return|response|jsonify|render|send)\b.*traceback\.format_exc\s*\(\s*\))|(traceback\.format_exc\s*\(\s*\).*(?:return|response|jsonify))", "LLM06: Exception traceback returned to client")),
-    "LLM07": ((r"(?i)(plugin.*exec\s*\(|tool.*eval\s*\(|extension.*system.*call)|(register.*tool\s*\(\s*function\s*=.*eval)", "LLM07: Plugin/Tool uses insecure code execution"), (r"(?i)(tool.*no.*validation|plugin.*input.*unsanitized)|(allow_all.*tools|disable_security.*plugin)", "LLM07: Plugin input not validated")),
-    "LLM08": ((r"(?i)(auto.*execute|auto.*run|auto.*deploy|self.*acting)|(allow.*llm.*write.*file|llm.*modify.*database)", "LLM08: Excessive agency - LLM can perform dangerous actions"), (r"(?i)(tool.*delete.*permission|llm.*admin.*access|grant.*all.*privileges)|(bypass.*approval|skip.*confirmation)", "LLM08: LLM granted excessive permissions")),
-    "LLM09": ((r"(?i)(trust.*llm.*output|use.*llm.*for.*security.*decision)|(llm.*authenticate|llm.*authorize|llm.*validate.*input)", "LLM09: Critical security decision delegated to LLM"), (r"(?i)(no.*human.*review|fully.*automated.*llm|blind.*trust)|(skip.*verification.*llm.*output)", "LLM09: No human review of LLM outputs for critical operations"), (r"(?i)(?:auth\w*|authz|decision|verdict|access|permission|approv\w*)\s*=\s*[^=\n]*\b(?:llm|model|gpt|openai|claude|chat|completion)\w*\.\s*(?:evaluate|decide|predict|classify|complete|generate|judge|assess)", "LLM09: Security/auth decision delegated to LLM output")),
-    "LLM10": ((r"(?i)(model.*download.*endpoint|/download.*model|export.*weights)(?!.*(?:auth|authenticate|authorize))", "LLM10: Model/weights accessible without authentication"), (r"(?i)(model.*served.*publicly|api.*expose.*architecture)|(replicate\s*model|clone\s*weights)", "LLM10: Model architecture or weights may be exposed")),
+    "LLM01": (r"(?i)(system.*prompt.*\{.*user|user.*input.*system.*prompt)|(f['\"].*You are.*\{.*\}.*respond)", r"(?i)(retrieved.*context.*user.*input|document.*inject.*prompt)|(context.*data.*passed.*llm.*unsanitized)"),
+    "LLM02": (r"(?i)(eval\s*\(\s*response|exec\s*\(\s*llm|response.*innerHTML)|(llm_output.*system|completion.*subprocess)", r"(?i)(json\.loads\s*\(\s*(?:response|completion)\s*\).*(?:except\s*JSONDecodeError)?)(?!.*except)"),
+    "LLM03": (r"(?i)(fine.?tune.*custom.*dataset|train.*on.*user.*data)(?!.*(?:validate|sanitize|audit))", r"(?i)(load_dataset\s*\(\s*(?:url|path)\s*=.*(?!verify))"),
+    "LLM04": (r"(?i)(max_tokens\s*=\s*\d{5,}|no.*token.*limit|unbounded.*request)|(while\s+True.*llm|recursive.*call.*api)", r"(?i)(requests\.(?:get|post)\s*\(.*timeout\s*=\s*(?:None|0)\))|(openai.*create.*(?!max_tokens))"),
+    "LLM05": (r"(?i)(pip\s+install\s+.*--index-url|npm\s+install\s+.*--registry)(?!.*trusted|official)", r"(?i)(pickle\.(?:load|loads)\s*\(|yaml\.load\s*\(.*Loader\s*=\s*yaml\.(?:Loader|UnsafeLoader))"),
+    "LLM06": (r"(?i)(return\s+.*error.*traceback.*to.*client|send.*exception.*user)|(debug\s*=\s*True.*production|log.*api_key|print\s*\(\s*(?:secret|token|key))", r"(?i)(response.*include.*system.*prompt|reveal.*instructions.*to.*user)", r"(?i)((?:return|response|jsonify|render|send)\b.*traceback\.format_exc\s*\(\s*\))|(traceback\.format_exc\s*\(\s*\).*(?:return|response|jsonify))"),
+    "LLM07": (r"(?i)(plugin.*exec\s*\(|tool.*eval\s*\(|extension.*system.*call)|(register.*tool\s*\(\s*function\s*=.*eval)", r"(?i)(tool.*no.*validation|plugin.*input.*unsanitized)|(allow_all.*tools|disable_security.*plugin)"),
+    "LLM08": (r"(?i)(auto.*execute|auto.*run|auto.*deploy|self.*acting)|(allow.*llm.*write.*file|llm.*modify.*database)", r"(?i)(tool.*delete.*permission|llm.*admin.*access|grant.*all.*privileges)|(bypass.*approval|skip.*confirmation)"),
+    "LLM09": (r"(?i)(trust.*llm.*output|use.*llm.*for.*security.*decision)|(llm.*authenticate|llm.*authorize|llm.*validate.*input)", r"(?i)(no.*human.*review|fully.*automated.*llm|blind.*trust)|(skip.*verification.*llm.*output)", r"(?i)(?:auth\w*|authz|decision|verdict|access|permission|approv\w*)\s*=\s*[^=\n]*\b(?:llm|model|gpt|openai|claude|chat|completion)\w*\.\s*(?:evaluate|decide|predict|classify|complete|generate|judge|assess)"),
+    "LLM10": (r"(?i)(model.*download.*endpoint|/download.*model|export.*weights)(?!.*(?:auth|authenticate|authorize))", r"(?i)(model.*served.*publicly|api.*expose.*architecture)|(replicate\s*model|clone\s*weights)"),
 }
 MCP = (
-    (r"(?i)(tool.*description\s*=\s*f?['\"].*\{.*user_input|function.*docstring.*injected.*parameter)", "MCP: Tool description may be poisoned with user input", "MCP-Tool-Poisoning"),
-    (r"(?i)(tool.*description.*ignore.*previous|function.*schema.*override|mcp.*tool.*redefined.*runtime)", "MCP: Tool description may contain malicious instructions", "MCP-Malicious-Description"),
-    (r"(?i)(mcp.*tool.*admin|tool.*bypass.*auth|mcp.*escalate.*privilege|tool.*grant.*permission.*higher)", "MCP: Potential privilege escalation through MCP tools", "MCP-Privilege-Escalation"),
-    (r"(?i)(mcp.*allow_all_tools|tool.*permission\s*=\s*['\"]?\*['\"]?|all_tools.*enabled.*true|disable_tool_validation)", "MCP: All MCP tools allowed without restriction", "MCP-Unrestricted-Tools"),
-    (r"(?i)(mcp.*call_tool.*\(.*\w+\s*=\s*(?!.*validate|sanitize).*\w+_input|execute.*tool.*args.*raw)", "MCP: MCP tool arguments not validated before execution", "MCP-Unvalidated-Input"),
-    (r"(?i)(mcp.*server.*no.*auth|mcp.*transport.*without.*verify|mcp.*stdio.*no.*validation)", "MCP: MCP server connection without authentication", "MCP-Unauthenticated-Server"),
-    (r"(?i)(tool.*result.*direct.*llm.*no.*filter|mcp.*output.*passed.*to.*system.*unsanitized)", "MCP: Tool output crosses trust boundary without sanitization", "MCP-Trust-Boundary"),
+    (r"(?i)(tool.*description\s*=\s*f?['\"].*\{.*user_input|function.*docstring.*injected.*parameter)", "MCP-Tool-Poisoning"),
+    (r"(?i)(tool.*description.*ignore.*previous|function.*schema.*override|mcp.*tool.*redefined.*runtime)", "MCP-Malicious-Description"),
+    (r"(?i)(mcp.*tool.*admin|tool.*bypass.*auth|mcp.*escalate.*privilege|tool.*grant.*permission.*higher)", "MCP-Privilege-Escalation"),
+    (r"(?i)(mcp.*allow_all_tools|tool.*permission\s*=\s*['\"]?\*['\"]?|all_tools.*enabled.*true|disable_tool_validation)", "MCP-Unrestricted-Tools"),
+    (r"(?i)(mcp.*call_tool.*\(.*\w+\s*=\s*(?!.*validate|sanitize).*\w+_input|execute.*tool.*args.*raw)", "MCP-Unvalidated-Input"),
+    (r"(?i)(mcp.*server.*no.*auth|mcp.*transport.*without.*verify|mcp.*stdio.*no.*validation)", "MCP-Unauthenticated-Server"),
+    (r"(?i)(tool.*result.*direct.*llm.*no.*filter|mcp.*output.*passed.*to.*system.*unsanitized)", "MCP-Trust-Boundary"),
 )
 # CWE and severity of the OWASP groups, severity of the MCP groups.
 LLM_CWE = {"LLM01": "CWE-94", "LLM02": "CWE-89", "LLM03": "CWE-506", "LLM04": "CWE-400", "LLM05": "CWE-829", "LLM06": "CWE-200", "LLM07": "CWE-749", "LLM08": "CWE-250", "LLM09": "CWE-345", "LLM10": "CWE-306"}
@@ -132,6 +132,26 @@ FRAMEWORKS = {
     "Spring": ("pom.xml", "build.gradle", "Application.java"), "Rails": ("Gemfile", "config/routes.rb", "app/controllers"), "Laravel": ("composer.json", "artisan"), ".NET": (".csproj", ".sln"), "ASP.NET Core": ("Startup.cs", "Program.cs", ".csproj"),
 }
 CONFIGS = ("package.json", "requirements.txt", "pom.xml", "Gemfile", "composer.json")
+# Placeholders of authentication, tried on WINDOW lines at once; patterns that are tried on whole texts; calls
+# whose failure is to be handled.
+PLACEHOLDER_AUTH = (
+    r"(?i)(if\s+.*:\s*\n\s*return\s+True\s*\n\s*#\s*TODO.*auth)|(def\s+is_authenticated\s*\(\s*\)\s*:\s*\n\s*return\s+True)",
+    r"(?i)(#\s*@login_required\n|#\s*@require_auth\n|#\s*auth_check\s*\()",
+    r"(?i)(def\s+auth_middleware\s*\(.*\)\s*:\s*\n\s*pass\s*$|class\s+AuthMiddleware\s*:\s*\n\s*def\s+__call__\s*\(\s*self.*\)\s*:\s*\n\s*return)",
+    r"(?i)(jwt\.decode\s*\(\s*token\s*,\s*['\"](?:secret|key|placeholder))",
+    r"(?i)(def\s+check_permission\s*\(.*\)\s*:\s*\n\s*return\s+True)|(def\s+has_permission\s*\(.*\)\s*:\s*\n\s*return\s+True)",
+)
+SPANNING_SIGNATURES = (r'"""\s*\n\s*(?:This (?:function|method|class)|A (?:function|method|class) that)',)
+SPANNING_DEFAULTS = (r"(?i)(FROM\s+python:.*\n.*RUN\s+pip\s+install.*--no-cache)",)
+UNHANDLED = (
+    r"(cursor\.execute|session\.(query|add|commit)|Model\.query)",
+    r"(open\s*\(|fs\.(readFile|writeFile)|with\s+open)",
+    r"(requests\.(get|post|put|delete)|fetch\s*\(|axios\.(get|post))",
+    r"(openai\.(ChatCompletion|Completion)|anthropic|completion)",
+)
+WINDOW = 3
+#: Names in insecure defaults that are secrets.
+SECRET_DEFAULTS = ("SECRET_KEY", "PASSWORD")
 #: Names of variables that hold secrets.
 SECRET_NAMES = ("password", "secret", "api_key", "token")
 
@@ -144,11 +164,51 @@ FAMILIES = {
 
 
 def families() -> list[tuple[str, str, str, str]]:
-    """family, pattern, severity and CWE of every pattern; defaults that are secrets are worse than the others."""
-    secret = lambda family, said: family == "Insecure default" and ("password" in said.lower() or "secret" in said.lower())
-    out = [(family, p, *(("HIGH", "CWE-798") if secret(family, said) else (severity, cwe))) for family, (patterns, severity, cwe) in FAMILIES.items() for p, said in patterns]
-    out += [(group, p, LLM_SEVERITY[group], LLM_CWE[group]) for group, patterns in OWASP_LLM.items() for p, _ in patterns]
-    return out + [(group, p, LLM_SEVERITY[group], "CWE-749") for p, _, group in MCP]
+    """family, pattern, severity and CWE of every pattern that is tried on lines; defaults that are secrets are worse than the others."""
+    secret = lambda family, p: family == "Insecure default" and any(w in p for w in SECRET_DEFAULTS)
+    out = [(family, p, *(("HIGH", "CWE-798") if secret(family, p) else (severity, cwe))) for family, (patterns, severity, cwe) in FAMILIES.items() for p in patterns]
+    out += [(group, p, LLM_SEVERITY[group], LLM_CWE[group]) for group, patterns in OWASP_LLM.items() for p in patterns]
+    return out + [(group, p, LLM_SEVERITY[group], "CWE-749") for p, group in MCP]
+
+
+def family_rules(chosen: list[tuple[str, str, str, str]]) -> tuple[tuple[str, str, str, str], ...]:
+    """Families as rules of a scan; a rule's name is its family and its place in it."""
+    place: dict[str, int] = {}
+    out = []
+    for family, pattern, severity, cwe in chosen:
+        place[family] = place.get(family, 0) + 1
+        out.append((f"{family}/{place[family]}", pattern, severity, cwe))
+    return tuple(out)
+
+
+def first_of_family(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_number, family, severity and cwe_id: of the hits of a family in a line the first pattern's."""
+    parts = hits.withColumns({"family": F.split_part("rule", F.lit("/"), F.lit(1)), "place": F.split_part("rule", F.lit("/"), F.lit(2)).cast("int")})
+    best = parts.groupBy(*keys, "line_number", "family").agg(F.min_by(F.struct("severity", "cwe_id"), "place").alias("b"))
+    return best.select(*keys, "line_number", "family", "b.*")
+
+
+def family_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """family_hits() over whole texts, with all families of lines in one pass whatever their number; the other columns are keys."""
+    keys = [c for c in df.columns if c != text]
+    return first_of_family(scan_lines(df, family_rules(families()), text, comments=True), keys)
+
+
+def placeholder_auth(df: DataFrame, text: str = "text") -> DataFrame:
+    """Lines from which WINDOW lines hold a placeholder of authentication; the other columns of df are keys."""
+    keys = [c for c in df.columns if c != text]
+    return first_of_family(scan_lines(df, family_rules([("Placeholder auth", p, "CRITICAL", "CWE-306") for p in PLACEHOLDER_AUTH]), text, WINDOW, comments=True), keys)
+
+
+def unhandled_calls(df: DataFrame, text: str = "text") -> DataFrame:
+    """Lines with a call whose failure is to be handled: the first kind of such calls that a line has."""
+    keys = [c for c in df.columns if c != text]
+    return first_of_family(scan_lines(df, family_rules([("Unhandled call", p, "LOW", "CWE-755") for p in UNHANDLED]), text), keys)
+
+
+def spanning(df: DataFrame, text: str = "text") -> DataFrame:
+    """Matches of the patterns that span lines in whole texts: line_number, last_line, rule, severity, cwe_id."""
+    return scan_texts(df, family_rules([*(("AI signature, spanning", p, "INFO", "CWE-1104") for p in SPANNING_SIGNATURES), *(("Insecure default, spanning", p, "MEDIUM", "CWE-1188") for p in SPANNING_DEFAULTS)]), text)
 
 
 def family_hits(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -268,6 +328,47 @@ def txt09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return family_hits(numbered_lines(code_files(spark, sf_dir)).drop("text")).select("path", "line_number", "family", "severity")
 
 
+@query("txt09_family_lines", f"""SELECT {_PATH} AS path, 9 AS line_number, (['Insecure default', 'Hallucinated API', 'AI signature', 'AI CORS'])[p_partkey % 4 + 1] AS family, (['MEDIUM', 'MEDIUM', 'INFO', 'MEDIUM'])[p_partkey % 4 + 1] AS severity, (['CWE-1188', 'CWE-1104', 'CWE-1104', 'CWE-346'])[p_partkey % 4 + 1] AS cwe_id FROM part
+UNION ALL SELECT {_PATH}, 9, 'Insecure default', 'MEDIUM', 'CWE-1188' FROM part WHERE p_partkey % 4 = 1""")
+def txt09_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families of lines over the planted sources, in one pass."""
+    return family_lines(code_files(spark, sf_dir))
+
+
+#: Faults that span lines: the part's key modulo their number says which a file holds, and its size modulo 5 how many lines
+#: stand before it. The second number is the fault's first line after those, the third how many lines before it count too.
+_SPANS = (
+    ("def is_authenticated():\n    return True", 1, 1), ("def is_authenticated():\n    return user.ok", 0, 0), ("# @login_required\ndef view(request):", 1, 1), ("x = 1  # auth_check(user)", 1, 2), ("def auth_middleware(get):\n    pass", 1, 1),
+    ("class AuthMiddleware:\n    def __call__(self, request):\n        return self.get(request)", 1, 0), ("claims = jwt.decode(token, 'secret')", 1, 2), ("def has_permission(user):\n    return True", 1, 1), ("def has_permission(user):\n\n\n    return True", 0, 0), ("if user.name:\n    return True\n# TODO add auth", 1, 0),
+)
+
+
+def spanning_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from the parts, each with one fault, or something like it, that spans lines."""
+    k, before = F.col("p_partkey"), F.repeat(F.lit("import os\n"), (F.col("p_size") % 5).cast("int"))
+    fault = F.element_at(F.array(*(F.lit(f) for f, *_ in _SPANS)), (k % len(_SPANS)).cast("int") + 1)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(before, fault).alias("text"))
+
+
+@query("txt09_placeholder_auth", f"SELECT {_PATH} AS path, cast(p_size % 5 + 1 - b.back as int) AS line_number, 'Placeholder auth' AS family, 'CRITICAL' AS severity, 'CWE-306' AS cwe_id FROM part JOIN (VALUES " + ", ".join(f"({i}, {more})" for i, (_, some, more) in enumerate(_SPANS) if some) + f") f(k, most) ON p_partkey % {len(_SPANS)} = f.k JOIN (VALUES (0), (1), (2)) b(back) ON b.back <= f.most AND b.back <= p_size % 5")
+def txt09_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders of authentication in windows of lines; a window that begins up to two lines before a fault may hold it."""
+    return placeholder_auth(spanning_files(spark, sf_dir))
+
+
+@query("txt09_unhandled_calls", "WITH lines AS (" + LINES_SQL.format(keys="doc_id", text="text", table="documents") + ") SELECT DISTINCT doc_id, line_number, 'Unhandled call' AS family, 'LOW' AS severity, 'CWE-755' AS cwe_id FROM (" + hits_sql(family_rules([("u", p, "LOW", "CWE-755") for p in UNHANDLED]), "lines", "doc_id, line_number") + ")")
+def txt09_unhandled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unhandled_calls(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("txt09_spanning", f"SELECT {_PATH} AS path, cast(p_size % 5 + 1 as int) AS line_number, cast(p_size % 5 + 2 as int) AS last_line, CASE WHEN p_partkey % 3 = 0 THEN 'AI signature, spanning/1' ELSE 'Insecure default, spanning/1' END AS rule, CASE WHEN p_partkey % 3 = 0 THEN 'INFO' ELSE 'MEDIUM' END AS severity, CASE WHEN p_partkey % 3 = 0 THEN 'CWE-1104' ELSE 'CWE-1188' END AS cwe_id FROM part WHERE p_partkey % 3 < 2")
+def txt09_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns over the line ends of whole files."""
+    k, before = F.col("p_partkey"), F.repeat(F.lit("x = 1\n"), (F.col("p_size") % 5).cast("int"))
+    fault = F.when(k % 3 == 0, '"""\n    This function adds.').when(k % 3 == 1, "FROM python:3\nENV A=1; RUN pip install x --no-cache").otherwise("from python:3\n\nRUN pip install x --no-cache")
+    return spanning(table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(before, fault).alias("text")))
+
+
 @query("sec06_call_graph", "SELECT module, count(*) AS files, count(*) FILTER (used) AS used FROM (SELECT m.module, CASE m.module WHEN 'json' THEN p_size % 2 = 0 WHEN 'yaml' THEN p_size % 5 = 0 ELSE false END AS used FROM part, (VALUES ('os'), ('json'), ('pickle'), ('yaml')) m(module) WHERE p_partkey % 11 <> 0) GROUP BY 1")
 def sec06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules, the files that import them and those that use a name of theirs again."""
