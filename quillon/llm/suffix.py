@@ -158,9 +158,12 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     heads = np.flatnonzero(new)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     where = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in a group of several
+    three = n + 1 < 1 << 21  # three ranks fit one key
     while len(where) and h < depth:
         i = order[where]
         pair = rank[i] * (n + 1) + rank[np.minimum(i + h, n - 1)]
+        if three:
+            pair = pair * (n + 1) + rank[np.minimum(i + 2 * h, n - 1)]
         by = np.argsort(pair)
         i, pair = i[by], pair[by]
         order[where] = i
@@ -168,7 +171,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         heads = np.flatnonzero(new)
         rank[i] = np.repeat(where[heads], np.diff(np.append(heads, len(where))))
         where = where[~(new & np.append(new[1:], True))]
-        h *= 2
+        h *= 3 if three else 2
     return order
 
 
