@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
+from quillon.operators.ranges import running
 from quillon.plans.fixtures import EFFORT, SEVERITIES, WEIGHT, agent_runs, as_of, findings, pick, scans, severity_counts, sla_records, sql_pick
 
 LOW = [s.lower() for s in WEIGHT]
@@ -297,8 +298,8 @@ def win06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win08_running_mean", "SELECT agent_name, scan_id, round_even(avg(duration_ms) OVER (PARTITION BY agent_name ORDER BY scan_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM agent_runs")
 def win08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("agent_name").orderBy("scan_id").rowsBetween(Window.unboundedPreceding, 0)
-    return agent_runs(findings(spark, sf_dir)).select("agent_name", "scan_id", F.bround(F.avg("duration_ms").over(w), 4).alias("running"))
+    rows = running(agent_runs(findings(spark, sf_dir)).select("agent_name", "scan_id", "duration_ms"), "agent_name", ["scan_id"], sums=("duration_ms",))
+    return rows.select("agent_name", "scan_id", F.bround(F.col("sum_duration_ms") / F.col("row_no"), 4).alias("running"))
 
 
 @query("win09_last_runs", "SELECT agent_name, scan_id, duration_ms FROM agent_runs QUALIFY row_number() OVER (PARTITION BY agent_name ORDER BY scan_id DESC) <= 100")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
+from quillon.operators.ranges import running
 from quillon.plans.fixtures import audit_log, bus_messages
 
 
@@ -77,10 +78,9 @@ def agg49(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win11_failures", "SELECT event_id, agent_id, CASE WHEN success THEN 0 ELSE row_number() OVER (PARTITION BY agent_id, g ORDER BY event_id) - CASE WHEN g > 0 THEN 1 ELSE 0 END END AS run FROM (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY event_id) AS g FROM bus_messages)")
 def win11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive failures of an agent up to each task; a success starts anew."""
-    w = Window.partitionBy("agent_id").orderBy("event_id")
-    m = bus_messages(spark, sf_dir).withColumn("g", F.sum(F.when(F.col("success"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.row_number().over(Window.partitionBy("agent_id", "g").orderBy("event_id")) - F.when(F.col("g") > 0, 1).otherwise(0)
-    return m.select("event_id", "agent_id", F.when(F.col("success"), 0).otherwise(run).cast("long").alias("run"))
+    rows = running(bus_messages(spark, sf_dir).select("event_id", "agent_id", "success"), "agent_id", ["event_id"], marks=("success",))
+    run = F.col("row_no") - F.coalesce("mark_success", F.lit(0))
+    return rows.select("event_id", "agent_id", F.when(F.col("success"), 0).otherwise(run).cast("long").alias("run"))
 
 
 @query("sec21_permissions", "SELECT c_mktsegment AS role, array_to_string(list_sort(list(DISTINCT CASE c_nationkey % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'scan' WHEN 2 THEN 'triage' ELSE 'admin' END)), ',') AS permissions FROM customer WHERE c_acctbal < 500 GROUP BY 1")

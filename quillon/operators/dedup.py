@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
 from quillon.plans.fixtures import RANK, findings, pick, scans, severity_counts, sql_pick
+from quillon.sources.shared import shared_path
 
 KEY = ("scan_id", "file_path", "line_number", "category")
 #: Points of a representative by confidence and severity.
@@ -135,6 +135,34 @@ def semantic_pairs(found: DataFrame, description: str = "description", least: fl
     return scored.select("scan_id", F.col("xn").alias("a"), F.col("yn").alias("b"), F.bround("v", 6).alias("similarity"))
 
 
+def greedy_leads(pairs: DataFrame, group: str) -> DataFrame:
+    """group, y and lead: what a greedy pass over the nodes in order would take, and the first leader that it takes them for.
+
+    pairs: group, x and y (x before y in order) for each two nodes that are alike. In order, a node that no leader before it
+    is like leads. All is decided in rounds: a node without an earlier neighbour that is still open leads, and takes its
+    later neighbours; what is decided leaves the pairs. So a group of any size is spread over all tasks. The number of
+    rounds is that of leaders along the longest chain of decisions: few for groups of likes, many for a long path.
+    """
+    spark = pairs.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = shared_path(spark, "greedy")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    every = live = kept(pairs.select(group, "x", "y").distinct())
+    taken = None
+    while not live.isEmpty():
+        leads = live.select(group, "x").distinct().join(live.select(group, F.col("y").alias("x")).distinct(), [group, "x"], "left_anti")
+        new = kept(live.join(leads, [group, "x"], "left_semi").select(group, "y").distinct())
+        live = kept(live.join(leads, [group, "x"], "left_anti").join(new, [group, "y"], "left_anti").join(new.select(group, F.col("y").alias("x")), [group, "x"], "left_anti").select(group, "x", "y"))
+        taken = new if taken is None else taken.unionByName(new)
+    if taken is None:
+        return every.select(group, "y", F.col("x").alias("lead"))
+    # what was never taken leads
+    return every.join(taken.select(group, F.col("y").alias("x")), [group, "x"], "left_anti").groupBy(group, "y").agg(F.min("x").alias("lead"))
+
+
 def semantic_groups(found: DataFrame, description: str = "description", order: str = "id", least: float = 0.85) -> DataFrame:
     """scan_id, id, lead and kept of every finding: greedy groups of similar descriptions within a scan.
 
@@ -149,16 +177,8 @@ def semantic_groups(found: DataFrame, description: str = "description", order: s
     nodes = rows.groupBy("scan_id", "n", "alone").agg(F.min(F.struct("o", "id")).alias("first"))
     pairs = _near(nodes.where("alone IS NULL").drop("alone"))
     edges = pairs.where(semantic_similarity(F.col("xn"), F.col("yn")) >= least).select("scan_id", F.col("x.o").alias("xo"), F.col("x.id").alias("x"), F.col("y.o").alias("yo"), F.col("y.id").alias("y"))
-    kind = dict(found.dtypes)["id"]
-
-    def resolve(edge: pd.DataFrame) -> pd.DataFrame:
-        lead: dict = {}
-        for x, y in edge.sort_values(["xo", "x", "yo", "y"])[["x", "y"]].itertuples(index=False):
-            if x not in lead:  # leads its own group, and takes what is in none
-                lead.setdefault(y, x)
-        return pd.DataFrame({"scan_id": edge["scan_id"].iloc[0], "first": list(lead), "lead": list(lead.values())})
-
-    taken = edges.groupBy("scan_id").applyInPandas(resolve, f"scan_id {dict(found.dtypes)['scan_id']}, first {kind}, lead {kind}")
+    pairs = edges.select("scan_id", F.struct(F.col("xo").alias("o"), F.col("x").alias("id")).alias("x"), F.struct(F.col("yo").alias("o"), F.col("y").alias("id")).alias("y"))
+    taken = greedy_leads(pairs, "scan_id").select("scan_id", F.col("y.id").alias("first"), F.col("lead.id").alias("lead"))
     led = nodes.select("scan_id", "n", "alone", F.col("first.id").alias("first")).join(taken, ["scan_id", "first"], "left").withColumn("lead", F.coalesce("lead", "first"))
     both = rows.alias("r").join(led.alias("l"), (F.col("r.scan_id") == F.col("l.scan_id")) & (F.col("r.n") == F.col("l.n")) & F.col("r.alone").eqNullSafe(F.col("l.alone"))).select("r.*", "lead")
     place = F.row_number().over(Window.partitionBy("scan_id", "lead").orderBy(F.desc("points"), "o", "id"))

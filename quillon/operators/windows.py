@@ -11,6 +11,7 @@ from quillon.operators.context import MONEY_WORDS, PII_WORDS, REGULATIONS, produ
 from quillon.operators.risk import ASSET, EPSS_ESTIMATE, KEV, PRIORITIES, band, context_score, prioritised, sql_band, threat_score, with_threat
 from quillon.operators.risk import _PRIORITY as PRIORITY_SQL
 from quillon.operators.triage import ORDER, _TRIAGED as TRIAGED_SQL, escalated, triaged
+from quillon.operators.ranges import ends_of, running
 from quillon.plans.fixtures import CWES, RANK, findings, pick, scans, sql_pick
 from quillon.sources.tables import table
 
@@ -24,14 +25,6 @@ def numbered(df: DataFrame, keys: list[str], *order: Column, to: str = "place")
     return df.withColumn(to, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def parts_of(df: DataFrame, key: str, value: str, pieces: int, *order: Column) -> DataFrame:
-    """key, n, and the mean of the first and of the last floor(n / pieces) values in order; null if there is none."""
-    place = numbered(df.select(key, value, *(o for o in ("end_time", "scan_id") if o in df.columns)), [key], *order)
-    sized = place.join(place.groupBy(key).agg(F.count("*").alias("n")), key)
-    share = F.floor(F.col("n") / pieces)
-    return sized.groupBy(key).agg(F.first("n").alias("n"), F.avg(F.when(F.col("place") <= share, F.col(value))).alias("first_mean"), F.avg(F.when(F.col("place") > F.col("n") - share, F.col(value))).alias("last_mean"))
-
-
 def period(text: Column) -> Column:
     """Days of a period such as 30d, 4w or 3m; null for others."""
     n = F.regexp_extract(text, r"^\s*(\d+)[dwmDWM]\s*$", 1)
@@ -62,13 +55,13 @@ def win01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win02_thirds", f"SELECT name, any_value(n) AS n, round_even(avg(raw_score) FILTER (k <= n // 3), 6) AS first_mean, round_even(avg(raw_score) FILTER (k > n - n // 3), 6) AS last_mean FROM ({_ORDERED}) GROUP BY 1")
 def win02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = parts_of(scans(findings(spark, sf_dir)), "name", "raw_score", 3, F.col("end_time"), F.col("scan_id"))
+    out = ends_of(scans(findings(spark, sf_dir)), "name", "raw_score", 3, ["end_time", "scan_id"])
     return out.select("name", "n", F.bround("first_mean", 6).alias("first_mean"), F.bround("last_mean", 6).alias("last_mean"))
 
 
 @query("win03_halves", f"SELECT name, any_value(n) AS n, round_even(avg(raw_score) FILTER (k <= n // 2), 6) AS first_mean, round_even(avg(raw_score) FILTER (k > n - n // 2), 6) AS last_mean FROM ({_ORDERED}) GROUP BY 1")
 def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = parts_of(scans(findings(spark, sf_dir)), "name", "raw_score", 2, F.col("end_time"), F.col("scan_id"))
+    out = ends_of(scans(findings(spark, sf_dir)), "name", "raw_score", 2, ["end_time", "scan_id"])
     return out.select("name", "n", F.bround("first_mean", 6).alias("first_mean"), F.bround("last_mean", 6).alias("last_mean"))
 
 
@@ -83,8 +76,8 @@ def win04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk (at most 100) against the scan before; first scans have no row."""
     risk = F.least(F.lit(100).cast("long"), "raw_score")
-    prev = F.lag(risk).over(Window.partitionBy("name").orderBy("end_time", "scan_id"))
-    d = scans(findings(spark, sf_dir)).select("scan_id", (risk - prev).alias("delta")).where("delta IS NOT NULL")
+    rows = running(scans(findings(spark, sf_dir)).select("scan_id", "name", "end_time", risk.alias("risk")), "name", ["end_time", "scan_id"], previous=("risk",))
+    d = rows.select("scan_id", (F.col("risk") - F.col("previous_risk")).alias("delta")).where("delta IS NOT NULL")
     return d.withColumn("trend", F.when(F.col("delta") > 5, "worsening").when(F.col("delta") < -5, "improving").otherwise("stable"))
 
 
