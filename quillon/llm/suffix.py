@@ -21,7 +21,7 @@ two 64-bit hashes of its doc_id and text, so rows without a doc_id, or of one do
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; a text of a repeated row is a repeated string;
 matches never cross documents; a byte-wise cut may leave text that is no valid UTF-8, so results are bytes or digests,
-and the column text_without_passages has a replacement character there; an empty table gives no rows; extra columns are not read.
+and the column text has a replacement character there; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,6 +187,9 @@ def repeated_places(symbols: np.ndarray, length: int, owner: np.ndarray | None =
     before[order == 0] = 0
     lf = np.empty(n, np.int64)
     lf[np.argsort(before, kind="stable")] = np.arange(n)
+    lf[before == 0] = -1  # nothing goes on before a separator
+    first = symbols[order].astype(before.dtype)  # ascends
+    shift = n.bit_length()
     known = np.zeros(n + 1, bool)  # whether the common prefix with the suffix before is found yet
     counts = np.bincount(symbols, minlength=sigma)
     ends, m = np.cumsum(counts), int(counts[0])
@@ -200,12 +204,13 @@ def repeated_places(symbols: np.ndarray, length: int, owner: np.ndarray | None =
         width = hi - lo
         total = np.cumsum(width)
         at = np.arange(total[-1]) + np.repeat(lo - (total - width), width)
-        c = before[at]
-        by = np.argsort(c, kind="stable")[np.count_nonzero(c == 0) :]  # the intervals ascend, so this is the order of the places
-        if not len(by):
+        # where each place goes, with its interval; the places of one symbol keep their order, so sorting gives new intervals
+        key = np.sort(lf[at] << shift | np.repeat(np.arange(len(lo)), width))
+        key = key[np.searchsorted(key, 0) :]
+        if not len(key):
             break
-        place, group = lf[at[by]], np.repeat(np.arange(len(lo)), width)[by] * sigma + c[by]
-        edge = np.flatnonzero(group[1:] != group[:-1])
+        place, group = key >> shift, key & ((1 << shift) - 1)
+        edge = np.flatnonzero((group[1:] != group[:-1]) | (first[place[1:]] != first[place[:-1]]))
         new_lo, new_hi = place[np.append(0, edge + 1)], place[np.append(edge, len(place) - 1)] + 1
         fresh = ~known[new_hi]
         lo, hi = new_lo[fresh], new_hi[fresh]
@@ -269,8 +274,8 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = K,
                     found, lo, hi = stretches(units, lengths[u], part)
                     content = memoryview(raw if u == 0 else hashes.tobytes())
                     step = 1 if u == 0 else 8
-                    digests = [hashlib.blake2b(content[a * step : (b + lengths[u]) * step], digest_size=8).digest() for a, b in zip(lo.tolist(), hi.tolist())]
-                    for c, v in zip(columns, ((found & ~1) | u, np.frombuffer(b"".join(digests), "<i8"), np.full(len(lo), doc), np.full(len(lo), mark), lo.astype(np.int32), hi.astype(np.int32))):
+                    digests = np.array([xxhash.xxh3_64_intdigest(content[a:b]) for a, b in zip((lo * step).tolist(), ((hi + lengths[u]) * step).tolist())], np.uint64)
+                    for c, v in zip(columns, ((found & ~1) | u, digests.view(np.int64), np.full(len(lo), doc), np.full(len(lo), mark), lo.astype(np.int32), hi.astype(np.int32))):
                         c.append(v)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "digest", "doc", "mark", "lo", "hi"])
@@ -381,10 +386,10 @@ def _without(raw: bytes, cuts: list[list[int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, kept: bool = False, **more: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and, if asked for, kept (the bytes that stay) and text_without_passages (what stays without the passages too) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and, if asked for, kept (the bytes that stay, which kept_sha256 digests) and text (what stays of them without the passages too) of every row."""
     found = spans(docs, text, length, **more).groupBy("doc", "mark").agg(F.collect_set(F.struct("unit", "start", "end")).alias("spans"))
     joined = _keyed(docs, text).join(found, ["doc", "mark"], "left").select("doc_id", "text", F.array_sort("spans").alias("spans"))
-    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passages": pa.int64(), "n_passage_words": pa.int64()} | ({"kept": pa.binary(), "text_without_passages": pa.string()} if kept else {})
+    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passages": pa.int64(), "n_passage_words": pa.int64()} | ({"kept": pa.binary(), "text": pa.string()} if kept else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,4 +404,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
                 out.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types.values())], names=list(types))
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary, text_without_passages string" * kept)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary, text string" * kept)
