@@ -88,14 +88,11 @@ def _words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    # a word's bytes by powers of a multiplier, which begin anew every 256 bytes; the hash depends on the word alone
-    lengths = ends - starts
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    value = _BYTES[flat[~space[1:-1]]] * _powers(257, 0)[0][place & 255]
-    far = np.flatnonzero(place > 255)
-    value[far] = _mix(value[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(_G))
-    h = np.add.reduceat(value, np.cumsum(lengths) - lengths)
-    return _mix(h + lengths.astype(np.uint64) * np.uint64(_G)), starts, ends
+    # a word's bytes by powers of a multiplier, from the sums before and behind it; the hash depends on the word alone
+    p, q = _powers(len(flat) + 1, 0)
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_BYTES[flat] * p[: len(flat)], out=total[1:])
+    return _mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * np.uint64(_G)), starts, ends
 
 
 def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,16 +152,17 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     alone = np.flatnonzero(short)
     order[alone] = order[alone][np.lexsort((order[alone], key[alone]))]
     new = np.r_[True, (key[1:] != key[:-1]) | short[1:] | short[:-1]]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)  # half the memory that is looked up at random
     heads = np.flatnonzero(new)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     where = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in a group of several
     three = n + 1 < 1 << 21  # three ranks fit one key
     while len(where) and h < depth:
         i = order[where]
-        pair = rank[i] * (n + 1) + rank[np.minimum(i + h, n - 1)]
-        if three:
-            pair = pair * (n + 1) + rank[np.minimum(i + 2 * h, n - 1)]
+        pair = rank[i].astype(np.int64)
+        for step in (h, 2 * h)[: 2 if three else 1]:
+            pair *= n + 1
+            pair += rank[np.minimum(i + step, n - 1)]
         by = np.argsort(pair)
         i, pair = i[by], pair[by]
         order[where] = i
