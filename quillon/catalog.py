@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.plans.fixtures import TABLES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [f"quillon.{name}" for name in ("operators.dedup", "operators.filters", "operators.aggregates", "operators.risk", "operators.sla", "operators.triage", "operators.governance", "operators.joins", "operators.audit", "operators.exports", "operators.detectors", "operators.scan", "operators.taint", "operators.extents", "operators.blocks", "operators.policy", "operators.context", "operators.windows", "operators.syntax", "operators.projects", "sources.readers", "sources.tools", "sources.stores", "functions.scalars", "streaming.queries")]
+MODULES = [f"quillon.{name}" for name in ("operators.dedup", "operators.filters", "operators.aggregates", "operators.risk", "operators.sla", "operators.triage", "operators.governance", "operators.joins", "operators.audit", "operators.exports", "operators.detectors", "operators.scan", "operators.taint", "operators.extents", "operators.blocks", "operators.imports", "operators.policy", "operators.context", "operators.windows", "operators.syntax", "operators.projects", "sources.readers", "sources.tools", "sources.stores", "sources.policy_versions", "functions.scalars", "streaming.queries", "streaming.timers")]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

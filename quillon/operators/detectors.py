@@ -34,6 +34,13 @@ SINKS = {"eval": "CWE-94", "exec": "CWE-94", "system": "CWE-78", "execute": "CWE
 FIXES = ((r"\bverify\s*=\s*False", "verify=True"), (r"\bhashlib\.(md5|sha1)\(", "hashlib.sha256("), (r"\byaml\.load\(", "yaml.safe_load("), (r"(?i)\bdebug\s*=\s*True", "debug=False"), (r"\beval\(", "ast.literal_eval("), (r"shell\s*=\s*True", "shell=False"))
 #: Replacements of mutation testing.
 MUTATIONS = (("==", "!="), ("!=", "=="), (" < ", " >= "), (" > ", " <= "), (" and ", " or "), (" or ", " and "), (" + ", " - "), (" - ", " + "), ("True", "False"), ("False", "True"), (" is ", " is not "), (" not ", " "))
+# Mutation operators of Python by kind, what is replaced and by what.
+MUTATION_KINDS = {
+    "arithmetic": ((" + ", " - "), (" - ", " + "), (" * ", " // "), (" // ", " * ")),
+    "comparison": ((" == ", " != "), (" != ", " == "), (" > ", " < "), (" < ", " > "), (" >= ", " <= "), (" <= ", " >= ")),
+    "boolean": ((" and ", " or "), (" or ", " and "), ("True", "False"), ("False", "True")),
+    "constant": (("return 1", "return 0"), ("return 0", "return 1"), ("return True", "return False"), ("return False", "return True"), ("return None", "return 'mutated'")),
+}
 
 
 def line_hits(lines: DataFrame, patterns: tuple[tuple[str, str, str, str], ...] = PATTERNS, line: str = "line") -> DataFrame:
@@ -95,6 +102,24 @@ def mutants(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select("*", F.explode(each).alias("m")).select(*lines.columns, "m.*")
 
 
+def first_mutants(lines: DataFrame, line: str = "line") -> DataFrame:
+    """mutation_type, original_code and mutated_code of every operator that applies to a line: its first occurrence there is replaced.
+
+    Comment lines are left alone, and lines that hold an odd number of both kinds of quotes; an operator has to stand in the
+    line without the white space around it.
+    """
+    at, bare = F.col(line), F.trim(F.translate(line, "\t\r", "  "))
+    odd = lambda q: (F.length(bare) - F.length(F.replace(bare, F.lit(q), F.lit("")))) % 2 == 1
+    safe = ~bare.startswith("#") & ~(odd('"') & odd("'"))
+
+    def replaced(a: str, b: str) -> Column:
+        p = F.instr(at, a)
+        return F.concat(F.substring(at, F.lit(1), p - 1), F.lit(b), F.substring(at, p + len(a), F.length(at)))
+
+    each = [F.when(bare.contains(a), F.struct(F.lit(kind).alias("mutation_type"), bare.alias("original_code"), F.trim(F.translate(replaced(a, b), "\t\r", "  ")).alias("mutated_code"))) for kind, pairs in MUTATION_KINDS.items() for a, b in pairs]
+    return lines.where(safe).select("*", F.explode(F.array_compact(F.array(*each))).alias("m")).drop(line).select("*", "m.*").drop("m")
+
+
 def _name(node: ast.AST) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else _name(node.func) if isinstance(node, ast.Call) else _name(node.value) if isinstance(node, (ast.Subscript, ast.Starred)) else ""
 
@@ -232,6 +257,25 @@ def txt16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutants(numbered_lines(sources(spark, sf_dir)).drop("text")).select("path", "line_number", "operator", "mutant")
 
 
+def _first_mutants_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    bare = lambda x: f"trim(translate({x}, chr(9) || chr(13), '  '))"
+    quotes = lambda c: f"(length(line) - length(replace(line, chr({c}), ''))) % 2"
+    rows = []
+    for kind, pairs in MUTATION_KINDS.items():
+        for a, b in pairs:
+            mutated = f"line[:strpos(line, {q(a)}) - 1] || {q(b)} || line[strpos(line, {q(a)}) + {len(a)}:]"
+            rows.append(f"SELECT doc_id, line_number, '{kind}' AS mutation_type, bare AS original_code, {bare(mutated)} AS mutated_code FROM lines WHERE contains(bare, {q(a)})")
+    every = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, cast(generate_subscripts(string_split(text, chr(10)), 1) as int) AS line_number FROM documents"
+    return f"WITH every AS ({every}), lines AS (SELECT *, {bare('line')} AS bare FROM every WHERE NOT starts_with({bare('line')}, '#') AND {quotes(34)} + {quotes(39)} < 2) " + " UNION ALL ".join(rows)
+
+
+@query("txt16_first_mutants", _first_mutants_sql())
+def txt16_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mutation operators over the lines of the documents."""
+    return first_mutants(numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
 @query("txt11_dockerfiles", "SELECT p_brand AS path, list_contains(list(p_size % 2 = 0), true) AS latest FROM part GROUP BY 1")
 def txt11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dockerfiles made from the parts: an even size pins no tag."""

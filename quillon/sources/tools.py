@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.catalog import query
 from quillon.plans.fixtures import findings
-from quillon.sources.readers import cvss_band_closed, level_of, masked_secret
+from quillon.sources.readers import cvss_band_closed, level_of, masked_secret, semgrep_findings
 from quillon.sources.tables import table
 
 COLUMNS = ("tool_source", "rule", "file_path", "line_number", "severity", "message", "cwe_id")
@@ -127,6 +127,53 @@ def src09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bandit(raw).groupBy("tool_source", "severity").agg(F.count("*").alias("n"))
 
 
+_ALL_TOOLS = ("bandit", "eslint", "pylint", "pmd", "gitleaks", "dependency_check", "semgrep")
+_SPOKEN = {  # a finding's severity as each tool puts it, as an expression and as what its parser makes of that
+    "bandit": ("severity", "severity"), "eslint": ("CASE severity WHEN 'CRITICAL' THEN 2 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END", "CASE severity WHEN 'CRITICAL' THEN 'HIGH' WHEN 'HIGH' THEN 'HIGH' WHEN 'MEDIUM' THEN 'MEDIUM' ELSE 'INFO' END"),
+    "pylint": ("CASE severity WHEN 'CRITICAL' THEN 'fatal' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'refactor' ELSE 'convention' END", "severity"), "pmd": ("CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 4 ELSE 5 END", "severity"),
+    "gitleaks": ("severity", "'CRITICAL'"), "dependency_check": ("CASE severity WHEN 'CRITICAL' THEN 9.5D WHEN 'HIGH' THEN 7.5D WHEN 'MEDIUM' THEN 5.0D WHEN 'LOW' THEN 2.0D ELSE 0.0D END", "severity"), "semgrep": ("CASE severity WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'HIGH' THEN 'ERROR' WHEN 'MEDIUM' THEN 'WARNING' WHEN 'LOW' THEN 'NOTE' ELSE 'INFO' END", "severity"),
+}
+
+
+def tool_outputs(found: DataFrame) -> DataFrame:
+    """scan_id, tool and json: a scan's findings as the outputs of seven tools, which take them by turns of the line number."""
+    level = F.expr("CASE line_number % 7 " + " ".join(f"WHEN {i} THEN cast({_SPOKEN[t][0]} AS string)" for i, t in enumerate(_ALL_TOOLS)) + " END")
+    rows = found.select("scan_id", "id", "file_path", "line_number", "category", level.alias("level"), F.element_at(F.array(*map(F.lit, _ALL_TOOLS)), F.col("line_number") % 7 + 1).alias("tool"))
+    number = F.col("level").cast("int")
+    item = {
+        "bandit": F.struct(F.col("category").alias("test_id"), F.col("file_path").alias("filename"), "line_number", F.col("level").alias("issue_severity"), F.col("id").alias("issue_text")),
+        "eslint": F.struct(F.col("file_path").alias("filePath"), F.array(F.struct(F.col("category").alias("ruleId"), number.alias("severity"), F.col("id").alias("message"), F.col("line_number").alias("line"))).alias("messages")),
+        "pylint": F.struct(F.col("level").alias("type"), F.col("category").alias("symbol"), F.col("file_path").alias("path"), F.col("line_number").alias("line"), F.col("id").alias("message")),
+        "pmd": F.struct(F.col("file_path").alias("filename"), F.array(F.struct(F.col("line_number").alias("beginline"), F.col("category").alias("rule"), number.alias("priority"), F.col("id").alias("description"))).alias("violations")),
+        "gitleaks": F.struct(F.col("category").alias("RuleID"), F.col("file_path").alias("File"), F.col("line_number").alias("StartLine"), F.col("id").alias("Secret")),
+        "dependency_check": F.struct(F.col("file_path").alias("fileName"), F.array(F.struct(F.col("category").alias("name"), F.col("id").alias("description"), F.struct(F.col("level").cast("double").alias("baseScore")).alias("cvssv3"))).alias("vulnerabilities")),
+        "semgrep": F.struct(F.col("category").alias("check_id"), F.col("file_path").alias("path"), F.struct(F.col("line_number").alias("line")).alias("start"), F.struct(F.col("id").alias("message"), F.col("level").alias("severity")).alias("extra")),
+    }
+    wrapped = {"bandit": "results", "pmd": "files", "dependency_check": "dependencies", "semgrep": "results"}
+    out = None
+    for tool in _ALL_TOOLS:
+        items = F.collect_list(item[tool])  # a tool writes one document for each scan
+        own = rows.where(F.col("tool") == tool).groupBy("scan_id", "tool").agg(F.to_json(F.struct(items.alias(wrapped[tool])) if tool in wrapped else items).alias("json"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def all_findings(outputs: DataFrame) -> DataFrame:
+    """The common columns of every finding in outputs of any of the seven tools."""
+    own = lambda t: outputs.where(F.col("tool") == t)
+    semgrep = semgrep_findings(own("semgrep"))
+    out = semgrep.select(F.lit("semgrep").alias("tool_source"), F.col("check_id").alias("rule"), "file_path", "line_number", "severity", F.col("category").alias("message"), "cwe_id")
+    for tool, parser in (("bandit", bandit), ("eslint", eslint), ("pylint", pylint), ("pmd", pmd), ("gitleaks", gitleaks), ("dependency_check", dependency_check)):
+        out = out.unionByName(parser(own(tool)))
+    return out
+
+
+@query("src09_all_tools", " UNION ALL ".join(f"SELECT '{t}' AS tool_source, category AS rule, {_SPOKEN[t][1]} AS severity, count(*) AS n, count(DISTINCT file_path) AS files FROM findings WHERE line_number % 7 = {i} GROUP BY ALL" for i, t in enumerate(_ALL_TOOLS)))
+def src09_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written as the documents of seven tools and parsed again."""
+    return all_findings(tool_outputs(findings(spark, sf_dir))).groupBy("tool_source", "rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
 @query("src15_lock_files", "SELECT p_brand AS project, count(*) AS dependencies, count(DISTINCT p_size) AS versions FROM part GROUP BY 1")
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as requirements files, one for each brand, and parsed again."""
