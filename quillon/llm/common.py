@@ -34,6 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI of the file system that Spark would read it by, for writers that do not go through Spark; a bare path belongs to the cluster's default one."""
+    if "://" not in path and not path.startswith("file:"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return path if "://" in path else path.replace("file:", "file://", 1)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system; a stopped session is ignored."""
     try:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import drop_written, new_path, pieces, small_batches, written
+from quillon.llm.common import drop_written, new_path, pieces, qualified, small_batches, written
 
 MAGIC = int.from_bytes(b"QTOK0002", "little")
 HEADER = "<7Q"
@@ -222,6 +222,7 @@ def ranking(tokens: DataFrame) -> tuple[np.ndarray, int]:
 
 def write_files(tokens: DataFrame, to: str) -> DataFrame:
     """Write the token table as files under to; the written index: partition, path, docs, ids of each file."""
+    to = qualified(tokens.sparkSession, to)
     by_rank, total = ranking(tokens)
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -273,7 +274,7 @@ def put(to: str, name: str, content: bytes) -> None:
 
     from pyarrow import fs
 
-    system, base = fs.FileSystem.from_uri(to if "://" in to or to.startswith("file:") else f"file://{to}")
+    system, base = fs.FileSystem.from_uri(to)
     system.create_dir(base, recursive=True)
     temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(temporary) as f:
@@ -285,14 +286,14 @@ def get(at: str, name: str) -> bytes:
     """One file's content."""
     from pyarrow import fs
 
-    system, base = fs.FileSystem.from_uri(at if "://" in at or at.startswith("file:") else f"file://{at}")
+    system, base = fs.FileSystem.from_uri(at)
     with system.open_input_stream(f"{base}/{name}") as f:
         return f.read()
 
 
 def read_files(index: DataFrame, at: str, ids: bool = False) -> DataFrame:
     """The documents of the files in the index: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (packed unsigned 32-bit)."""
-    spark = index.sparkSession
+    spark, at = index.sparkSession, qualified(index.sparkSession, at)
     # one row for each 16 million ids: running sums of these are small enough for one task
     sums = index.groupBy("part").agg(F.sum("n").alias("n"))
     bases = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
