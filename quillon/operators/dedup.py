@@ -112,26 +112,56 @@ def dup04_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("v", semantic_similarity(F.col("x"), F.col("y"))).where("v >= 0.15").select("a", "b", F.bround("v", 6).alias("similarity"))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Texts of at most SHORT tokens meet by three of their rarest tokens, longer ones by one.
+SHORT = 24
+
+
 def _near(nodes: DataFrame) -> DataFrame:
-    """scan_id, x, y, xn and yn: pairs (x before y, by first) of different texts n that may be 0.85 similar.
+    """scan_id, x, y, xn and yn: pairs (x before y, by first) of different texts n that may be 0.85 similar, each pair once.
 
-    Such texts share 3/4 of their tokens and 5/8 of their lengths, so that one of the first tokens of each (the rarest of
-    the scan come first) is shared; common tokens meet only where a text has few others.
+    Such texts share 3/4 of all their tokens and 5/8 of their lengths. Of two with s and t tokens at least o = 3/7 (s + t)
+    are shared, so that m of the first s - o + m of one (the rarest of the scan come first) are among the first t - o + m
+    of the other. Three tokens are seldom shared by texts that are not alike, where one, the name of a tool say, often is.
     """
     words = nodes.select("scan_id", "n", "first", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
     often = words.groupBy("scan_id", "w").agg(F.count("*").alias("often"))
     ranked = words.join(often, ["scan_id", "w"]).groupBy("scan_id", "n", "first").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("ws"))
-    size = F.size("ws")
-    some = ranked.select("scan_id", "n", "first", F.explode(F.slice("ws", F.lit(1), size - F.ceil(size * 0.75 - 1e-9).cast("int") + 1)).alias("x")).select("scan_id", "n", "first", F.col("x.w").alias("w"))
-    a, b = some.alias("a"), some.alias("b")
-    near = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & (8 * F.least(F.length("a.n"), F.length("b.n")) >= 5 * F.greatest(F.length("a.n"), F.length("b.n")))
-    return a.join(b, near).select("a.scan_id", F.col("a.first").alias("x"), F.col("b.first").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")).distinct()
+    ranked = kept(ranked.select("scan_id", "n", "first", F.col("ws.w").alias("ws"), F.size("ws").alias("size")), "ranked")
+
+    def meeting(some: DataFrame, m: Column, more: Column) -> DataFrame:
+        a, b = some.alias("a"), some.alias("b")
+        near = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & (8 * F.least(F.length("a.n"), F.length("b.n")) >= 5 * F.greatest(F.length("a.n"), F.length("b.n"))) & more
+        # a pair meets at each choice of shared tokens, and is taken at the first one
+        first = F.array_join(F.slice(F.array_intersect("a.p", "b.p"), F.lit(1), m), " ") == F.col("a.w")
+        return a.hint("merge").join(b, near & first).select("a.scan_id", F.col("a.first").alias("x"), F.col("b.first").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn"))
+
+    # short texts: once for each number of tokens that a similar one may have
+    sized = ranked.where(F.col("size") <= SHORT).withColumn("of", F.explode(F.expr(f"sequence((3 * size + 3) div 4, least(4 * size div 3, {SHORT}))").cast("array<int>")))
+    sized = sized.withColumn("o", F.expr("int((3 * (size + of) + 6) div 7)")).where("o <= least(size, of)").withColumn("p", F.slice("ws", F.lit(1), F.col("size") - F.col("o") + F.least(F.lit(3), "o")))
+    threes = "IF(o < 3, array(array_join(p, ' ')), flatten(transform(sequence(1, size(p) - 2), i -> flatten(transform(sequence(i + 1, size(p) - 1), j -> transform(sequence(j + 1, size(p)), k -> concat_ws(' ', p[i - 1], p[j - 1], p[k - 1])))))))"
+    sized = sized.select("scan_id", "n", "first", "size", "of", "p", F.explode(F.expr(threes)).alias("w"))
+    short = meeting(sized, F.lit(3), (F.col("a.size") == F.col("b.of")) & (F.col("a.of") == F.col("b.size")))
+    # with more than SHORT tokens on one side there are at least 3/4 as many on the other
+    some = ranked.where(F.col("size") > SHORT * 3 // 4).withColumn("p", F.slice("ws", F.lit(1), F.floor(F.col("size") / 4).cast("int") + 1)).select("scan_id", "n", "first", "size", "p", F.explode("p").alias("w"))
+    return short.unionByName(meeting(some, F.lit(1), (F.greatest("a.size", "b.size") > SHORT) & (4 * F.least("a.size", "b.size") >= 3 * F.greatest("a.size", "b.size"))))
+
+
+def _alike(x: Column, y: Column, least: float) -> Column:
+    """Whether two texts are so similar; the tokens are compared first, as they rule out most."""
+    return (jaccard(x, y) >= (least - 0.4) / 0.6 - 1e-9) & (semantic_similarity(x, y) >= least)
 
 
 def semantic_pairs(found: DataFrame, description: str = "description", least: float = 0.85) -> DataFrame:
     """scan_id, a, b and similarity of the pairs of different normalised descriptions of a scan that are at least so similar."""
     nodes = found.select("scan_id", F.trim(normalised(F.col(description))).alias("n")).where("n <> ''").distinct().withColumn("first", F.col("n"))
-    scored = _near(nodes).withColumn("v", semantic_similarity(F.col("xn"), F.col("yn"))).where(F.col("v") >= least)
+    scored = _near(nodes).where(_alike(F.col("xn"), F.col("yn"), least)).withColumn("v", semantic_similarity(F.col("xn"), F.col("yn")))
     return scored.select("scan_id", F.col("xn").alias("a"), F.col("yn").alias("b"), F.bround("v", 6).alias("similarity"))
 
 
@@ -143,19 +173,12 @@ def greedy_leads(pairs: DataFrame, group: str) -> DataFrame:
     later neighbours; what is decided leaves the pairs. So a group of any size is spread over all tasks. The number of
     rounds is that of leaders along the longest chain of decisions: few for groups of likes, many for a long path.
     """
-    spark = pairs.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = shared_path(spark, "greedy")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    every = live = kept(pairs.select(group, "x", "y").distinct())
+    every = live = kept(pairs.select(group, "x", "y").distinct(), "greedy")
     taken = None
     while not live.isEmpty():
         leads = live.select(group, "x").distinct().join(live.select(group, F.col("y").alias("x")).distinct(), [group, "x"], "left_anti")
-        new = kept(live.join(leads, [group, "x"], "left_semi").select(group, "y").distinct())
-        live = kept(live.join(leads, [group, "x"], "left_anti").join(new, [group, "y"], "left_anti").join(new.select(group, F.col("y").alias("x")), [group, "x"], "left_anti").select(group, "x", "y"))
+        new = kept(live.join(leads, [group, "x"], "left_semi").select(group, "y").distinct(), "greedy")
+        live = kept(live.join(leads, [group, "x"], "left_anti").join(new, [group, "y"], "left_anti").join(new.select(group, F.col("y").alias("x")), [group, "x"], "left_anti").select(group, "x", "y"), "greedy")
         taken = new if taken is None else taken.unionByName(new)
     if taken is None:
         return every.select(group, "y", F.col("x").alias("lead"))
@@ -174,9 +197,9 @@ def semantic_groups(found: DataFrame, description: str = "description", order: s
     rows = found.select("scan_id", "id", F.col(order).alias("o"), best_points().alias("points"), F.coalesce(normalised(F.col(description)), F.lit("")).alias("n"))
     # texts without tokens are like no other, not even an equal one
     rows = rows.withColumn("n", F.trim("n")).withColumn("alone", F.when(F.col("n") == "", F.col("id")))
-    nodes = rows.groupBy("scan_id", "n", "alone").agg(F.min(F.struct("o", "id")).alias("first"))
+    nodes = kept(rows.groupBy("scan_id", "n", "alone").agg(F.min(F.struct("o", "id")).alias("first")), "nodes")
     pairs = _near(nodes.where("alone IS NULL").drop("alone"))
-    edges = pairs.where(semantic_similarity(F.col("xn"), F.col("yn")) >= least).select("scan_id", F.col("x.o").alias("xo"), F.col("x.id").alias("x"), F.col("y.o").alias("yo"), F.col("y.id").alias("y"))
+    edges = pairs.where(_alike(F.col("xn"), F.col("yn"), least)).select("scan_id", F.col("x.o").alias("xo"), F.col("x.id").alias("x"), F.col("y.o").alias("yo"), F.col("y.id").alias("y"))
     pairs = edges.select("scan_id", F.struct(F.col("xo").alias("o"), F.col("x").alias("id")).alias("x"), F.struct(F.col("yo").alias("o"), F.col("y").alias("id")).alias("y"))
     taken = greedy_leads(pairs, "scan_id").select("scan_id", F.col("y.id").alias("first"), F.col("lead.id").alias("lead"))
     led = nodes.select("scan_id", "n", "alone", F.col("first.id").alias("first")).join(taken, ["scan_id", "first"], "left").withColumn("lead", F.coalesce("lead", "first"))

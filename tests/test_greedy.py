@@ -33,3 +33,30 @@ def test_paths_stars_and_nothing(spark):
     got = dedup.greedy_leads(spark.createDataFrame(path, "g string, x int, y int"), "g")
     assert sorted(tuple(r) for r in got.collect()) == sequential(path)
     assert dedup.greedy_leads(spark.createDataFrame([], "g string, x int, y int"), "g").count() == 0
+
+
+def test_texts_that_differ_in_few_words_do_not_all_meet(spark):
+    kinds, tools, places = ("sql injection", "xss", "weak crypto", "cors"), ("semgrep", "bandit", "gitleaks", "dast"), [f"{a} {b}" for a in ("srcold", "srcnew", "srchot", "srcred") for b in ("boltpy", "ringpy", "gearpy", "platepy")]
+    texts = [f"possible {k} found by {t} in {p}" for k in kinds for t in tools for p in places]
+    nodes = spark.createDataFrame([("s", t, t) for t in texts], "scan_id string, n string, first string")
+    assert dedup._near(nodes).count() < len(texts) * 8
+
+
+def test_pairs_of_all_lengths_against_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    texts = set()
+    for size in (1, 2, 3, 4, 5, 7, 8, 9, 12, 17, 18, 19, 23, 24, 25, 26, 33, 40):
+        words = [f"word{rng.randrange(60)}" for _ in range(size)]
+        texts.add(" ".join(words))
+        for _ in range(6):
+            other = [w if rng.random() > 1.2 / size else w + rng.choice("abc") for w in words]
+            texts.add(" ".join(other + ["more"] * rng.randrange(2) if rng.random() < 0.5 else other[:-1] or other))
+            texts.add(" ".join(rng.sample(words, size)))
+    df = spark.createDataFrame([("s", t) for t in sorted(texts)], "scan_id string, description string")
+    a, b = df.select(F.col("description").alias("a")), df.select(F.col("description").alias("b"))
+    want = a.join(b, F.col("a") < F.col("b")).where(dedup.semantic_similarity(F.col("a"), F.col("b")) >= 0.85)
+    got = dedup.semantic_pairs(df).select("a", "b")
+    assert want.count() > 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
