@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.catalog import query
 from quillon.sources.readers import numbered_lines
+from quillon.sources.shared import kept
 from quillon.sources.tables import table
 
 # Severity and weakness of every policy.
@@ -154,14 +155,18 @@ def _each(checks: dict[str, Column]) -> Column:
 
 
 def kubernetes_findings(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Findings of Kubernetes manifests; a file holds any number of documents."""
-    rows = yaml_paths(df, key, text)
+    """Findings of Kubernetes manifests; a file holds any number of documents.
+
+    Texts are read once. Documents, pods and containers grow with the files, so their joins are merges: the size of a file
+    says little about the rows made of it, and a join planned by it would send them all through the driver.
+    """
+    rows = kept(yaml_paths(df, key, text), "yaml")
     doc = [key, "doc"]
     value_at = lambda p: F.max(F.when(F.col("at") == p, F.col("value")))
     heads = rows.groupBy(*doc).agg(value_at("kind").alias("kind"), value_at("metadata.name").alias("name"), F.bool_or(F.col("at").rlike(r"^spec\.template(\.|$)")).alias("templated"), F.bool_or((F.col("at") == "automountServiceAccountToken") & ~truthy()).alias("unmounted"))
     heads = heads.withColumn("name", F.coalesce("name", F.concat(F.lit("doc-"), F.col("doc").cast("string"))))
     inner = F.when(F.col("templated") & F.col("at").startswith("spec.template.spec."), F.expr("substring(at, 20)")).when(~F.col("templated") & (F.col("kind") == "Pod") & F.col("at").startswith("spec."), F.expr("substring(at, 6)"))
-    spec = rows.join(heads.where(F.col("kind").isin(*WORKLOADS)), doc).withColumn("rel", inner).where("rel IS NOT NULL")
+    spec = kept(rows.hint("merge").join(heads.where(F.col("kind").isin(*WORKLOADS)), doc).withColumn("rel", inner).where("rel IS NOT NULL").select(*doc, "kind", "name", "rel", "value", "quoted"), "spec")
     is_on = lambda p: F.coalesce(F.bool_or((F.col("rel") == p) & truthy()), F.lit(False))
     has = lambda p: F.coalesce(F.bool_or((F.col("rel") == p) & F.col("value").isNotNull()), F.lit(False))
     pods = spec.groupBy(*doc).agg(is_on("hostNetwork").alias("network"), is_on("hostPID").alias("pid"), is_on("hostIPC").alias("ipc"), has("securityContext.runAsNonRoot").alias("pod_user"))
@@ -171,12 +176,12 @@ def kubernetes_findings(df: DataFrame, key: str = "path", text: str = "text") ->
     containers = inside.groupBy(*one, "kind", "name").agg(F.coalesce(F.max(F.when(F.col("rel") == "name", F.col("value"))), F.lit("unknown")).alias("container"), is_on("securityContext.privileged").alias("privileged"), has("securityContext.runAsNonRoot").alias("user"), is_on("resources.limits.memory").alias("memory"), is_on("resources.limits.cpu").alias("cpu"), is_on("securityContext.readOnlyRootFilesystem").alias("read_only"))
     resource = F.concat_ws("/", "kind", "name", "container")
     checks = {"CKV_K8S_1": F.col("privileged"), "CKV_K8S_2": F.col("network"), "CKV_K8S_3": F.col("pid"), "CKV_K8S_4": F.col("ipc"), "CKV_K8S_5": ~F.col("user") & ~F.col("pod_user"), "CKV_K8S_6": ~F.col("memory") | ~F.col("cpu"), "CKV_K8S_7": ~F.col("read_only")}
-    of_containers = containers.join(pods, doc).select(key, _each(checks).alias("policy"), resource.alias("resource"))
+    of_containers = containers.hint("merge").join(pods, doc).select(key, _each(checks).alias("policy"), resource.alias("resource"))
     setting = r"^env\.(\d+)\.(name|value)$"
     env = inside.withColumn("env", F.regexp_extract("rel", setting, 1)).where("env <> ''").groupBy(*one, "env").agg(*(F.coalesce(F.max(F.when(F.regexp_extract("rel", setting, 2) == k, F.col("value"))), F.lit("")).alias(f"env_{k}") for k in ("name", "value")))
-    of_env = env.where(_secret(F.concat_ws("=", "env_name", "env_value"))).join(containers, one).select(key, F.lit("CKV_K8S_8").alias("policy"), F.concat_ws("/env/", resource, "env_name").alias("resource"))
+    of_env = env.where(_secret(F.concat_ws("=", "env_name", "env_value"))).hint("merge").join(containers, one).select(key, F.lit("CKV_K8S_8").alias("policy"), F.concat_ws("/env/", resource, "env_name").alias("resource"))
     wild = rows.where("value = '*'").select(*doc, F.regexp_extract("at", r"^rules\.(\d+)\.(apiGroups|resources|verbs)\.\d+$", 1).alias("no"), F.regexp_extract("at", r"^rules\.\d+\.(\w+)\.", 1).alias("field")).where("no <> ''").groupBy(*doc, "no").agg(F.count_distinct("field").alias("n")).where("n = 3")
-    of_roles = wild.join(heads.where("kind IN ('Role', 'ClusterRole')"), doc).select(key, F.lit("CKV_K8S_9").alias("policy"), F.concat_ws("/", "kind", "name").alias("resource"))
+    of_roles = wild.hint("merge").join(heads.where("kind IN ('Role', 'ClusterRole')"), doc).select(key, F.lit("CKV_K8S_9").alias("policy"), F.concat_ws("/", "kind", "name").alias("resource"))
     of_accounts = heads.where("kind = 'ServiceAccount' AND NOT unmounted").select(key, F.lit("CKV_K8S_9").alias("policy"), F.concat_ws("/", "kind", "name").alias("resource"))
     of_pods = heads.where(F.col("kind").isin("Pod", "Deployment") & ~F.lower(key).contains("network")).select(key, F.lit("CKV_K8S_10").alias("policy"), F.concat_ws("/", "kind", "name").alias("resource"))
     found = of_containers.unionByName(of_env).unionByName(of_roles).unionByName(of_accounts).unionByName(of_pods)

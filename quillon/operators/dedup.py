@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.catalog import query
 from quillon.plans.fixtures import RANK, findings, pick, scans, severity_counts, sql_pick
-from quillon.sources.shared import shared_path
+from quillon.sources.shared import kept
 
 KEY = ("scan_id", "file_path", "line_number", "category")
 #: Points of a representative by confidence and severity.
@@ -112,13 +112,6 @@ def dup04_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("v", semantic_similarity(F.col("x"), F.col("y"))).where("v >= 0.15").select("a", "b", F.bround("v", 6).alias("similarity"))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Texts of at most SHORT tokens meet by three of their rarest tokens, longer ones by one.
 SHORT = 24
 
