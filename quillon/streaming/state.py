@@ -6,6 +6,8 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,6 +63,28 @@ def replay(rows: Iterable[tuple[int, float, bool]], state: Breaker = CLOSED) ->
         yield event, state[0], allowed
 
 
+#: Rows of a group that are Python values at a time.
+STEP = 10_000
+
+
+def in_order(batches: Iterable[pd.DataFrame], types: dict[str, pa.DataType | None], order: tuple[str, ...], step: int = STEP) -> Iterator[pd.DataFrame]:
+    """A group's rows in order, in frames of at most step rows; meanwhile they are Arrow columns, without an object for each value.
+
+    types: the columns and, where a batch may not show it, their type.
+    """
+    held: list[pa.Table] = []
+    for batch in batches:
+        if len(batch):
+            held.append(pa.table({c: pa.Array.from_pandas(batch[c], type=t) for c, t in types.items()}))
+    if not held:
+        return
+    rows = pa.concat_tables(held).combine_chunks()
+    held.clear()
+    places = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order])
+    for at in range(0, len(places), step):
+        yield rows.take(places.slice(at, step)).to_pandas()
+
+
 def breaker_stream(events: DataFrame) -> DataFrame:
     """event_id, agent_id, state and allowed for every call; the state is kept by agent.
 
@@ -69,13 +93,13 @@ def breaker_stream(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now: Breaker = state.get if state.exists else CLOSED
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts, success in zip(rows["event_id"], rows["ts"], rows["success"]):
-            now, allowed = breaker_step(now, ts.timestamp(), bool(success))
-            out.append((int(event), int(key[0]), now[0], allowed))
+        for rows in in_order(batches, {"event_id": None, "ts": None, "success": pa.bool_()}, ("ts", "event_id")):
+            out = []
+            for event, ts, success in zip(rows["event_id"], rows["ts"], rows["success"]):
+                now, allowed = breaker_step(now, ts.timestamp(), bool(success))
+                out.append((int(event), int(key[0]), now[0], allowed))
+            yield pd.DataFrame(out, columns=["event_id", "agent_id", "state", "allowed"])
         state.update(now)
-        yield pd.DataFrame(out, columns=["event_id", "agent_id", "state", "allowed"])
 
     return events.groupBy("agent_id").applyInPandasWithState(run, "event_id long, agent_id long, state string, allowed boolean", "name string, failures int, last double, calls int", "append", GroupStateTimeout.NoTimeout)
 
@@ -85,13 +109,13 @@ def limiter_stream(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts in zip(rows["event_id"], rows["ts"]):
-            now, allowed = bucket_step(now, ts.timestamp())
-            out.append((int(event), int(key[0]), allowed))
+        for rows in in_order(batches, {"event_id": None, "ts": None}, ("ts", "event_id")):
+            out = []
+            for event, ts in zip(rows["event_id"], rows["ts"]):
+                now, allowed = bucket_step(now, ts.timestamp())
+                out.append((int(event), int(key[0]), allowed))
+            yield pd.DataFrame(out, columns=["event_id", "identity", "allowed"])
         state.update(now)
-        yield pd.DataFrame(out, columns=["event_id", "identity", "allowed"])
 
     return events.groupBy("identity").applyInPandasWithState(run, "event_id long, identity long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
@@ -159,13 +183,13 @@ def delivery_stream(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now: Delivery = state.get if state.exists else READY
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts, outcomes in zip(rows["event_id"], rows["ts"], rows["outcomes"]):
-            now, logged, attempt, _ = delivered(now, ts.timestamp(), [bool(x) for x in outcomes])
-            out.append((int(event), int(key[0]), logged, attempt, now[0]))
+        for rows in in_order(batches, {"event_id": None, "ts": None, "outcomes": pa.list_(pa.bool_())}, ("ts", "event_id")):
+            out = []
+            for event, ts, outcomes in zip(rows["event_id"], rows["ts"], rows["outcomes"]):
+                now, logged, attempt, _ = delivered(now, ts.timestamp(), [bool(x) for x in outcomes])
+                out.append((int(event), int(key[0]), logged, attempt, now[0]))
+            yield pd.DataFrame(out, columns=["event_id", "endpoint", "status", "attempt", "breaker"])
         state.update(now)
-        yield pd.DataFrame(out, columns=["event_id", "endpoint", "status", "attempt", "breaker"])
 
     return events.groupBy("endpoint").applyInPandasWithState(run, "event_id long, endpoint long, status string, attempt int, breaker string", "name string, failed int, ok int, last double", "append", GroupStateTimeout.NoTimeout)
 
@@ -183,13 +207,13 @@ def chain_stream(records: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else "0" * 64
-        rows = pd.concat(list(batches)).sort_values("sequence")
-        out = []
-        for sequence, record in zip(rows["sequence"], rows["record"]):
-            entry = chained(last, record)
-            out.append((int(key[0]), int(sequence), last, entry))
-            last = entry
+        for rows in in_order(batches, {"sequence": None, "record": pa.large_string()}, ("sequence",)):
+            out = []
+            for sequence, record in zip(rows["sequence"], rows["record"]):
+                entry = chained(last, record)
+                out.append((int(key[0]), int(sequence), last, entry))
+                last = entry
+            yield pd.DataFrame(out, columns=["chain", "sequence", "previous_hash", "entry_hash"])
         state.update((last,))
-        yield pd.DataFrame(out, columns=["chain", "sequence", "previous_hash", "entry_hash"])
 
     return records.groupBy("chain").applyInPandasWithState(run, "chain long, sequence long, previous_hash string, entry_hash string", "last string", "append", GroupStateTimeout.NoTimeout)
