@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
-from quillon.operators.scan import LINES_SQL, hits_sql, scan_lines, scan_texts
+from quillon.operators.scan import LEAST, LINES_SQL, hits_sql, required, scan_lines, scan_texts
 from quillon.sources.readers import numbered_lines
-from quillon.sources.tables import table
+from quillon.sources.tables import dealt, table
 
 # Patterns of code about language models, by family. Those that span lines stand apart below.
 AI_SIGNATURES = (
@@ -212,12 +212,25 @@ def spanning(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def family_hits(lines: DataFrame, line: str = "line") -> DataFrame:
-    """lines with family, severity and cwe_id, a row for each line and family: the first pattern of the family that a line has."""
-    at, by_family = F.col(line), {}
+    """lines with family, severity and cwe_id, a row for each line and family: the first pattern of the family that a line has.
+
+    A pattern is only tried on lines that hold, in any case, one of the runs of letters that it cannot do without.
+    """
+    at, low, by_family = F.col(line), F.col("__low"), {}
+
+    def found(pattern: str) -> Column:
+        runs = sorted(required(pattern) or ())
+        if not runs or min(map(len, runs)) < LEAST:
+            return at.rlike(pattern)
+        some = low.contains(runs[0])
+        for run in runs[1:]:
+            some = some | low.contains(run)
+        return some & at.rlike(pattern)
+
     for family, pattern, severity, cwe in families():
         hit = F.struct(F.lit(family).alias("family"), F.lit(severity).alias("severity"), F.lit(cwe).alias("cwe_id"))
-        by_family[family] = F.when(at.rlike(pattern), hit) if family not in by_family else by_family[family].when(at.rlike(pattern), hit)
-    return lines.select("*", F.explode(F.array_compact(F.array(*by_family.values()))).alias("h")).select(*lines.columns, "h.*")
+        by_family[family] = F.when(found(pattern), hit) if family not in by_family else by_family[family].when(found(pattern), hit)
+    return lines.withColumn("__low", F.lower(line)).select("*", F.explode(F.array_compact(F.array(*by_family.values()))).alias("h")).select(*lines.columns, "h.*")
 
 
 def syntax_findings(text: str) -> list[tuple[str, int, str, str]]:
@@ -308,7 +321,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.lit("DEBUG = True")).when(k % 4 == 1, F.lit("r = requests.send_request(url, verify=False)")).when(k % 4 == 2, F.lit("# TODO: Implement the rest")).otherwise(F.lit("cors({origin: '*'})")),
         F.when(k % 11 == 0, F.lit("def broken(:")).otherwise(F.lit("done = 1")),
     ]
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
 _PATH = "'src/p' || p_partkey || '.py'"
