@@ -14,7 +14,7 @@ from quillon.catalog import query
 from quillon.operators.governance import entropy
 from quillon.plans.fixtures import findings
 from quillon.sources.readers import numbered_lines
-from quillon.sources.tables import table
+from quillon.sources.tables import dealt, table
 
 #: The default catalog of line patterns: id, expression, severity, CWE. Other catalogs are passed as a table of these columns.
 PATTERNS = (
@@ -124,16 +124,33 @@ def _name(node: ast.AST) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else _name(node.func) if isinstance(node, ast.Call) else _name(node.value) if isinstance(node, (ast.Subscript, ast.Starred)) else ""
 
 
+_BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.AsyncFor)
+
+
+def walked(node: ast.AST, known: dict[ast.AST, list[ast.AST]]) -> list[ast.AST]:
+    """What ast.walk gives, in its order; lists once made are kept in known."""
+    if (found := known.get(node)) is None:
+        found = known[node] = [node]
+        for n in found:  # grows as it is read
+            for name in n._fields:
+                value = getattr(n, name, None)
+                if isinstance(value, list):
+                    found += [x for x in value if isinstance(x, ast.AST)]
+                elif isinstance(value, ast.AST) and value._fields:  # marks without fields (load, store, operators) say nothing
+                    found.append(value)
+    return found
+
+
 def parse_python(text: str) -> list[tuple[str, str, int, int, int]]:
     """kind, name, first and last line, and complexity of every function and class; nothing if the text does not parse."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
         return []
-    out = []
-    for node in ast.walk(tree):
+    out, known = [], {}
+    for node in walked(tree, known):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            branches = sum(isinstance(x, (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.AsyncFor)) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
+            branches = sum(1 if isinstance(x, _BRANCHES) else len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0 for x in walked(node, known))
             out.append(("class" if isinstance(node, ast.ClassDef) else "function", node.name, node.lineno, node.end_lineno or node.lineno, 1 + branches))
     return sorted(out, key=lambda r: r[2])
 
@@ -144,24 +161,28 @@ def taint_flows(text: str) -> list[tuple[str, str, int, int, bool]]:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
         return []
-    out = []
-    for scope in [tree, *(n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))]:
+    out, known = [], {}
+    sinks: dict[ast.AST, list[tuple[str, ast.Call]]] = {}
+    for scope in [tree, *(n for n in walked(tree, known) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))]:
         tainted: dict[str, tuple[int, bool]] = {}
 
         def of(expr: ast.AST) -> tuple[int, bool] | None:
-            calls = [n for n in ast.walk(expr) if isinstance(n, (ast.Call, ast.Subscript, ast.Attribute))]
+            nodes = walked(expr, known)
+            calls = [n for n in nodes if isinstance(n, (ast.Call, ast.Subscript, ast.Attribute))]
             cleaned = any(isinstance(n, ast.Call) and _name(n) in CLEANERS for n in calls)
-            for n in ast.walk(expr):
+            for n in nodes:
                 if isinstance(n, ast.Name) and n.id in tainted:  # noqa: B023 - used in this turn only
                     line, clean = tainted[n.id]  # noqa: B023
                     return line, clean or cleaned
             return next(((n.lineno, cleaned) for n in calls if _name(n) in SOURCES), None)
 
-        for s in (n for n in ast.walk(scope) if isinstance(n, ast.stmt) and n is not scope):
-            for call in (n for n in ast.walk(s) if isinstance(n, ast.Call) and _name(n) in SINKS):
+        for s in (n for n in walked(scope, known) if isinstance(n, ast.stmt) and n is not scope):
+            if s not in sinks:
+                sinks[s] = [(name, n) for n in walked(s, known) if isinstance(n, ast.Call) and (name := _name(n)) in SINKS]
+            for name, call in sinks[s]:
                 for arg in call.args:
                     if (got := of(arg)) is not None:
-                        out.append((_name(call), SINKS[_name(call)], got[0], call.lineno, got[1]))
+                        out.append((name, SINKS[name], got[0], call.lineno, got[1]))
             if isinstance(s, ast.Assign) and (got := of(s.value)) is not None:
                 tainted |= {t.id: got for t in s.targets if isinstance(t, ast.Name)}
     return sorted(set(out))
@@ -199,7 +220,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("    os.system('ls ' + clean)"), either(size % 3 == 0, "    query = input()", "    query = 'x'"), F.lit("    cursor.execute(query)"), either(k % 4 == 0, "    return hashlib.md5(name)", "    return hashlib.sha256(name)"), F.lit(""),
         F.concat(F.lit("class Box_"), k.cast("string"), F.lit(":")), either(k % 5 == 0, "    token = 'a8f5f167f44f4964e6c998dee827110c'", "    token = None"), F.lit("    def size(self, n):"), F.lit("        return n == 1 and n > 0"),
     ]
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
 _PATH = "'src/p' || p_partkey || '.py'"
