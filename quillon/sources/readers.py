@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
 from quillon.plans.fixtures import findings, scans
-from quillon.sources.tables import table
+from quillon.sources.shared import kept, opened, resolved
+from quillon.sources.tables import dealt, table
 
 #: tools' words for a severity; bands of CVSS scores.
 LEVELS = {"error": "HIGH", "warning": "MEDIUM", "note": "LOW", "info": "INFO", "critical": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "moderate": "MEDIUM", "low": "LOW", "style": "INFO", "convention": "INFO", "refactor": "LOW", "fatal": "CRITICAL"}
@@ -15,6 +19,8 @@ LEVELS = {"error": "HIGH", "warning": "MEDIUM", "note": "LOW", "info": "INFO", "
 CATEGORY_WORDS = ((("sql",), "SQL Injection"), (("xss",), "Cross-site Scripting"), (("command", "exec"), "Command Injection"), (("secret", "password"), "Secret Leak"), (("crypto", "hash"), "Cryptographic Issue"), (("traversal", "path"), "Path Traversal"), (("ssrf",), "Server-Side Request Forgery"))
 #: Files without an extension that are read all the same.
 BARE = ("Dockerfile", "Makefile", "Gemfile", "Rakefile")
+#: Entries of a folder in an Arrow batch; bytes of files in one, but for the last file.
+LISTED, READ = 10_000, 16 << 20
 
 
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -24,10 +30,64 @@ def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, path: str, extensions: tuple[str, ...], most_bytes: int = 10 << 20) -> DataFrame:
-    """path and text of the files of a tree with one of the extensions, or a known name without one, none above a size."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """path and text of the files of a tree with one of the extensions, or a known name without one, none empty or above a size.
+
+    Folders are listed by tasks, one level of the tree a round, and the files wanted are dealt over the tasks of a shuffle: a
+    reader of whole files lists them in the driver and makes a task of every few of them.
+    """
+    files = tree_files(spark, path)
     bare = F.regexp_extract(F.col("path"), r"([^/]+)$", 1).isin(*BARE)
-    return df.where((F.col("length") <= most_bytes) & (extension_of(F.col("path")).isin(*extensions) | bare)).select("path", F.decode("content", "UTF-8").alias("text"))
+    wanted = files.where(F.col("length").between(1, most_bytes) & (extension_of(F.col("path")).isin(*extensions) | bare))
+    return file_contents(dealt(wanted.select("path"), "path"), resolved(spark, path)).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def tree_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of all files of a tree but hidden ones, by Spark's rule. A folder is listed by one task."""
+    target = resolved(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = opened(target)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [i for i in system.get_file_info(fs.FileSelector(base + folder[len(target) :])) if not _hidden(i.base_name)]
+                for at in range(0, len(found), LISTED):
+                    some = found[at : at + LISTED]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{i.base_name}" for i in some], pa.string()), pa.array([i.size for i in some], pa.int64()), pa.array([i.type == fs.FileType.Directory for i in some], pa.bool_())], names=["path", "length", "folder"])
+
+    level, out = spark.createDataFrame([(target,)], "path string"), None
+    while True:
+        listed = kept(level.mapInArrow(run, "path string, length long, folder boolean"), "tree")
+        files, folders = listed.where("NOT folder").select("path", "length"), listed.where("folder").select("path")
+        out = files if out is None else out.unionByName(files)
+        if folders.isEmpty():
+            return out
+        level = dealt(folders, "path")
+
+
+def _hidden(name: str) -> bool:
+    return (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def file_contents(paths: DataFrame, target: str) -> DataFrame:
+    """path and content of files below a resolved path, in Arrow batches of bounded bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(target)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["path", "content"])
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(base + path[len(target) :]) as f:
+                    rows.append((path, f.read()))
+                size += len(rows[-1][1])
+                if size >= READ:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    return paths.select("path").mapInArrow(run, "path string, content binary")
 
 
 def extension_of(path: Column) -> Column:

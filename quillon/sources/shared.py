@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that a task remembers to have made.
+FOLDERS = 1000
 _own: dict[str, str] = {}
 
 
@@ -44,6 +46,13 @@ def resolved(spark: SparkSession, path: str) -> str:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
+def opened(target: str) -> tuple[object, str]:
+    """Arrow's file system of a resolved path, and the path there; for tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(target if "://" in target else target.replace("file:/", "file:///", 1))
+
+
 def replace_files(df: DataFrame, to: str, name: str = "name", content: str = "content") -> None:
     """Write one file for each row: under a temporary name first, then renamed, so that readers see the old file or the new one.
 
@@ -52,14 +61,15 @@ def replace_files(df: DataFrame, to: str, name: str = "name", content: str = "co
     target = resolved(df.sparkSession, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(target if "://" in target else target.replace("file:/", "file:///", 1))
+        system, base = opened(target)
         system.create_dir(base, recursive=True)
+        made: set[str] = set()
         for batch in batches:
             for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if "/" in file:
-                    system.create_dir(f"{base}/{file.rsplit('/', 1)[0]}", recursive=True)
+                folder = file.rpartition("/")[0]
+                if folder and folder not in made:
+                    system.create_dir(f"{base}/{folder}", recursive=True)
+                    made = {folder} if len(made) >= FOLDERS else made | {folder}
                 temporary = f"{base}/.{file.replace('/', '_')}.{uuid.uuid4().hex}.tmp"
                 with system.open_output_stream(temporary) as f:
                     f.write(body)

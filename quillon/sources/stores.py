@@ -17,7 +17,7 @@ from quillon.operators.policy import condition, scan_facts
 from quillon.plans.fixtures import audit_log, bus_messages, findings, scans
 from quillon.sources.readers import category_of, json_store, source_files
 from quillon.sources.shared import replace_files, shared_path
-from quillon.sources.tables import table
+from quillon.sources.tables import dealt, table
 from quillon.sources.tools import append_daily, daily_log, policy_file, unzipped
 
 SCAN = "scan_id string, status string, total long, raw_score long"
@@ -123,7 +123,7 @@ def src05(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     extension = F.when(k % 4 == 0, ".py").when(k % 4 == 1, ".JS").when(k % 4 == 2, ".go").otherwise(".png")
     text = F.when(k % 7 == 0, F.repeat(F.lit("x"), F.lit(2000))).otherwise(F.col("p_name"))  # above the size below
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("d"), (F.col("p_size") % 4).cast("string"), F.lit("/"), k.cast("string"), extension).alias("name"), text.alias("content"))
+    files = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey").select(F.concat(F.lit("d"), (F.col("p_size") % 4).cast("string"), F.lit("/"), k.cast("string"), extension).alias("name"), text.alias("content"))
     replace_files(files.unionByName(spark.createDataFrame([("d0/Makefile", "all:"), ("d0/README", "no")], "name string, content string")), to)
     read = source_files(spark, to, (".py", ".js", ".go"), 1000)
     return read.select(F.regexp_extract("path", r"(d\d/[^/]+)$", 1).alias("file"), F.length("text").cast("long").alias("chars"))
