@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillon.catalog import query
 from quillon.sources.readers import numbered_lines
 from quillon.sources.shared import kept
-from quillon.sources.tables import table
+from quillon.sources.tables import dealt, table
 
 # Severity and weakness of every policy.
 POLICIES = {
@@ -204,12 +204,16 @@ def helm_findings(df: DataFrame, key: str = "path", text: str = "text") -> DataF
 
 
 def terraform_findings(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Findings of Terraform files' resources. A block's header line opens it; what else stands on that line is not looked at."""
+    """Findings of Terraform files' resources. A block's header line opens it; what else stands on that line is not looked at.
+
+    Files are dealt by key once, over as many tasks as a shuffle has; all windows and checks are made where a file then lies.
+    """
     in_file = Window.partitionBy(key).orderBy("line_number")
-    lines = numbered_lines(df.select(key, text).distinct(), text).withColumn("line", F.trim("line"))
+    files = dealt(df.select(key, text), key).distinct().select(key, text, F.lower(text).contains("encrypted").alias("says"))
+    lines = numbered_lines(files, text).drop(text).withColumn("line", F.trim("line"))
     header = r'^resource\s+"([^"]+)"\s+"([^"]+)"'
     count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    lines = lines.withColumns({"opens": F.col("line").rlike(header), "says": F.lower(text).contains("encrypted")}).drop(text)
+    lines = lines.withColumn("opens", F.col("line").rlike(header))
     lines = lines.withColumn("block", F.sum(F.col("opens").cast("int")).over(in_file)).where("block > 0")
     in_block = Window.partitionBy(key, "block").orderBy("line_number")
     lines = lines.withColumn("depth", 1 + F.sum(F.when(F.col("opens"), 0).otherwise(count("{") - count("}"))).over(in_block))
@@ -222,9 +226,10 @@ def terraform_findings(df: DataFrame, key: str = "path", text: str = "text") ->
         "CKV_TF_4": at.rlike(r'(?i)(password|secret|token|key)\s*=\s*"[^"]+"') & ~at.contains("var.") & ~at.contains("data."),
     }
     resource = F.concat_ws(".", "kind", "name")
-    found = lines.where("NOT opens").select(key, _each(checks).alias("policy"), resource.alias("resource"), "line_number")
-    silent = lines.where(F.col("opens") & F.col("kind").isin(*MUST_SAY) & ~F.col("says")).select(key, F.lit("CKV_TF_3").alias("policy"), resource.alias("resource"), F.lit(1).alias("line_number"))
-    return _judged(found.unionByName(silent), key)
+    inside = F.array(*(F.when(~F.col("opens") & c, F.lit(p)) for p, c in checks.items()))
+    silent = F.array(F.when(F.col("opens") & F.col("kind").isin(*MUST_SAY) & ~F.col("says"), F.lit("CKV_TF_3")))
+    found = lines.select(key, F.explode(F.array_compact(F.concat(inside, silent))).alias("policy"), resource.alias("resource"), F.when(F.col("opens"), 1).otherwise(F.col("line_number")).alias("line_number"))
+    return _judged(found, key)
 
 
 def docker_findings(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -281,7 +286,7 @@ DOCKERFILES = (
 def _files(spark: SparkSession, sf_dir: str, texts: list[str], ending: str) -> DataFrame:
     """Files made from the parts, in turn of the texts."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit(ending)).alias("path"), F.element_at(F.array(*map(F.lit, texts)), (k % len(texts)).cast("int") + 1).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("p"), k.cast("string"), F.lit(ending)).alias("path"), F.element_at(F.array(*map(F.lit, texts)), (k % len(texts)).cast("int") + 1).alias("text"))
 
 
 def _planted_sql(n: int, ending: str, broken: list[tuple[int, str, str, int]]) -> str:

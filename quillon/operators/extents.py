@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.catalog import query
-from quillon.sources.tables import table
+from quillon.sources.tables import dealt, table
 
 _ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 _LINE, _BLOCK = r"//[^\n]*+", r"/\*(?:[^*]++|\*(?!/))*+\*/"
@@ -67,13 +67,26 @@ def _token(language: str) -> tuple[str, object]:
     grouped = lambda p: f"^(?:{bare(p)})$"
     every = "(?m)" + "|".join(f"(?:{bare(p)})" for p in (*plain, *(p for _, p in declared), opening, closing, decision, r"\n"))
 
+    def mark(lines: object, step: int) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(lines).cast("int").alias("lines"), F.lit(step).cast("int").alias("step"), none.alias("kind"), none.alias("name"), F.lit(0).cast("int").alias("decides")).cast(_KEPT)
+
     def meaning(t: Column) -> Column:
-        hidden = t.rlike(r"(?s)^(?://|/\*|[\"'`]|#)") if language != "ruby" else t.rlike(r"(?s)^(?:#|[\"'])")
-        step = F.when(hidden, 0).when(t.rlike(grouped(closing)), -1)
-        kind, name, decides = F.lit(None).cast("string"), F.lit(None).cast("string"), F.when(~hidden & t.rlike(grouped(decision)), 1)
+        # most tokens are line ends, braces, comments and strings, and need no more than that
+        lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+        plain = F.when(t == "\n", mark(1, 0))
+        plain = plain.when(t == "end", mark(0, -1)) if language == "ruby" else plain.when(t == "{", mark(0, 1)).when(t == "}", mark(0, -1))
+        return plain.when(hides(t), mark(lines, 0)).otherwise(declares(t, lines))
+
+    def hides(t: Column) -> Column:
+        return t.rlike(r"(?s)^(?://|/\*|[\"'`]|#)") if language != "ruby" else t.rlike(r"(?s)^(?:#|[\"'])")
+
+    def declares(t: Column, lines: Column) -> Column:
+        step = F.when(t.rlike(grouped(closing)), -1)
+        kind, name, decides = F.lit(None).cast("string"), F.lit(None).cast("string"), F.when(t.rlike(grouped(decision)), 1)
         for k, p in reversed(declared):  # the first that fits counts
             whole = _unfenced(p)
-            fits = ~hidden & t.rlike(whole)
+            fits = t.rlike(whole)
             kind = F.when(fits, F.lit(k or None).cast("string")).otherwise(kind)
             name = F.when(fits, F.regexp_extract(t, whole, 1) if k else F.lit(None).cast("string")).otherwise(name)
         some = F.lit(False)
@@ -81,8 +94,7 @@ def _token(language: str) -> tuple[str, object]:
             if k != "arrow":
                 some = some | t.rlike(_unfenced(p))
         step = step.when(some, 1).when(t.rlike(_unfenced(opening)) & ~t.rlike(_unfenced(decision)) | t.rlike(r"^\s*=\s*(?:if|unless|case|begin)$"), 1).otherwise(0)
-        loops = F.when(~hidden & t.rlike(r"^[\x20\t=]*(?:if|unless|while|until|for)\b"), 1).otherwise(0) if language == "ruby" else F.lit(0)
-        lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+        loops = F.when(t.rlike(r"^[\x20\t=]*(?:if|unless|while|until|for)\b"), 1).otherwise(0) if language == "ruby" else F.lit(0)
         return F.struct(lines.cast("int").alias("lines"), step.cast("int").alias("step"), kind.alias("kind"), name.alias("name"), F.greatest(F.coalesce(decides, F.lit(0)), loops).cast("int").alias("decides")).cast(_KEPT)
 
     return every, meaning
@@ -98,30 +110,34 @@ def _unfenced(p: str) -> str:
 def tokens(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """key, pos, lines, step, kind, name and decides of the tokens that matter, of every text whose path's extension is known."""
     extension = F.lower(F.regexp_extract(key, r"\.([^./\\]+)$", 1))
-    out = None
+    found = F.lit(None)
     for language, (extensions, *_) in LANGUAGES.items():
         every, meaning = _token(language)
-        own = df.where(extension.isin(*extensions)).select(key, F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), meaning).alias("t"))
-        # what neither ends lines nor opens, closes, declares or decides is nothing
-        own = own.select(key, F.posexplode(F.filter("t", lambda t: (t["lines"] > 0) | (t["step"] != 0) | t["kind"].isNotNull() | (t["decides"] > 0))).alias("pos", "t")).select(key, "pos", "t.*")
-        out = own if out is None else out.unionByName(own)
-    return out
+        found = F.when(extension.isin(*extensions), F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), meaning)).otherwise(found)
+    # what neither ends lines nor opens, closes, declares or decides is nothing
+    own = df.select(key, F.filter(found, lambda t: (t["lines"] > 0) | (t["step"] != 0) | t["kind"].isNotNull() | (t["decides"] > 0)).alias("t"))
+    # outer: for the other, Spark asks first for texts that have tokens, and reads every text twice
+    return own.select(key, F.posexplode_outer("t").alias("pos", "t")).where("pos IS NOT NULL").select(key, "pos", "t.*")
 
 
 def extents(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """key, kind (function, method, class or arrow), name, start, stop (lines, from 1) and complexity of every declaration."""
-    in_file = Window.partitionBy(key).orderBy("pos")
-    t = tokens(df.select(key, text).distinct(), key, text)
-    t = t.withColumns({"line": F.sum("lines").over(in_file) - F.col("lines") + 1, "last": F.sum("lines").over(Window.partitionBy(key)) + 1, "depth": F.sum("step").over(in_file), "decided": F.sum("decides").over(in_file)})
-    # an opening's level is the depth before it, a closing's the depth after it
-    paired = t.where("step <> 0").withColumn("level", F.col("depth") - F.greatest("step", F.lit(0)))
+    """key, kind (function, method, class or arrow), name, start, stop (lines, from 1) and complexity of every declaration.
+
+    Files are dealt by key once, over as many tasks as a shuffle has; tokens and all windows are made where a file then lies.
+    """
+    whole = Window.partitionBy(key)
+    in_file = whole.orderBy("pos")
+    t = tokens(dealt(df.select(key, text), key).distinct(), key, text)
+    t = t.withColumns({"line": F.sum("lines").over(in_file) - F.col("lines") + 1, "last": F.sum("lines").over(whole) + 1, "depth": F.sum("step").over(in_file), "decided": F.sum("decides").over(in_file)})
+    # an opening's level is the depth before it, a closing's the depth after it; arrows without braces have none
+    t = t.where("step <> 0 OR kind IS NOT NULL").withColumn("level", F.when(F.col("step") != 0, F.col("depth") - F.greatest("step", F.lit(0))))
     next_there = lambda c: F.lead(c).over(Window.partitionBy(key, "level").orderBy("pos"))
-    ends = F.when(next_there("step") == -1, F.struct(next_there("line").alias("line"), next_there("decided").alias("decided")))
-    whole = F.max("decided").over(Window.partitionBy(key))
-    paired = paired.withColumns({"end": ends, "all_decided": whole}).where("step > 0 AND kind IS NOT NULL")
-    braced = paired.select(key, "kind", "name", "line", F.coalesce("end.line", "last").alias("stop"), (1 + F.coalesce("end.decided", "all_decided") - F.col("decided")).alias("complexity"))
-    arrows = t.where("step = 0 AND kind IS NOT NULL").select(key, "kind", "name", "line", F.col("line").alias("stop"), F.lit(1).cast("long").alias("complexity"))
-    return braced.unionByName(arrows).select(key, "kind", "name", F.col("line").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("complexity").cast("int").alias("complexity"))
+    ends = F.when((F.col("step") != 0) & (next_there("step") == -1), F.struct(next_there("line").alias("line"), next_there("decided").alias("decided")))
+    t = t.withColumns({"end": ends, "all_decided": F.max(F.when(F.col("step") != 0, F.col("decided"))).over(whole)}).where("step >= 0 AND kind IS NOT NULL")
+    braced = F.col("step") > 0
+    stop = F.when(braced, F.coalesce("end.line", "last")).otherwise(F.col("line"))
+    complexity = F.when(braced, 1 + F.coalesce("end.decided", "all_decided") - F.col("decided")).otherwise(1)
+    return t.select(key, "kind", "name", F.col("line").cast("int").alias("start"), stop.cast("int").alias("stop"), complexity.cast("int").alias("complexity"))
 
 
 #: A planted file of each language, and its declarations: kind, name, first and last line, complexity.
@@ -141,7 +157,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files made from the parts, in turn of each language, behind size modulo 3 empty lines."""
     k = F.col("p_partkey")
     of = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in PLANTED)), (k % len(PLANTED)).cast("int") + 1)
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit("."), of(0)).alias("path"), F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int")), of(1)).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit("."), of(0)).alias("path"), F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int")), of(1)).alias("text"))
 
 
 @query("txt14_extents", f"SELECT 'src/p' || p_partkey || '.' || e.extension AS path, e.kind, e.name, cast(e.start + p_size % 3 as int) AS start, cast(e.stop + p_size % 3 as int) AS stop, e.complexity FROM part JOIN (VALUES " + ", ".join(f"({i}, '{x}', '{kind}', '{name}', {a}, {b}, {c})" for i, (x, _, found) in enumerate(PLANTED) for kind, name, a, b, c in found) + f") e(k, extension, kind, name, start, stop, complexity) ON e.k = p_partkey % {len(PLANTED)}")
