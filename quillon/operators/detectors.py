@@ -7,6 +7,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +125,10 @@ def _name(node: ast.AST) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else _name(node.func) if isinstance(node, ast.Call) else _name(node.value) if isinstance(node, (ast.Subscript, ast.Starred)) else ""
 
 
+_HOLDERS = (ast.stmt, ast.excepthandler, ast.match_case)
+#: Nodes without parts, and what stands in a tree beside nodes: names, numbers, marks (load, store, operators).
+_LEAVES = frozenset((ast.Name, ast.Constant, str, int, type(None), *(c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop)))))
+_PLAIN = _LEAVES - {ast.Name, ast.Constant}
 _BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.AsyncFor)
 
 
@@ -156,36 +161,94 @@ def parse_python(text: str) -> list[tuple[str, str, int, int, int]]:
 
 
 def taint_flows(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """sink, CWE, line of the source, line of the sink and whether it was cleaned, within each function in order of its statements."""
+    """sink, CWE, line of the source, line of the sink and whether it was cleaned, within each function in order of its statements.
+
+    The tree is gone through once; what an expression reads is noted when it is first asked for, and a call is judged again only
+    after a name's state has changed.
+    """
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
         return []
-    out, known = [], {}
-    sinks: dict[ast.AST, list[tuple[str, ast.Call]]] = {}
-    for scope in [tree, *(n for n in walked(tree, known) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))]:
-        tainted: dict[str, tuple[int, bool]] = {}
-
-        def of(expr: ast.AST) -> tuple[int, bool] | None:
-            nodes = walked(expr, known)
-            calls = [n for n in nodes if isinstance(n, (ast.Call, ast.Subscript, ast.Attribute))]
-            cleaned = any(isinstance(n, ast.Call) and _name(n) in CLEANERS for n in calls)
+    parts: dict[ast.AST, list[ast.AST]] = {}  # of every node that has some
+    inner: dict[ast.AST, list[ast.AST]] = {tree: []}  # a statement's statements (handlers, cases), and the one that holds it
+    holder: dict[ast.AST, ast.AST | None] = {tree: None}
+    scopes, calls, todo, held_by = [tree], [], [tree], [tree]
+    for node, held in zip(todo, held_by):  # both grow as they are read
+        own: list[ast.AST] = []
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if type(value) is list:
+                own += value
+            elif value is not None and type(value) not in _PLAIN:
+                own.append(value)
+        if not own:
+            continue
+        parts[node] = own
+        kind = type(node)
+        if kind is ast.Call and (name := _name(node)) in SINKS:
+            calls.append((name, node, held))
+        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+            scopes.append(node)
+        for x in own:
+            if type(x) not in _LEAVES:
+                todo.append(x)
+                if isinstance(x, _HOLDERS):
+                    inner[held].append(x)
+                    inner[x], holder[x] = [], held
+                    held_by.append(x)
+                else:
+                    held_by.append(held)
+    sinks: dict[ast.AST, list[tuple[str, ast.Call]]] = {}  # of everything that holds a sink
+    for name, call, held in calls:
+        while held is not None:
+            sinks.setdefault(held, []).append((name, call))
+            held = holder[held]
+    reads: dict[ast.AST, tuple[list[str], bool, int | None]] = {}
+
+    def of(expr: ast.AST, tainted: dict[str, tuple[int, bool]]) -> tuple[int, bool] | None:
+        if (read := reads.get(expr)) is None:
+            names, cleaned, source, nodes = [], False, None, [expr]
             for n in nodes:
-                if isinstance(n, ast.Name) and n.id in tainted:  # noqa: B023 - used in this turn only
-                    line, clean = tainted[n.id]  # noqa: B023
-                    return line, clean or cleaned
-            return next(((n.lineno, cleaned) for n in calls if _name(n) in SOURCES), None)
-
-        for s in (n for n in walked(scope, known) if isinstance(n, ast.stmt) and n is not scope):
-            if s not in sinks:
-                sinks[s] = [(name, n) for n in walked(s, known) if isinstance(n, ast.Call) and (name := _name(n)) in SINKS]
-            for name, call in sinks[s]:
-                for arg in call.args:
-                    if (got := of(arg)) is not None:
-                        out.append((name, SINKS[name], got[0], call.lineno, got[1]))
-            if isinstance(s, ast.Assign) and (got := of(s.value)) is not None:
-                tainted |= {t.id: got for t in s.targets if isinstance(t, ast.Name)}
-    return sorted(set(out))
+                if n in parts:
+                    nodes += parts[n]
+                if isinstance(n, ast.Name):
+                    names.append(n.id)
+                elif isinstance(n, (ast.Call, ast.Subscript, ast.Attribute)):
+                    name = _name(n)
+                    cleaned = cleaned or isinstance(n, ast.Call) and name in CLEANERS
+                    source = n.lineno if source is None and name in SOURCES else source
+            read = reads[expr] = names, cleaned, source
+        names, cleaned, source = read
+        for name in names:
+            if name in tainted:
+                line, clean = tainted[name]
+                return line, clean or cleaned
+        return None if source is None else (source, cleaned)
+
+    out = set()
+    for scope in scopes:
+        if scope not in sinks:
+            continue
+        tainted: dict[str, tuple[int, bool]] = {}
+        judged: dict[ast.Call, int] = {}
+        states, inside = 0, [scope]
+        for s in inside:
+            inside += inner[s]
+            if s is scope or not isinstance(s, ast.stmt):
+                continue
+            for name, call in sinks.get(s, ()):
+                if judged.get(call) != states:
+                    judged[call] = states
+                    for arg in call.args:
+                        if (got := of(arg, tainted)) is not None:
+                            out.add((name, SINKS[name], got[0], call.lineno, got[1]))
+            if isinstance(s, ast.Assign) and (got := of(s.value, tainted)) is not None:
+                for t in s.targets:
+                    if isinstance(t, ast.Name) and tainted.get(t.id) != got:
+                        tainted[t.id] = got
+                        states += 1
+    return sorted(out)
 
 
 def parsed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -201,13 +264,20 @@ def parsed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def flows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """A row for each flow of tainted data in each Python text."""
+    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *r) for k, t in zip(b[key], b[text]) for r in taint_flows(t)]
-            yield pd.DataFrame(rows, columns=[key, "sink", "cwe_id", "source_line", "sink_line", "cleaned"])
-
-    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, sink string, cwe_id string, source_line int, sink_line int, cleaned boolean")
+            at, rows = [], []
+            for i, t in enumerate(b.column(1)):
+                found = taint_flows(t.as_py())
+                at += [i] * len(found)
+                rows += found
+            columns = zip(*rows) if rows else [()] * len(types)
+            found = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *found], names=[key, "sink", "cwe_id", "source_line", "sink_line", "cleaned"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, sink string, cwe_id string, source_line int, sink_line int, cleaned boolean")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
