@@ -57,6 +57,8 @@ LANGUAGES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[tuple[str, st
         r"(?m)(?:^[\x20\t]*|=\s*)(?:if|unless|case|begin)(?![\w?!:])|(?<![\w.:@])do(?![\w?!:])", r"(?<![\w.:@])end(?![\w?!:])", r"(?<![\w.:@])(?:elsif|when|rescue)(?![\w?!:])|(?<=\S\x20)(?:if|unless|while|until)(?![\w?!:])|&&|\|\|",
     ),
 }
+#: Where a token of a brace language can start: at a word, or at one of a few signs. Asked first, it spares all else at most places.
+_STARTS = {language: rf"(?:(?<![{word}])(?=[{word}])|(?=[/\"'`{{}}&|?\n]))" for language, word in (("javascript", r"\w$"), ("java", r"\w$"), ("go", r"\w"))}
 _KEPT = "struct<lines:int,step:int,kind:string,name:string,decides:int>"
 
 
@@ -65,37 +67,35 @@ def _token(language: str) -> tuple[str, object]:
     _, plain, declared, opening, closing, decision = LANGUAGES[language]
     bare = lambda p: p.replace("(?m)", "")
     grouped = lambda p: f"^(?:{bare(p)})$"
-    every = "(?m)" + "|".join(f"(?:{bare(p)})" for p in (*plain, *(p for _, p in declared), opening, closing, decision, r"\n"))
+    every = "(?m)" + _STARTS.get(language, "") + "(?:" + "|".join(f"(?:{bare(p)})" for p in (*plain, *(p for _, p in declared), opening, closing, decision, r"\n")) + ")"
 
-    def mark(lines: object, step: int) -> Column:
-        none = F.lit(None).cast("string")
-        return F.struct(F.lit(lines).cast("int").alias("lines"), F.lit(step).cast("int").alias("step"), none.alias("kind"), none.alias("name"), F.lit(0).cast("int").alias("decides")).cast(_KEPT)
+    none = F.lit(None).cast("string")
+
+    def mark(lines: object, step: object, kind: Column = none, name: Column = none, decides: object = 0) -> Column:
+        as_int = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
+        return F.struct(as_int(lines).alias("lines"), as_int(step).alias("step"), kind.alias("kind"), name.alias("name"), as_int(decides).alias("decides")).cast(_KEPT)
 
     def meaning(t: Column) -> Column:
-        # most tokens are line ends, braces, comments and strings, and need no more than that
+        # most tokens are line ends, braces, comments, strings and decisions, and need no more than that
         lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
         plain = F.when(t == "\n", mark(1, 0))
         plain = plain.when(t == "end", mark(0, -1)) if language == "ruby" else plain.when(t == "{", mark(0, 1)).when(t == "}", mark(0, -1))
-        return plain.when(hides(t), mark(lines, 0)).otherwise(declares(t, lines))
+        plain = plain.when(hides(t), mark(lines, 0))
+        if language != "ruby":  # there a decision is never a declaration, which ends in a brace or an arrow
+            plain = plain.when(t.rlike(grouped(decision)), mark(0, 0, decides=1))
+        return declares(plain, t, lines)
 
     def hides(t: Column) -> Column:
         return t.rlike(r"(?s)^(?://|/\*|[\"'`]|#)") if language != "ruby" else t.rlike(r"(?s)^(?:#|[\"'])")
 
-    def declares(t: Column, lines: Column) -> Column:
-        step = F.when(t.rlike(grouped(closing)), -1)
-        kind, name, decides = F.lit(None).cast("string"), F.lit(None).cast("string"), F.when(t.rlike(grouped(decision)), 1)
-        for k, p in reversed(declared):  # the first that fits counts
-            whole = _unfenced(p)
-            fits = t.rlike(whole)
-            kind = F.when(fits, F.lit(k or None).cast("string")).otherwise(kind)
-            name = F.when(fits, F.regexp_extract(t, whole, 1) if k else F.lit(None).cast("string")).otherwise(name)
-        some = F.lit(False)
+    def declares(found: Column, t: Column, lines: Column) -> Column:
+        """The first declaration that fits counts; each is tried once, as what is said of it lies in its own branch."""
+        decides = F.when(t.rlike(grouped(decision)), 1).otherwise(F.when(t.rlike(r"^[\x20\t=]*(?:if|unless|while|until|for)\b"), 1).otherwise(0)) if language == "ruby" else F.lit(0)
         for k, p in declared:
-            if k != "arrow":
-                some = some | t.rlike(_unfenced(p))
-        step = step.when(some, 1).when(t.rlike(_unfenced(opening)) & ~t.rlike(_unfenced(decision)) | t.rlike(r"^\s*=\s*(?:if|unless|case|begin)$"), 1).otherwise(0)
-        loops = F.when(t.rlike(r"^[\x20\t=]*(?:if|unless|while|until|for)\b"), 1).otherwise(0) if language == "ruby" else F.lit(0)
-        return F.struct(lines.cast("int").alias("lines"), step.cast("int").alias("step"), kind.alias("kind"), name.alias("name"), F.greatest(F.coalesce(decides, F.lit(0)), loops).cast("int").alias("decides")).cast(_KEPT)
+            whole = _unfenced(p)
+            found = found.when(t.rlike(whole), mark(lines, 0 if k == "arrow" else 1, F.lit(k or None).cast("string"), F.regexp_extract(t, whole, 1) if k else none, decides))
+        step = F.when(t.rlike(grouped(closing)), -1).when(t.rlike(_unfenced(opening)) & ~t.rlike(_unfenced(decision)) | t.rlike(r"^\s*=\s*(?:if|unless|case|begin)$"), 1).otherwise(0)
+        return found.otherwise(mark(lines, step, decides=decides))
 
     return every, meaning
 
