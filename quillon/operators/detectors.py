@@ -127,7 +127,7 @@ def _name(node: ast.AST) -> str:
 
 _HOLDERS = (ast.stmt, ast.excepthandler, ast.match_case)
 #: Nodes without parts, and what stands in a tree beside nodes: names, numbers, marks (load, store, operators).
-_LEAVES = frozenset((ast.Name, ast.Constant, str, int, type(None), *(c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop)))))
+_LEAVES = frozenset((ast.Name, ast.Constant, str, int, bool, type(None), *(c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop)))))
 _PLAIN = _LEAVES - {ast.Name, ast.Constant}
 _BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.AsyncFor)
 

@@ -54,3 +54,11 @@ def test_calls_in_a_long_chain_are_named_a_few_times_each(monkeypatch):
     monkeypatch.setattr(detectors, "_name", lambda n: asked.append(n) or name(n))
     detectors.taint_flows(CHAIN)
     assert len(asked) < 3 * sum(isinstance(n, ast.Call) for n in ast.walk(ast.parse(CHAIN)))
+
+
+def test_matches_of_true_and_false_are_read(spark):
+    """A pattern True or False stands in the tree as a bool, which has no parts."""
+    text = "x = input()\nmatch x:\n    case True | False | None:\n        eval(x)\n    case {'k': True, **rest}:\n        exec(escape(x))\n"
+    assert replayed(text) == [("eval", "CWE-94", 1, 4, False), ("exec", "CWE-94", 1, 6, True)]
+    df = spark.createDataFrame([Row(k=1, text=text)], "k int, text string")
+    assert sorted(tuple(r) for r in detectors.flows(df, "k").collect()) == [(1, *r) for r in replayed(text)]
